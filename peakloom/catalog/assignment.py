@@ -1 +1,42 @@
-"""Catalogue queries."""
+"""Catalogue queries: candidates, context, probabilities and assignment."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from peakloom.catalog.inputs import kept, table, view, with_views
+from peakloom.catalog.registry import query, rounded
+from peakloom.operators import context as X
+
+SHIFTS_SQL = "(VALUES (1.00335e0), (21.9819e0), (37.9559e0), (18.0338e0), (-18.0106e0), (-43.9898e0)) d(shift)"
+PARTNER_SQL = f"""iso AS (SELECT a.peak_id, b.intensity AS i2, row_number() OVER (PARTITION BY a.peak_id ORDER BY abs(b.mass - (a.mass + 1.00335e0)), b.peak_id) AS rn
+    FROM peaks a JOIN peaks b ON a.species = b.species AND abs(b.mass - (a.mass + 1.00335e0)) < 1e-2 AND abs(b.rt - a.rt) < 1e-1),
+  add_ AS (SELECT a.peak_id, count(DISTINCT (sg, shift)) AS n FROM peaks a, {SHIFTS_SQL}, (VALUES (1), (-1)) s(sg)
+    JOIN peaks b ON a.species = b.species AND abs(b.mass - (a.mass + sg*shift)) < 1e-2 AND abs(b.rt - a.rt) < 1e-1 GROUP BY 1),
+  part_ AS (SELECT p.peak_id, CASE WHEN iso.i2 IS NULL THEN 0e0 ELSE 1e0 END AS has_isotope,
+    CASE WHEN iso.i2 IS NULL THEN 0e0 WHEN iso.i2/p.intensity BETWEEN 11e-2 AND 33e-2 THEN 1e0 WHEN iso.i2/p.intensity BETWEEN 5e-2 AND 55e-2 THEN 7e-1 ELSE 3e-1 END AS isotope_score,
+    coalesce(n, 0) * 1e0 AS n_adducts FROM peaks p LEFT JOIN iso ON p.peak_id = iso.peak_id AND iso.rn = 1 LEFT JOIN add_ ON p.peak_id = add_.peak_id)"""
+CO_SQL = """co AS (SELECT a.peak_id, count(*) * 1e0 AS rt_cluster_size FROM peaks a JOIN peaks b ON a.species = b.species AND abs(b.rt - a.rt) < 1e-1 GROUP BY 1),
+  cr AS (SELECT a.peak_id, greatest(count(*) - 1, 0) * 1e0 AS n_correlated FROM peaks a JOIN peaks b ON a.species = b.species AND abs(b.rt - a.rt) < 5e-1
+    AND abs(ln(1 + b.intensity) - ln(1 + a.intensity)) < 1e0 GROUP BY 1)"""
+
+
+def _peaks(spark, sf):
+    return kept(spark, sf, "peaks", lambda: view(spark, sf, "peaks"))
+
+
+@query("C1_partner_features", with_views(f", {PARTNER_SQL} SELECT * FROM part_", "peaks"))
+def _(spark, sf):
+    return X.partner_features(_peaks(spark, sf))
+
+
+@query("J13_isotope_adduct_join", with_views(f", {PARTNER_SQL} SELECT * FROM part_", "peaks"))
+def _(spark, sf):
+    # the same answer when every cell counts as crowded and is searched in order
+    return X.partner_features(_peaks(spark, sf), cell_points=0)
+
+
+@query("F23_coelution_counts", with_views(f", {CO_SQL} SELECT co.peak_id, rt_cluster_size, n_correlated FROM co JOIN cr ON co.peak_id = cr.peak_id", "peaks"))
+def _(spark, sf):
+    p = _peaks(spark, sf)
+    return X.coelution_counts(p).join(X.correlated_counts(p), ["peak_id"])

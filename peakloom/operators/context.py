@@ -1,0 +1,150 @@
+"""Chemical context of a peak: isotope and adduct partners, co-elution, signal to noise."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from peakloom.functions.values import ION_SHIFTS, isotope_score
+from peakloom.plans.durable import durable
+from peakloom.plans.joins import lookup_join
+from peakloom.plans.ordered import (
+    counts_within,
+    counts_within_box,
+    exact_percentiles,
+    nearest_within_box,
+)
+
+# Windows of the partner search and of the co-elution counts.
+MASS_WINDOW = 0.01
+RT_WINDOW = 0.1
+CORRELATION_RT = 0.5
+CORRELATION_LOG = 1.0
+NOISE_FRACTION = 0.1
+
+# A cell with more distinct points than this is searched in order instead of pairwise.
+CELL_POINTS = 64
+
+_CELL = ["species", "_cm", "_cr"]
+
+
+def _probe_shifts() -> list[tuple[int, float]]:
+    """(probe number, signed shift): every non-zero ion shift in both directions."""
+    shifts = [s for s in ION_SHIFTS.values() if s != 0.0]
+    return list(enumerate([s for s in shifts] + [-s for s in shifts]))
+
+
+ISOTOPE_PROBE = next(i for i, s in _probe_shifts() if s == ION_SHIFTS["M+13C"])
+
+
+def _distinct_points(peaks: DataFrame) -> DataFrame:
+    """One row per (species, mass, rt): the peak with the smallest id stands for its copies."""
+    return peaks.groupBy("species", "mass", "rt").agg(
+        F.min(F.struct("peak_id", "intensity")).alias("_first")
+    ).select("species", "mass", "rt", F.col("_first.peak_id").alias("point"), F.col("_first.intensity").alias("partner_intensity"))
+
+
+def partners(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(species, mass, rt, probe, partner_intensity): nearest peak at each ion shift, if any.
+
+    A grid cell is as wide as the search window. Probes are looked up in their own cell, points
+    are entered into every cell a matching probe may fall in. Cells with few distinct points are
+    joined directly; crowded ones are searched in mass order, so no cell produces all its pairs.
+    """
+    points = durable(_distinct_points(peaks))
+    wm, wr, slack = 2 * MASS_WINDOW, 2 * RT_WINDOW, 1e-9
+    span = lambda c, half, w: F.sequence(
+        F.floor((F.col(c) - half - slack) / w), F.floor((F.col(c) + half + slack) / w)
+    )
+    entered = (
+        points.withColumn("_cm", F.explode(span("mass", MASS_WINDOW, wm)))
+        .withColumn("_cr", F.explode(span("rt", RT_WINDOW, wr)))
+    )
+    probes = points.select(
+        "species", F.col("mass").alias("origin_mass"), "rt", F.col("point").alias("origin"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("probe"), F.lit(s).alias("shift")) for i, s in _probe_shifts()])).alias("_p"),
+    ).select(
+        "species", "origin_mass", "rt", "origin", "_p.probe", (F.col("origin_mass") + F.col("_p.shift")).alias("mass"),
+        F.concat_ws("_", F.col("origin").cast("string"), F.col("_p.probe").cast("string")).alias("probe_id"),
+    ).withColumns({"_cm": F.floor(F.col("mass") / wm), "_cr": F.floor(F.col("rt") / wr)})
+    sizes = durable(entered.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_size")))
+    crowded = sizes.where(F.col("_size") > cell_points).select(*_CELL)
+
+    sparse_points = entered.join(crowded, _CELL, "left_anti")
+    found = _pairwise(probes, sparse_points)
+    if not crowded.isEmpty():
+        # probes of crowded cells; every one keeps its cell as the search key
+        dense_points = entered.join(crowded, _CELL, "left_semi")
+        dense_probes = lookup_join(probes, crowded, _CELL, "left_semi")
+        near = nearest_within_box(
+            dense_points, dense_probes, _CELL, "rt", RT_WINDOW, "mass", MASS_WINDOW, "point", "probe_id", ["partner_intensity"]
+        ).select("probe_id", "partner_intensity")
+        found = found.unionByName(near)
+    keyed = found.select(
+        F.split("probe_id", "_")[0].cast("long").alias("point"), F.split("probe_id", "_")[1].cast("int").alias("probe"), "partner_intensity"
+    )
+    return keyed.join(points.select("point", "species", "mass", "rt"), ["point"])
+
+
+def _pairwise(probes: DataFrame, points: DataFrame) -> DataFrame:
+    """Direct comparison inside cells of bounded size."""
+    right = points.select(
+        *_CELL, F.col("mass").alias("_pm"), F.col("rt").alias("_pr"), "point", "partner_intensity"
+    )
+    pairs = lookup_join(probes, right, _CELL, "inner").where(
+        (F.abs(F.col("_pm") - F.col("mass")) < MASS_WINDOW) & (F.abs(F.col("_pr") - F.col("rt")) < RT_WINDOW)
+    )
+    near = F.min(F.struct(F.abs(F.col("_pm") - F.col("mass")).alias("d"), "point", "partner_intensity"))
+    return pairs.groupBy("probe_id").agg(near.alias("_n")).select("probe_id", F.col("_n.partner_intensity").alias("partner_intensity"))
+
+
+def partner_features(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(peak_id, has_isotope, isotope_score, n_adducts)."""
+    per_point = partners(peaks, cell_points).groupBy("species", "mass", "rt").agg(
+        F.count(F.lit(1)).cast("double").alias("n_adducts"),
+        F.max(F.when(F.col("probe") == ISOTOPE_PROBE, F.col("partner_intensity"))).alias("_iso"),
+    )
+    joined = peaks.select("peak_id", "species", "mass", "rt", "intensity").join(
+        per_point, ["species", "mass", "rt"], "left"
+    )
+    return joined.select(
+        "peak_id",
+        F.col("_iso").isNotNull().cast("double").alias("has_isotope"),
+        isotope_score(F.col("_iso") / F.col("intensity")).alias("isotope_score"),
+        F.coalesce("n_adducts", F.lit(0.0)).alias("n_adducts"),
+    )
+
+
+def coelution_counts(peaks: DataFrame) -> DataFrame:
+    """(peak_id, rt_cluster_size): peaks of the species at nearly the same time, itself included."""
+    counts = counts_within(peaks, ["species"], "rt", RT_WINDOW, "rt_cluster_size")
+    return peaks.select("peak_id", "species", "rt").join(counts, ["species", "rt"]).select(
+        "peak_id", F.col("rt_cluster_size").cast("double").alias("rt_cluster_size")
+    )
+
+
+def correlated_counts(peaks: DataFrame) -> DataFrame:
+    """(peak_id, n_correlated): other peaks close in time and in log intensity."""
+    marked = peaks.select("peak_id", "species", "rt", F.log1p("intensity").alias("_li"))
+    marked = durable(marked)
+    counts = counts_within_box(marked, ["species"], "rt", CORRELATION_RT, "_li", CORRELATION_LOG, "_n")
+    return marked.join(counts, ["species", "rt", "_li"]).select(
+        "peak_id", F.greatest(F.col("_n") - 1, F.lit(0)).cast("double").alias("n_correlated")
+    )
+
+
+def signal_to_noise(peaks: DataFrame) -> DataFrame:
+    """Intensity over the species' tenth percentile."""
+    floor = exact_percentiles(peaks, ["species"], "intensity", {"_p10": NOISE_FRACTION})
+    return lookup_join(peaks, floor, ["species"], "left").withColumn(
+        "snr", F.col("intensity") / (F.col("_p10") + F.lit(1e-9))
+    ).drop("_p10")
+
+
+def context_features(peaks: DataFrame) -> DataFrame:
+    """All context features, one row per peak."""
+    base = durable(peaks.select("peak_id", "species", "mass", "rt", "intensity"))
+    out = signal_to_noise(base).select("peak_id", "snr")
+    for part in (partner_features(base), coelution_counts(base), correlated_counts(base)):
+        out = out.join(part, ["peak_id"])
+    return out

@@ -15,45 +15,63 @@ from pyspark.sql import functions as F
 from peakloom.plans.durable import durable
 
 
-def running_totals(
+def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    sums: Mapping[str, str],
+    sums: Mapping[str, str] | None = None,
+    last: Mapping[str, str] | None = None,
+    following: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums per key, for rows unique on (keys, order).
+    """Running values per key in ``order``, both ends inclusive.
 
-    ``sums`` maps an output column to the input column it accumulates; ``<output>_total`` is the
-    sum over the whole key. Rows equal on (keys, order) must be pre-aggregated by the caller,
-    which also keeps repeated values from piling up in one range.
+    ``sums``: output to input column, the sum so far (``<output>_total``: the sum of the key).
+    ``last``: output to input column, the largest value so far. ``following``: the smallest value
+    from here on. Rows should be pre-aggregated to be unique on (keys, order), so that repeated
+    values do not pile up in one range.
     """
     keys, order = list(keys), list(order)
+    sums, last, following = dict(sums or {}), dict(last or {}), dict(following or {})
     chunked = durable(
         df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn(
             "_chunk", F.spark_partition_id()
         )
     )
     per_chunk = chunked.groupBy(*keys, "_chunk").agg(
-        *[F.sum(src).alias(f"_{out}_part") for out, src in sums.items()]
+        *[F.sum(src).alias(f"_{out}_part") for out, src in sums.items()],
+        *[F.max(src).alias(f"_{out}_part") for out, src in last.items()],
+        *[F.min(src).alias(f"_{out}_part") for out, src in following.items()],
     )
     # one row per (key, chunk): a hot key contributes at most one row per range
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    after = whole.orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    part = lambda out: F.col(f"_{out}_part")
     offsets = per_chunk.select(
         *keys,
         "_chunk",
-        *[F.coalesce(F.sum(f"_{out}_part").over(before), F.lit(0)).alias(f"_{out}_off") for out in sums],
-        *[F.sum(f"_{out}_part").over(whole).alias(f"{out}_total") for out in sums],
-    )
-    inside = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *[F.coalesce(F.sum(part(o)).over(before), F.lit(0)).alias(f"_{o}_off") for o in sums],
+        *[F.sum(part(o)).over(whole).alias(f"{o}_total") for o in sums],
+        *[F.max(part(o)).over(before).alias(f"_{o}_off") for o in last],
+        *[F.min(part(o)).over(after).alias(f"_{o}_off") for o in following],
     )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    off = lambda out: F.col(f"_{out}_off")
     joined = chunked.join(offsets, [*keys, "_chunk"])
-    for out, src in sums.items():
-        joined = joined.withColumn(out, F.sum(src).over(inside) + F.col(f"_{out}_off"))
-    return joined.drop("_chunk", *[f"_{out}_off" for out in sums])
+    values = {out: F.sum(src).over(so_far) + off(out) for out, src in sums.items()}
+    # greatest and least skip nulls
+    values |= {out: F.greatest(F.max(src).over(so_far), off(out)) for out, src in last.items()}
+    values |= {out: F.least(F.min(src).over(onward), off(out)) for out, src in following.items()}
+    return joined.withColumns(values).drop("_chunk", *[f"_{o}_off" for o in values])
+
+
+def running_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str]
+) -> DataFrame:
+    """Inclusive running sums per key and, as ``<output>_total``, the sums over the whole key."""
+    return ordered_scan(df, keys, order, sums=sums)
 
 
 def exact_percentiles(
@@ -98,36 +116,189 @@ def dense_codes(df: DataFrame, column: str, code: str, start: int = 0) -> DataFr
     return ranked.select(column, (F.col("_rank") - 1 + start).cast("long").alias(code))
 
 
+# -- windows of values -----------------------------------------------------------------------
+#
+# A strict window |x - origin| < w is turned into two bounds. Whether a value equal to a bound
+# belongs to the window is decided by evaluating the same comparison at the bound, so rounding of
+# origin + w cannot change the outcome.
+
+_BELOW, _POINT, _ABOVE = 1, 2, 3
+
+
+def _bounds(origin: Column, w: float) -> tuple[Column, Column, Column, Column]:
+    """(low, kind of low, high, kind of high): kinds order a probe before or after equal values."""
+    low, high = origin - F.lit(w), origin + F.lit(w)
+    low_in, high_in = F.abs(low - origin) < F.lit(w), F.abs(high - origin) < F.lit(w)
+    return (
+        low,
+        F.when(low_in, _BELOW).otherwise(_ABOVE),
+        high,
+        F.when(high_in, _ABOVE).otherwise(_BELOW),
+    )
+
+
+def window_ranges(
+    points: DataFrame, probes: DataFrame, keys: Sequence[str], axis: str, half_width: float,
+    point_id: str, probe_id: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Number the points of every key along ``axis``; give every probe its half-open range.
+
+    Points get ``_pos`` (0, 1, ...), probes get ``_lo`` and ``_hi`` such that the points inside
+    the strict window are those with ``_lo <= _pos < _hi``. Both inputs need a unique id.
+    """
+    keys, w = list(keys), float(half_width)
+    low, low_kind, high, high_kind = _bounds(F.col(axis), w)
+    side = lambda at, kind, name: F.struct(at.alias("at"), kind.alias("kind"), F.lit(name).alias("side"))
+    stops = probes.select(
+        *keys, F.col(probe_id).cast("string").alias("_id"),
+        F.explode(F.array(side(low, low_kind, "lo"), side(high, high_kind, "hi"))).alias("_s"),
+    ).select(*keys, "_id", F.col("_s.at").alias("_at"), F.col("_s.kind").alias("_kind"), F.col("_s.side").alias("_side"), F.lit(0).cast("long").alias("_one"))
+    marks = points.select(
+        *keys, F.col(point_id).cast("string").alias("_id"), F.col(axis).alias("_at"), F.lit(_POINT).alias("_kind"),
+        F.lit("point").alias("_side"), F.lit(1).cast("long").alias("_one"),
+    )
+    ranked = ordered_scan(marks.unionByName(stops), keys, ["_at", "_kind", "_id"], sums={"_cum": "_one"})
+    place = ranked.where("_side = 'point'").select(*keys, F.col("_id"), (F.col("_cum") - 1).alias("_pos"))
+    span = ranked.where("_side <> 'point'").groupBy(*keys, "_id").agg(
+        F.max(F.when(F.col("_side") == "lo", F.col("_cum"))).alias("_lo"),
+        F.max(F.when(F.col("_side") == "hi", F.col("_cum"))).alias("_hi"),
+    )
+    named = lambda df, name: df.withColumn("_id", F.col(name).cast("string"))
+    return (
+        named(points, point_id).join(place, [*keys, "_id"]).drop("_id"),
+        named(probes, probe_id).join(span, [*keys, "_id"]).drop("_id"),
+    )
+
+
+def range_blocks(points: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Break every range into aligned blocks of 2^level positions and place points in their blocks.
+
+    A range of m positions needs at most 2 log2(m) blocks, so points and probes meet in blocks
+    instead of pairwise. Adds ``_level`` and ``_block``.
+    """
+    probes = probes.where("_hi > _lo")
+    widest = probes.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
+    levels = int(widest).bit_length()
+    level_sql = """
+      flatten(transform(sequence(0, {top}), l -> filter(array(
+        IF(shiftright(_lo + shiftleft(1L, l) - 1, l) % 2 = 1 AND shiftright(_lo + shiftleft(1L, l) - 1, l) < shiftright(_hi, l),
+           named_struct('level', l, 'block', shiftright(_lo + shiftleft(1L, l) - 1, l)), NULL),
+        IF(shiftright(_hi, l) % 2 = 1 AND shiftright(_lo + shiftleft(1L, l) - 1, l) < shiftright(_hi, l),
+           named_struct('level', l, 'block', shiftright(_hi, l) - 1), NULL)
+      ), b -> b IS NOT NULL)))"""
+    spread = lambda df, sql: df.withColumn("_b", F.explode(F.expr(sql))).select(
+        "*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")
+    ).drop("_b")
+    placed = spread(
+        points, f"transform(sequence(0, {levels}), l -> named_struct('level', l, 'block', shiftright(_pos, l)))"
+    )
+    return placed, spread(probes, level_sql.format(top=levels))
+
+
 def counts_within(
     df: DataFrame, keys: Sequence[str], value: str, half_width: float, out: str
 ) -> DataFrame:
-    """(keys, value, out): rows of the same key with ``abs(other - value) < half_width`` (strict).
+    """(keys, value, out): rows of the same key with ``abs(other - value) < half_width``.
 
     No pairs are formed: every distinct value probes the running count at both ends of its
     window, and probes and values share one ordered pass.
     """
     keys = list(keys)
-    w = F.lit(float(half_width))
     points = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     points = durable(points)
-    # Rank 1 probes sit before an equal value (count < x), rank 3 after it (count <= x).
-    stops = points.select(
-        *keys,
-        F.col(value).alias("_origin"),
-        F.explode(
-            F.array(
-                F.struct((F.col(value) - w).alias("_at"), F.lit(3).alias("_kind")),
-                F.struct((F.col(value) + w).alias("_at"), F.lit(1).alias("_kind")),
-            )
-        ).alias("_s"),
-    ).select(*keys, "_s._at", "_s._kind", "_origin", F.lit(0).cast("long").alias("_n"))
     marks = points.select(
-        *keys, F.col(value).alias("_at"), F.lit(2).alias("_kind"), F.col(value).alias("_origin"), "_n"
+        *keys, F.col(value).alias("_at"), F.lit(_POINT).alias("_kind"), F.col(value).alias("_origin"), "_n"
     )
-    ranked = running_totals(stops.unionByName(marks), keys, ["_at", "_kind", "_origin"], {"_cum": "_n"})
-    sign = F.when(F.col("_kind") == 1, F.col("_cum")).when(F.col("_kind") == 3, -F.col("_cum"))
+    return _signed_counts(points, marks, keys, value, float(half_width), [value], out)
+
+
+def _signed_counts(probes, marks, keys, axis, w, identity, out):
+    """Running count at the upper end of each probe's window minus that at the lower end."""
+    low, low_kind, high, high_kind = _bounds(F.col(axis), w)
+    stop = lambda at, kind, sign: F.struct(at.alias("at"), kind.alias("kind"), F.lit(sign).alias("sign"))
+    names = [f"_i{i}" for i in range(len(identity))]
+    stops = probes.select(
+        *keys, *[F.col(c).alias(n) for c, n in zip(identity, names)],
+        F.explode(F.array(stop(low, low_kind, -1), stop(high, high_kind, 1))).alias("_s"),
+    ).select(
+        *keys, *names, F.col("_s.at").alias("_at"), F.col("_s.kind").alias("_kind"), F.col("_s.sign").alias("_sign"),
+        F.lit(0).cast("long").alias("_n"),
+    )
+    both = stops.unionByName(marks.select(*keys, "_at", "_kind", "_n"), allowMissingColumns=True)
+    ranked = ordered_scan(both, keys, ["_at", "_kind", *names], sums={"_cum": "_n"})
+    final = [k for k in keys if k not in ("_level", "_block")]
     return (
-        ranked.where(F.col("_kind") != 2)
-        .groupBy(*keys, F.col("_origin").alias(value))
-        .agg(F.sum(sign).cast("long").alias(out))
+        ranked.where(F.col("_sign").isNotNull())
+        .groupBy(*final, *[F.col(n).alias(c) for c, n in zip(identity, names)])
+        .agg(F.sum(F.col("_sign") * F.col("_cum")).cast("long").alias(out))
+    )
+
+
+def counts_within_box(
+    df: DataFrame, keys: Sequence[str], first: str, first_width: float, second: str, second_width: float, out: str
+) -> DataFrame:
+    """(keys, first, second, out): rows of the same key inside both strict windows.
+
+    The first window becomes a range of positions, the range a few aligned blocks, and inside a
+    block the second window is a difference of running counts. Work grows with n log n, not with
+    the number of neighbours.
+    """
+    keys = list(keys)
+    points = (
+        df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
+        .groupBy(*keys, first, second).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_pid", F.concat_ws("_", F.col(first).cast("string"), F.col(second).cast("string")))
+    )
+    points = durable(points)
+    placed, ranged = window_ranges(points, points, keys, first, first_width, "_pid", "_pid")
+    placed, ranged = range_blocks(durable(placed), durable(ranged))
+    block = [*keys, "_level", "_block"]
+    marks = placed.groupBy(*block, F.col(second).alias("_at")).agg(F.sum("_n").alias("_n")).withColumn(
+        "_kind", F.lit(_POINT)
+    )
+    return _signed_counts(ranged, marks, block, second, float(second_width), [first, second], out)
+
+
+def nearest_within_box(
+    points: DataFrame, probes: DataFrame, keys: Sequence[str], window_axis: str, window_width: float,
+    axis: str, axis_width: float, point_id: str, probe_id: str, payload: Sequence[str],
+) -> DataFrame:
+    """For every probe the point closest along ``axis`` among those inside both strict windows.
+
+    Ties go to the smallest ``point_id``. Returns the probe id, ``distance`` and the payload of
+    the point; probes without a point are absent. Per block only the neighbours below and above
+    the probe are looked at.
+    """
+    keys = list(keys)
+    placed, ranged = window_ranges(points, probes, keys, window_axis, window_width, point_id, probe_id)
+    placed, ranged = range_blocks(durable(placed), durable(ranged))
+    block = [*keys, "_level", "_block"]
+    body = F.struct(*[F.col(c).alias(c) for c in payload])
+    marks = placed.select(
+        *block, F.col(axis).alias("_at"), F.lit(None).cast(probes.schema[probe_id].dataType).alias("_probe"),
+        # largest-so-far must prefer the smallest id among equal positions, hence the negated id
+        F.struct(F.col(axis).alias("at"), (-F.col(point_id)).alias("neg"), body.alias("body")).alias("_down"),
+        F.struct(F.col(axis).alias("at"), F.col(point_id).alias("id"), body.alias("body")).alias("_up"),
+    )
+    asks = ranged.select(*block, F.col(axis).alias("_at"), F.col(probe_id).alias("_probe"))
+    both = marks.unionByName(asks, allowMissingColumns=True).withColumn(
+        "_order", F.when(F.col("_probe").isNull(), 0).otherwise(1)
+    )
+    # points equal to the probe come first, so they are found from below
+    scanned = ordered_scan(
+        both, block, ["_at", "_order", "_probe"], last={"_below": "_down"}, following={"_above": "_up"}
+    ).where(F.col("_probe").isNotNull())
+    side = lambda c, ident: F.struct(
+        F.abs(F.col(f"{c}.at") - F.col("_at")).alias("distance"), ident.alias("id"), F.col(f"{c}.body").alias("body")
+    )
+    options = scanned.select(
+        "_probe",
+        F.explode(
+            F.filter(
+                F.array(side("_below", -F.col("_below.neg")), side("_above", F.col("_above.id"))),
+                lambda o: o["distance"] < F.lit(float(axis_width)),
+            )
+        ).alias("_o"),
     )
+    best = options.groupBy(F.col("_probe").alias(probe_id)).agg(F.min("_o").alias("_o"))
+    return best.select(probe_id, F.col("_o.distance").alias("distance"), F.col("_o.id").alias(point_id), *[F.col(f"_o.body.{c}").alias(c) for c in payload])
