@@ -30,6 +30,18 @@ def _(spark, sf):
     return X.partner_features(_peaks(spark, sf))
 
 
+@query("F6_isotope_score", with_views(f", {PARTNER_SQL} SELECT isotope_score, count(*) AS n_peaks FROM part_ GROUP BY 1", "peaks"))
+def _(spark, sf):
+    return X.partner_features(_peaks(spark, sf)).groupBy("isotope_score").agg(F.count(F.lit(1)).alias("n_peaks"))
+
+
+@query("W9_closest_partner", with_views(f", {PARTNER_SQL} SELECT peak_id, round(i2, 4) AS partner_intensity FROM iso WHERE rn = 1", "peaks"))
+def _(spark, sf):
+    p = _peaks(spark, sf)
+    near = X.partners(p).where(F.col("probe") == X.ISOTOPE_PROBE).select("species", "mass", "rt", "partner_intensity")
+    return rounded(p.select("peak_id", "species", "mass", "rt").join(near, ["species", "mass", "rt"]).select("peak_id", "partner_intensity"), 4)
+
+
 @query("J13_isotope_adduct_join", with_views(f", {PARTNER_SQL} SELECT * FROM part_", "peaks"))
 def _(spark, sf):
     # the same answer when every cell counts as crowded and is searched in order

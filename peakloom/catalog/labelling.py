@@ -1 +1,321 @@
-"""Catalogue queries."""
+"""Catalogue queries: acquisition, batches, uncertainty, embeddings, curation, pooled and lasso models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from peakloom.catalog.assignment import (
+    CVIEWS, DRAW_SQL, PROB_SQL, _candidates, _peaks, _probs, _samples, _slots, _truth,
+)
+from peakloom.catalog.inputs import kept, table, view, with_views
+from peakloom.catalog.models import FEATURES, _fold
+from peakloom.catalog.registry import query, rounded
+from peakloom.operators import candidates as C
+from peakloom.operators import curation as U
+from peakloom.operators import embeddings as E
+from peakloom.operators import labelling as L
+from peakloom.operators import lasso as LA
+from peakloom.operators import metrics as M
+from peakloom.operators import pooling as PO
+from peakloom.operators import ridge as R
+from peakloom.operators import scoring as SC
+from peakloom.operators import sums as S
+
+TOP_SQL = PROB_SQL + """, rk AS (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY p DESC, slot) AS rn FROM pb),
+  pk AS (SELECT peak_id, max(CASE WHEN rn = 1 THEN p END) AS top, max(CASE WHEN rn = 1 THEN slot END) AS ts, max(CASE WHEN rn = 2 THEN p END) AS sec,
+    -sum(greatest(p, 1e-12)*ln(greatest(p, 1e-12))) AS h FROM rk GROUP BY 1),
+  ac AS (SELECT *, CASE WHEN ts > 0 AND top >= 6e-1 THEN 1 - top ELSE 0e0 END AS fp FROM pk)"""
+
+
+def _acq(name, expr):
+    def run(spark, sf):
+        return rounded(L.acquisition(_probs(spark, sf), name, 0.6))
+
+    query(f"L1_acquisition_{name}", with_views(f", {TOP_SQL} SELECT peak_id, round({expr}, 6) AS score FROM ac", *CVIEWS))(run)
+
+
+_acq("fp", "fp")
+_acq("entropy", "h")
+_acq("lc", "1 - top")
+_acq("margin", "coalesce(sec - top, 0e0)")
+_acq("hybrid", "7e-1*fp + 3e-1*h")
+
+
+@query("F19_W8_uncertainty_terms", with_views(f", {TOP_SQL} SELECT peak_id, round(top, 6) AS top, ts AS top_slot, round(sec, 6) AS second, round(h, 6) AS entropy FROM ac", *CVIEWS))
+def _(spark, sf):
+    return rounded(L.peak_summary(_probs(spark, sf)))
+
+
+@query(
+    "F20_mutual_information",
+    with_views(
+        f""", {DRAW_SQL}, mn AS (SELECT peak_id, slot, avg(p) AS p, avg(-p*ln(p)) AS h FROM ps GROUP BY 1, 2)
+        SELECT peak_id, round(sum(-p*ln(p)) - sum(h), 5) AS score FROM mn GROUP BY 1""",
+        *CVIEWS,
+    ),
+)
+def _(spark, sf):
+    return rounded(L.acquisition(_probs(spark, sf), "mi", samples=_samples(spark, sf)), 5)
+
+
+@query(
+    "W7_global_top_k",
+    with_views(f", {TOP_SQL} SELECT peak_id, round(7e-1*fp + 3e-1*h, 6) AS score FROM ac ORDER BY round(7e-1*fp + 3e-1*h, 9) DESC, peak_id LIMIT 20", *CVIEWS),
+)
+def _(spark, sf):
+    scores = L.acquisition(_probs(spark, sf), "hybrid", 0.6).withColumn("score", F.round("score", 9))
+    return rounded(L.select_batch(scores, 20))
+
+
+@query(
+    "L2_U6_next_batch",
+    with_views(
+        f""", {TOP_SQL}, sc AS (SELECT peak_id, round(h, 9) AS score FROM ac), b1 AS (SELECT peak_id FROM sc ORDER BY score DESC, peak_id LIMIT 20)
+        SELECT peak_id, round(score, 6) AS score FROM sc WHERE peak_id NOT IN (SELECT peak_id FROM b1) ORDER BY sc.score DESC, peak_id LIMIT 20""",
+        *CVIEWS,
+    ),
+)
+def _(spark, sf):
+    probs = _probs(spark, sf)
+    scores = L.acquisition(probs, "entropy", 0.6).withColumn("score", F.round("score", 9))
+    history = L.select_batch(scores, 20)
+    rest = scores.join(history.select("peak_id"), ["peak_id"], "left_anti")
+    return rounded(L.select_batch(rest, 20))
+
+
+VECTORS = ["mass_err_ppm", "rt_z", "log_intensity"]
+
+
+def _slot_probs(spark, sf):
+    p = _probs(spark, sf).select("peak_id", "slot", "p")
+    return _slots(spark, sf).select("peak_id", "slot", *VECTORS).join(p, ["peak_id", "slot"])
+
+
+@query(
+    "L3_expected_features",
+    with_views(
+        f""", {PROB_SQL}, jn AS (SELECT pb.*, sl.me, sl.rt_z FROM pb JOIN sl ON pb.peak_id = sl.peak_id AND pb.slot = sl.slot)
+        SELECT peak_id, round(coalesce(sum(CASE WHEN slot > 0 THEN p*me END), 0)/(coalesce(sum(CASE WHEN slot > 0 THEN p END), 0) + 1e-12), 5) AS mass_err_ppm,
+          round(coalesce(sum(CASE WHEN slot > 0 THEN p*rt_z END), 0)/(coalesce(sum(CASE WHEN slot > 0 THEN p END), 0) + 1e-12), 5) AS rt_z FROM jn GROUP BY 1""",
+        *CVIEWS,
+    ),
+)
+def _(spark, sf):
+    return rounded(L.expected_features(_slot_probs(spark, sf), ["mass_err_ppm", "rt_z"]), 5)
+
+
+@query("W10_diverse_batch")
+def _(spark, sf):
+    vectors = L.expected_features(_slot_probs(spark, sf), VECTORS)
+    scores = L.acquisition(_probs(spark, sf), "hybrid", 0.6)
+    return rounded(L.diverse_batch(scores, vectors, VECTORS, size=20, pool=60))
+
+
+@query(
+    "A24_uncertainty_totals",
+    with_views(f", {TOP_SQL} SELECT round(sum(h), 4) AS entropy, round(sum(fp), 4) AS expected_fp FROM ac", *CVIEWS),
+)
+def _(spark, sf):
+    return rounded(L.uncertainty_totals(_probs(spark, sf), 0.6), 4)
+
+
+@query(
+    "A25_threshold_sweep",
+    with_views(
+        f""", {TOP_SQL}, th(threshold) AS (VALUES (5e-1), (6e-1), (7e-1), (75e-2), (8e-1), (9e-1)),
+        lb2 AS (SELECT peak_id, label FROM sl WHERE slot = 0),
+        ct2 AS (SELECT threshold, count(*) AS n, count(*) FILTER (WHERE ts > 0 AND top >= threshold) AS a, count(*) FILTER (WHERE ts > 0 AND top >= threshold AND ts = label) AS tp,
+          count(*) FILTER (WHERE ts > 0 AND top >= threshold AND ts <> label) AS fp, count(*) FILTER (WHERE NOT (ts > 0 AND top >= threshold) AND label > 0) AS fn
+          FROM ac JOIN lb2 ON ac.peak_id = lb2.peak_id, th GROUP BY 1)
+        SELECT threshold, round(tp/(tp + fp), 6) AS precision, round(tp/(tp + fn), 6) AS recall, round(2e0*tp/(2*tp + fp + fn), 6) AS f1, round(a/n, 6) AS assignment_rate FROM ct2""",
+        *CVIEWS,
+    ),
+)
+def _(spark, sf):
+    labels = _slots(spark, sf).where("slot = 0").select("peak_id", "label")
+    return rounded(L.threshold_sweep(_probs(spark, sf), labels))
+
+
+@query("L4_round_metrics")
+def _(spark, sf):
+    """Uncertainty and accuracy before and after the weights move."""
+    from peakloom.catalog.assignment import _prior_slots
+    from peakloom.operators import assignment as A
+
+    truth = _peaks(spark, sf).select("peak_id", "true_compound")
+    after = A.probabilities(_prior_slots(spark, sf), {"mass_err_ppm": -0.02, "rt_z": -0.3}, 2.0, -1.0)
+    return rounded(L.round_metrics(_probs(spark, sf), after, truth, 1, 0.6), 4)
+
+
+# -- embeddings and clusters -----------------------------------------------------------------------
+
+
+def _chem_embeddings(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chem_id"), "embedding", "label")
+
+
+@query(
+    "J19_embedding_lookup",
+    """WITH mn AS (SELECT avg(embedding[1]) AS m1, avg(embedding[64]) AS m64 FROM embeddings),
+      cp AS (SELECT p_partkey AS comp_id, CASE WHEN p_size = 7 THEN -1 ELSE p_partkey END AS chemical_id FROM part)
+    SELECT comp_id, round(coalesce(e.embedding[1] - m1, 0e0), 5) AS z1, round(coalesce(e.embedding[64] - m64, 0e0), 5) AS z64,
+      CASE WHEN e.vec_id IS NOT NULL THEN 'embedding' WHEN chemical_id >= 0 THEN 'no embedding' ELSE 'no chemical' END AS z_source
+    FROM cp LEFT JOIN embeddings e ON cp.chemical_id = e.vec_id, mn""",
+)
+def _(spark, sf):
+    compounds = table(spark, sf, "part").selectExpr("p_partkey AS comp_id", "CASE WHEN p_size = 7 THEN -1L ELSE p_partkey END AS chemical_id")
+    z = E.attach_embeddings(compounds, _chem_embeddings(spark, sf), "embedding")
+    return rounded(z.select("comp_id", F.get("z", F.lit(0)).alias("z1"), F.get("z", F.lit(63)).alias("z64"), "z_source"), 5)
+
+
+@query("M16_chemical_classes")
+def _(spark, sf):
+    classes, _cost = E.chemical_classes(_chem_embeddings(spark, sf), "embedding", 32)
+    return classes
+
+
+@query("M17_species_clusters")
+def _(spark, sf):
+    runs = S.run_means(view(spark, sf, "obs"), ["sampleset_id", "worksheet_id", "task_id"], ["IS1", "RS1", "ES_1"])
+    return E.species_clusters(runs, ["IS1", "RS1", "ES_1"], 5)
+
+
+@query("M18_whitened_components")
+def _(spark, sf):
+    z = E.whitened_components(_chem_embeddings(spark, sf), "embedding", 20)
+    return z.select("chem_id", F.size("embedding20").cast("long").alias("width"), F.round(F.abs(F.get("embedding20", F.lit(0))), 4).alias("first_abs"))
+
+
+@query(
+    "M19_rotation_variances",
+    with_views(
+        """, cv AS (SELECT var_samp(IS1) AS a, covar_samp(IS1, RS1) AS b, var_samp(RS1) AS c FROM obs)
+        SELECT round((a + c)/2 + sqrt((a - c)*(a - c)/4 + b*b), 4) AS v1, round(greatest((a*c - b*b)/((a + c)/2 + sqrt((a - c)*(a - c)/4 + b*b)), 0), 4) AS v2 FROM cv""",
+        "obs",
+    ),
+)
+def _(spark, sf):
+    from peakloom.functions.values import transform_vector
+
+    obs = view(spark, sf, "obs")
+    center, rotation = S.feature_transform(obs, ["IS1", "RS1"], "pca")
+    x = transform_vector(F.array("IS1", "RS1"), center, rotation)
+    t = obs.select(x.alias("x"))
+    return rounded(t.agg(F.var_samp(F.get("x", F.lit(0))).alias("v1"), F.var_samp(F.get("x", F.lit(1))).alias("v2")), 4)
+
+
+# -- curation --------------------------------------------------------------------------------------
+
+# every production row is a peak of its compound in one task; the library time is the prediction
+CURATE_SQL = """, cu AS (SELECT sampleset_id AS sample_set_id, worksheet_id*12 + task_id AS task_id, comp_id AS compound_id,
+    l_orderkey*1000000 + l_linenumber*100000 + l_partkey AS peak_id, round(rt, 9) AS rt, round(3e0 + 2e-2*comp_id + 1e-1 + 1e-2*species, 9) AS rt_mean, 15e-2 AS half_width FROM obs),
+  ins AS (SELECT *, rt_mean - rt AS delta FROM cu WHERE abs(rt - rt_mean) <= half_width),
+  cf AS (SELECT sample_set_id, compound_id, quantile_cont(delta, 0.5) AS correction FROM ins GROUP BY 1, 2),
+  mv AS (SELECT ins.*, correction, abs(delta - correction) AS off, row_number() OVER (PARTITION BY ins.sample_set_id, ins.task_id, ins.compound_id ORDER BY abs(delta - correction), peak_id) AS rn
+    FROM ins JOIN cf ON ins.sample_set_id = cf.sample_set_id AND ins.compound_id = cf.compound_id),
+  se AS (SELECT * FROM mv WHERE rn = 1 AND off <= 2e-2)"""
+
+
+def _selected(spark, sf):
+    def build():
+        cu = view(spark, sf, "obs").selectExpr(
+            "sampleset_id AS sample_set_id", "worksheet_id*12 + task_id AS task_id", "comp_id AS compound_id",
+            "l_orderkey*1000000 + l_linenumber*100000 + l_partkey AS peak_id", "round(rt, 9) AS rt",
+            "round(3e0 + 2e-2*comp_id + 1e-1 + 1e-2*species, 9) AS rt_mean", "15e-2 AS half_width",
+        )
+        return U.select_peaks(cu)
+
+    return kept(spark, sf, "selected", build)
+
+
+@query(
+    "W13_correction_factor_selection",
+    with_views(CURATE_SQL + " SELECT sample_set_id, task_id, compound_id, round(correction, 6) AS correction, round(off, 6) AS offset FROM se".replace(" AS offset", ' AS "offset"'), "obs"),
+)
+def _(spark, sf):
+    return rounded(_selected(spark, sf).select("sample_set_id", "task_id", "compound_id", "correction", "offset"))
+
+
+@query(
+    "M20_coherence_scores",
+    with_views(
+        CURATE_SQL + """, z AS (SELECT *, half_width/1.959963984540054e0 AS sg, (delta - correction)/(half_width/1.959963984540054e0) AS zz FROM se)
+        SELECT sample_set_id, compound_id, round(avg(-5e-1*(zz*zz + ln(sg*sg))), 5) AS x, count(*) AS n_tasks FROM z GROUP BY 1, 2""",
+        "obs",
+    ),
+)
+def _(spark, sf):
+    return rounded(U.coherence_scores(_selected(spark, sf)), 5)
+
+
+@query("M20_coherence_mixture")
+def _(spark, sf):
+    mix = U.coherence_mixture(U.coherence_scores(_selected(spark, sf)), iterations=12)
+    return rounded(mix.select("sample_set_id", "compound_id", "posterior_coherent", "rejected", "coherent_component"), 3)
+
+
+# -- pooled and lasso models -----------------------------------------------------------------------
+
+
+def _pooled(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _pool:
+        coef, state = PO.train_partial_pool(_fold(spark, sf, "train"), FEATURES, rounds=4)
+        _pool[key] = (kept(spark, sf, "pooled", lambda: coef), state)
+    return _pool[key]
+
+
+_pool: dict = {}
+
+
+@query("M10_partial_pooling")
+def _(spark, sf):
+    coef, _ = _pooled(spark, sf)
+    at = lambda i, a: F.get("beta_hat", F.lit(i)).alias(a)
+    return rounded(coef.select("species", "comp_id", "n", at(0, "b"), at(1, "w1"), at(2, "w2"), at(3, "w3")), 3)
+
+
+@query("M11_model_facade")
+def _(spark, sf):
+    """Two modes of the same entry point on the same rows, compared by held-out error."""
+    rows, test = _fold(spark, sf, "train"), _fold(spark, sf, "test")
+    out = []
+    for mode in ("group_ridge", "shared_noise_ridge"):
+        coef, settings = R.fit(rows, FEATURES, mode, group="species", penalty=1e-3)
+        m = M.overall(SC.score(test, coef, FEATURES, "species", center=settings["center"]))
+        out.append(m.withColumn("mode", F.lit(mode)))
+    return rounded(out[0].unionByName(out[1]).select("mode", "n_test", "n_used", "rmse", "mae"), 5)
+
+
+@query("M14_backoff_scoring")
+def _(spark, sf):
+    """Test rows scored from hierarchy effects alone, as if their groups were unseen."""
+    _, state = _pooled(spark, sf)
+    rows = _fold(spark, sf, "test").withColumns({f: F.col(f) - F.lit(c) for f, c in zip(state.features, state.center)})
+    pred = SC.score_backoff(rows, *state.backoff()[:2], state.features, state.t0)
+    return rounded(pred.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("pred_mean") - F.col("rt")) ** 2)).alias("rmse")), 2)
+
+
+ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "sampleset_id"]
+
+
+def _lasso(keys):
+    def run(spark, sf):
+        m = LA.fit_lasso(_fold(spark, sf, "train"), keys, ["IS1", "RS1"], ROW_KEY)
+        pred = LA.predict_lasso(_fold(spark, sf, "test"), m, keys, ["IS1", "RS1"]).where("pred_mean IS NOT NULL")
+        return rounded(pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("pred_mean") - F.col("rt"))).alias("mae")), 4)
+
+    return run
+
+
+query("M15_lasso_species_compound")(_lasso(["species", "comp_id"]))
+query("M15_lasso_cluster_compound")(_lasso(["species_cluster", "comp_id"]))
+
+
+@query("M15_lasso_cluster_profile")
+def _(spark, sf):
+    train = _fold(spark, sf, "train")
+    runs = S.run_means(train, ["sampleset_id", "worksheet_id", "task_id"], ["IS1", "RS1"])
+    rows = LA.with_species_profile(train, runs, ["IS1", "RS1"])
+    m = LA.fit_lasso(rows, ["species_cluster"], ["IS1", "RS1"], ROW_KEY)
+    return m.select("species_cluster", F.round("intercept", 2).alias("intercept"), "n")

@@ -43,6 +43,9 @@ def lookup_join(
         raise ValueError(f"unsupported join type {how!r}")
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
+    if facts.isStreaming:
+        # key counts of a stream are not known up front
+        return facts.join(dim, on, how)
     hot = F.broadcast(hot_keys(facts, on).withColumn("_hot", F.lit(True)))
     row_hash = F.xxhash64(*[c for c in facts.columns if c not in on] or [F.lit(0)])
     left = (
