@@ -7,9 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.plans.durable import durable
+
 BROADCAST_ROWS = 200_000
 HOT_SHARE = 1.0 / 256
 SALTS = 64
+# Share of the key column that is looked at to find hot keys, and the fewest sightings that count.
+PROBE_SHARE = 0.05
+PROBE_MINIMUM = 50
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -17,11 +22,21 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def hot_keys(facts: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of all rows; there can be at most ``1/share`` of them."""
-    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = facts.agg((F.count(F.lit(1)) * F.lit(share)).alias("_cut"))
-    return counts.join(F.broadcast(total), F.col("_n") > F.col("_cut"), "left_semi").select(*on)
+def hot_keys(
+    facts: DataFrame, on: Sequence[str], share: float = HOT_SHARE, probe: float = PROBE_SHARE,
+    minimum: int = PROBE_MINIMUM,
+) -> DataFrame:
+    """Keys seen in more than ``share`` of a probe of the rows; at most ``1/share`` of them.
+
+    Only decides how rows are spread, never which rows are kept, so a probe is enough. The answer
+    is written once: both sides of a join must agree on it.
+    """
+    keys = facts.select(*on)
+    if probe < 1.0:
+        keys = keys.sample(probe, seed=17)
+    counts = durable(keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.where(F.col("_n") > max(total * share, minimum)).select(*on)
 
 
 def lookup_join(
@@ -31,6 +46,7 @@ def lookup_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    **probing: float,
 ) -> DataFrame:
     """Join a large table to a lookup keyed by ``on``.
 
@@ -46,21 +62,17 @@ def lookup_join(
     if facts.isStreaming:
         # key counts of a stream are not known up front
         return facts.join(dim, on, how)
-    hot = F.broadcast(hot_keys(facts, on).withColumn("_hot", F.lit(True)))
-    row_hash = F.xxhash64(*[c for c in facts.columns if c not in on] or [F.lit(0)])
-    left = (
-        facts.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)))
-        .drop("_hot")
+    hot = hot_keys(facts, on, **probing)
+    if hot.isEmpty():
+        return facts.join(dim, on, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    zero = F.lit(0).cast("long")
+    row_hash = F.xxhash64(*([c for c in facts.columns if c not in on] or [zero]))
+    left = facts.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts).cast("long"))).otherwise(zero)
     )
-    right = (
-        dim.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ).cast("long"),
-        )
-        .drop("_hot")
+    every = F.sequence(zero, F.lit(salts - 1).cast("long"))
+    right = dim.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(zero)))
     )
-    return left.withColumn("_salt", F.col("_salt").cast("long")).join(right, [*on, "_salt"], how).drop("_salt")
+    return left.drop("_hot").join(right.drop("_hot"), [*on, "_salt"], how).drop("_salt")

@@ -1,8 +1,9 @@
 """Ordered computations that stay distributed however large one key is.
 
-``Window.partitionBy(key).orderBy(x)`` sends a whole key to one task. Here rows are range
-partitioned on (keys, order), each range becomes a chunk, only one total per (key, chunk) is
-ordered centrally, and the running value inside a chunk starts from that offset.
+``Window.partitionBy(key).orderBy(x)`` sends a whole key to one task. That is used while keys are
+small. Otherwise rows are range partitioned on (keys, order), each range becomes a chunk, only one
+total per (key, chunk) is ordered centrally, and the running value inside a chunk starts from that
+offset.
 """
 
 from __future__ import annotations
@@ -14,6 +15,22 @@ from pyspark.sql import functions as F
 
 from peakloom.plans.durable import durable
 
+# A key with more rows than this is not ordered by a single task.
+TASK_ROWS = 1_000_000
+_PROBE_SHARE = 0.02
+
+
+def has_large_key(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> bool:
+    """Whether some key probably exceeds ``limit`` rows. Only chooses between two equal plans, so
+    it looks at a share of the rows."""
+    if limit <= 0:
+        return True
+    if not keys:
+        return df.limit(limit + 1).count() > limit
+    seen = df.select(*keys).sample(_PROBE_SHARE, seed=23).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    most = seen.agg(F.max("n")).first()[0] or 0
+    return most > limit * _PROBE_SHARE
+
 
 def ordered_scan(
     df: DataFrame,
@@ -22,16 +39,31 @@ def ordered_scan(
     sums: Mapping[str, str] | None = None,
     last: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Running values per key in ``order``, both ends inclusive.
 
     ``sums``: output to input column, the sum so far (``<output>_total``: the sum of the key).
     ``last``: output to input column, the largest value so far. ``following``: the smallest value
-    from here on. Rows should be pre-aggregated to be unique on (keys, order), so that repeated
-    values do not pile up in one range.
+    from here on. Rows should be unique on (keys, order), pre-aggregated if necessary, so that the
+    order is total and repeated values do not pile up in one range.
     """
     keys, order = list(keys), list(order)
     sums, last, following = dict(sums or {}), dict(last or {}), dict(following or {})
+    if has_large_key(df, keys, TASK_ROWS if task_rows is None else task_rows):
+        return _chunked_scan(df, keys, order, sums, last, following)
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    values = {out: F.sum(src).over(so_far) for out, src in sums.items()}
+    values |= {f"{out}_total": F.sum(src).over(Window.partitionBy(*keys)) for out, src in sums.items()}
+    values |= {out: F.max(src).over(so_far) for out, src in last.items()}
+    values |= {out: F.min(src).over(onward) for out, src in following.items()}
+    return df.withColumns(values)
+
+
+def _chunked_scan(df, keys, order, sums, last, following) -> DataFrame:
+    """The same result for keys of any size."""
     chunked = durable(
         df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn(
             "_chunk", F.spark_partition_id()
@@ -139,35 +171,36 @@ def _bounds(origin: Column, w: float) -> tuple[Column, Column, Column, Column]:
 
 def window_ranges(
     points: DataFrame, probes: DataFrame, keys: Sequence[str], axis: str, half_width: float,
-    point_id: str, probe_id: str,
+    point_id: Sequence[str], probe_id: Sequence[str],
 ) -> tuple[DataFrame, DataFrame]:
     """Number the points of every key along ``axis``; give every probe its half-open range.
 
     Points get ``_pos`` (0, 1, ...), probes get ``_lo`` and ``_hi`` such that the points inside
-    the strict window are those with ``_lo <= _pos < _hi``. Both inputs need a unique id.
+    the strict window are those with ``_lo <= _pos < _hi``. The id columns identify a row within
+    its key; all columns travel with their row, so nothing is joined back.
     """
     keys, w = list(keys), float(half_width)
     low, low_kind, high, high_kind = _bounds(F.col(axis), w)
+    carry = lambda df: F.struct(*[F.col(c) for c in df.columns if c not in keys])
     side = lambda at, kind, name: F.struct(at.alias("at"), kind.alias("kind"), F.lit(name).alias("side"))
     stops = probes.select(
-        *keys, F.col(probe_id).cast("string").alias("_id"),
+        *keys, F.struct(*probe_id).alias("_probe"), carry(probes).alias("_ask"),
         F.explode(F.array(side(low, low_kind, "lo"), side(high, high_kind, "hi"))).alias("_s"),
-    ).select(*keys, "_id", F.col("_s.at").alias("_at"), F.col("_s.kind").alias("_kind"), F.col("_s.side").alias("_side"), F.lit(0).cast("long").alias("_one"))
+    ).select(*keys, "_probe", "_ask", F.col("_s.at").alias("_at"), F.col("_s.kind").alias("_kind"), F.col("_s.side").alias("_side"), F.lit(0).cast("long").alias("_one"))
     marks = points.select(
-        *keys, F.col(point_id).cast("string").alias("_id"), F.col(axis).alias("_at"), F.lit(_POINT).alias("_kind"),
-        F.lit("point").alias("_side"), F.lit(1).cast("long").alias("_one"),
+        *keys, F.struct(*point_id).alias("_point"), carry(points).alias("_row"), F.col(axis).alias("_at"),
+        F.lit(_POINT).alias("_kind"), F.lit(1).cast("long").alias("_one"),
     )
-    ranked = ordered_scan(marks.unionByName(stops), keys, ["_at", "_kind", "_id"], sums={"_cum": "_one"})
-    place = ranked.where("_side = 'point'").select(*keys, F.col("_id"), (F.col("_cum") - 1).alias("_pos"))
-    span = ranked.where("_side <> 'point'").groupBy(*keys, "_id").agg(
+    both = marks.unionByName(stops, allowMissingColumns=True)
+    # both results are read from one evaluation, so equal positions cannot be numbered twice
+    ranked = durable(ordered_scan(both, keys, ["_at", "_kind", "_point", "_probe", "_side"], sums={"_cum": "_one"}))
+    placed = ranked.where(F.col("_kind") == _POINT).select(*keys, "_row.*", (F.col("_cum") - 1).alias("_pos"))
+    spans = ranked.where(F.col("_kind") != _POINT).groupBy(*keys, "_probe").agg(
         F.max(F.when(F.col("_side") == "lo", F.col("_cum"))).alias("_lo"),
         F.max(F.when(F.col("_side") == "hi", F.col("_cum"))).alias("_hi"),
+        F.any_value("_ask").alias("_ask"),
     )
-    named = lambda df, name: df.withColumn("_id", F.col(name).cast("string"))
-    return (
-        named(points, point_id).join(place, [*keys, "_id"]).drop("_id"),
-        named(probes, probe_id).join(span, [*keys, "_id"]).drop("_id"),
-    )
+    return placed, spans.select(*keys, "_ask.*", "_lo", "_hi")
 
 
 def range_blocks(points: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,23 +209,23 @@ def range_blocks(points: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataF
     A range of m positions needs at most 2 log2(m) blocks, so points and probes meet in blocks
     instead of pairwise. Adds ``_level`` and ``_block``.
     """
-    probes = probes.where("_hi > _lo")
+    probes = durable(probes.where("_hi > _lo"))
     widest = probes.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
     levels = int(widest).bit_length()
-    level_sql = """
-      flatten(transform(sequence(0, {top}), l -> filter(array(
-        IF(shiftright(_lo + shiftleft(1L, l) - 1, l) % 2 = 1 AND shiftright(_lo + shiftleft(1L, l) - 1, l) < shiftright(_hi, l),
-           named_struct('level', l, 'block', shiftright(_lo + shiftleft(1L, l) - 1, l)), NULL),
-        IF(shiftright(_hi, l) % 2 = 1 AND shiftright(_lo + shiftleft(1L, l) - 1, l) < shiftright(_hi, l),
-           named_struct('level', l, 'block', shiftright(_hi, l) - 1), NULL)
-      ), b -> b IS NOT NULL)))"""
+    # first and last whole block of a range on one level; an odd first or an even last block is
+    # not covered by the next level and becomes a piece
+    first = "shiftright(_lo + shiftleft(1L, l) - 1, l)"
+    end = "shiftright(_hi, l)"
+    piece = lambda test, block: f"IF({test} % 2 = 1 AND {first} < {end}, named_struct('level', l, 'block', {block}), NULL)"
+    pieces = (
+        f"flatten(transform(sequence(0, {levels}), l -> filter(array({piece(first, first)}, "
+        f"{piece(end, end + ' - 1')}), b -> b IS NOT NULL)))"
+    )
     spread = lambda df, sql: df.withColumn("_b", F.explode(F.expr(sql))).select(
         "*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")
     ).drop("_b")
-    placed = spread(
-        points, f"transform(sequence(0, {levels}), l -> named_struct('level', l, 'block', shiftright(_pos, l)))"
-    )
-    return placed, spread(probes, level_sql.format(top=levels))
+    levels_of_point = f"transform(sequence(0, {levels}), l -> named_struct('level', l, 'block', shiftright(_pos, l)))"
+    return spread(points, levels_of_point), spread(probes, pieces)
 
 
 def counts_within(
@@ -244,14 +277,12 @@ def counts_within_box(
     the number of neighbours.
     """
     keys = list(keys)
-    points = (
+    points = durable(
         df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
         .groupBy(*keys, first, second).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_pid", F.concat_ws("_", F.col(first).cast("string"), F.col(second).cast("string")))
     )
-    points = durable(points)
-    placed, ranged = window_ranges(points, points, keys, first, first_width, "_pid", "_pid")
-    placed, ranged = range_blocks(durable(placed), durable(ranged))
+    own = [first, second]
+    placed, ranged = range_blocks(*window_ranges(points, points, keys, first, first_width, own, own))
     block = [*keys, "_level", "_block"]
     marks = placed.groupBy(*block, F.col(second).alias("_at")).agg(F.sum("_n").alias("_n")).withColumn(
         "_kind", F.lit(_POINT)
@@ -270,8 +301,9 @@ def nearest_within_box(
     the probe are looked at.
     """
     keys = list(keys)
-    placed, ranged = window_ranges(points, probes, keys, window_axis, window_width, point_id, probe_id)
-    placed, ranged = range_blocks(durable(placed), durable(ranged))
+    placed, ranged = range_blocks(
+        *window_ranges(points, probes, keys, window_axis, window_width, [point_id], [probe_id])
+    )
     block = [*keys, "_level", "_block"]
     body = F.struct(*[F.col(c).alias(c) for c in payload])
     marks = placed.select(
