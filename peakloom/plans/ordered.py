@@ -8,6 +8,8 @@ offset.
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,11 +41,13 @@ def ordered_scan(
     sums: Mapping[str, str] | None = None,
     last: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
+    totals: bool = False,
     task_rows: int | None = None,
 ) -> DataFrame:
     """Running values per key in ``order``, both ends inclusive.
 
-    ``sums``: output to input column, the sum so far (``<output>_total``: the sum of the key).
+    ``sums``: output to input column, the sum so far; with ``totals`` also ``<output>_total``, the
+    sum over the whole key.
     ``last``: output to input column, the largest value so far. ``following``: the smallest value
     from here on. Rows should be unique on (keys, order), pre-aggregated if necessary, so that the
     order is total and repeated values do not pile up in one range.
@@ -56,7 +60,8 @@ def ordered_scan(
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     values = {out: F.sum(src).over(so_far) for out, src in sums.items()}
-    values |= {f"{out}_total": F.sum(src).over(Window.partitionBy(*keys)) for out, src in sums.items()}
+    if totals:
+        values |= {f"{out}_total": F.sum(src).over(Window.partitionBy(*keys)) for out, src in sums.items()}
     values |= {out: F.max(src).over(so_far) for out, src in last.items()}
     values |= {out: F.min(src).over(onward) for out, src in following.items()}
     return df.withColumns(values)
@@ -103,7 +108,7 @@ def running_totals(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str]
 ) -> DataFrame:
     """Inclusive running sums per key and, as ``<output>_total``, the sums over the whole key."""
-    return ordered_scan(df, keys, order, sums=sums)
+    return ordered_scan(df, keys, order, sums=sums, totals=True)
 
 
 def exact_percentiles(
@@ -150,23 +155,37 @@ def dense_codes(df: DataFrame, column: str, code: str, start: int = 0) -> DataFr
 
 # -- windows of values -----------------------------------------------------------------------
 #
-# A strict window |x - origin| < w is turned into two bounds. Whether a value equal to a bound
-# belongs to the window is decided by evaluating the same comparison at the bound, so rounding of
-# origin + w cannot change the outcome.
+# A strict window |x - origin| < w holds a contiguous run of values, so it can be answered from
+# two positions in the order of x. The comparison is made on a rounded difference; where exactly
+# it flips is worked out with error-free sums, so that the answer equals the comparison itself.
 
 _BELOW, _POINT, _ABOVE = 1, 2, 3
 
 
+def _exact_sum(a: Column, b: Column) -> tuple[Column, Column]:
+    """Rounded sum of two doubles and its rounding error."""
+    s = a + b
+    back = s - a
+    return s, (a - (s - back)) + (b - back)
+
+
 def _bounds(origin: Column, w: float) -> tuple[Column, Column, Column, Column]:
-    """(low, kind of low, high, kind of high): kinds order a probe before or after equal values."""
-    low, high = origin - F.lit(w), origin + F.lit(w)
-    low_in, high_in = F.abs(low - origin) < F.lit(w), F.abs(high - origin) < F.lit(w)
-    return (
-        low,
-        F.when(low_in, _BELOW).otherwise(_ABOVE),
-        high,
-        F.when(high_in, _ABOVE).otherwise(_BELOW),
-    )
+    """(low, kind of low, high, kind of high): kinds order a probe before or after equal values.
+
+    The rounded difference stays below w until the true one reaches the midpoint between w and
+    its lower neighbour; a tie goes to the even one of the two.
+    """
+    half_step = (w - math.nextafter(w, 0.0)) / 2.0
+    tie_inside = bool(struct.unpack("<q", struct.pack("<d", w))[0] & 1)
+    ends = []
+    for sign in (-1.0, 1.0):
+        s, e = _exact_sum(origin, F.lit(sign * w))
+        bound, rest = _exact_sum(s, e - F.lit(sign * half_step))
+        # on the low side the window starts above bound + rest, on the high side it ends below
+        equal_inside = (F.lit(sign) * rest > 0.0) | ((rest == 0.0) & F.lit(tie_inside))
+        inside_kind, outside_kind = (_BELOW, _ABOVE) if sign < 0 else (_ABOVE, _BELOW)
+        ends += [bound, F.when(equal_inside, inside_kind).otherwise(outside_kind)]
+    return tuple(ends)
 
 
 def window_ranges(
@@ -239,9 +258,7 @@ def counts_within(
     keys = list(keys)
     points = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     points = durable(points)
-    marks = points.select(
-        *keys, F.col(value).alias("_at"), F.lit(_POINT).alias("_kind"), F.col(value).alias("_origin"), "_n"
-    )
+    marks = points.select(*keys, F.col(value).alias("_at"), F.col(value).alias("_i0"), "_n")
     return _signed_counts(points, marks, keys, value, float(half_width), [value], out)
 
 
@@ -257,7 +274,9 @@ def _signed_counts(probes, marks, keys, axis, w, identity, out):
         *keys, *names, F.col("_s.at").alias("_at"), F.col("_s.kind").alias("_kind"), F.col("_s.sign").alias("_sign"),
         F.lit(0).cast("long").alias("_n"),
     )
-    both = stops.unionByName(marks.select(*keys, "_at", "_kind", "_n"), allowMissingColumns=True)
+    # the identity of a point only splits long runs of equal values between ranges
+    marks = marks.select(*keys, "_at", F.lit(_POINT).alias("_kind"), *names, "_n")
+    both = stops.unionByName(marks, allowMissingColumns=True)
     ranked = ordered_scan(both, keys, ["_at", "_kind", *names], sums={"_cum": "_n"})
     final = [k for k in keys if k not in ("_level", "_block")]
     return (
@@ -284,9 +303,7 @@ def counts_within_box(
     own = [first, second]
     placed, ranged = range_blocks(*window_ranges(points, points, keys, first, first_width, own, own))
     block = [*keys, "_level", "_block"]
-    marks = placed.groupBy(*block, F.col(second).alias("_at")).agg(F.sum("_n").alias("_n")).withColumn(
-        "_kind", F.lit(_POINT)
-    )
+    marks = placed.select(*block, F.col(second).alias("_at"), F.col(first).alias("_i0"), F.col(second).alias("_i1"), "_n")
     return _signed_counts(ranged, marks, block, second, float(second_width), [first, second], out)
 
 
