@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.values import normal_quantile
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import stored
 from peakloom.plans.joins import lookup_join
 from peakloom.plans.ordered import exact_percentiles
 
@@ -26,7 +26,7 @@ def select_peaks(peaks: DataFrame, buffer: float = 0.02) -> DataFrame:
     inside = peaks.where(F.abs(F.col("rt") - F.col("rt_mean")) <= F.col("half_width")).withColumn(
         "delta", F.col("rt_mean") - F.col("rt")
     )
-    inside = durable(inside)
+    inside = stored(inside)
     factors = exact_percentiles(inside, SET_KEYS, "delta", {"correction": 0.5})
     moved = lookup_join(inside, factors, SET_KEYS, "inner").withColumn("offset", F.abs(F.col("delta") - F.col("correction")))
     rest = [c for c in moved.columns if c not in ("sample_set_id", "task_id", "compound_id", "offset", "peak_id")]
@@ -59,12 +59,12 @@ def coherence_mixture(scores: DataFrame, iterations: int = 40, tolerance: float
     one set does not matter. Components start below and above the mean; the coherent one is the
     heavier (the higher mean on a tie). Adds posterior_coherent, rejected and the parameters.
     """
-    base = durable(scores.where(F.col("x").isNotNull()))
+    base = stored(scores.where(F.col("x").isNotNull()))
     start = base.groupBy("sample_set_id").agg(F.avg("x").alias("mid"))
     first = lookup_join(base, start, ["sample_set_id"], "inner").withColumn("r", (F.col("x") >= F.col("mid")).cast("double"))
-    params = durable(_maximise(first))
+    params = stored(_maximise(first))
     for _ in range(iterations):
-        new = durable(_maximise(_responsibility(base, params)))
+        new = stored(_maximise(_responsibility(base, params)))
         shift = new.alias("a").join(params.alias("b"), ["sample_set_id"]).agg(
             F.max(F.greatest(F.abs(F.col("a.mu0") - F.col("b.mu0")), F.abs(F.col("a.mu1") - F.col("b.mu1")), F.abs(F.col("a.w1") - F.col("b.w1"))))
         ).first()[0]
