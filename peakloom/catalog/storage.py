@@ -28,14 +28,14 @@ def _stored(spark, sf, name, write):
 def _peak_shards(spark, sf):
     return _stored(
         spark, sf, "peak_shards",
-        lambda p: sinks.write_sharded(view(spark, sf, "raw_peaks"), p, ["lib_id", "species_matrix_type"], shards=2),
+        lambda p: sinks.write_sharded(view(spark, sf, "raw_peaks"), p, ["lib_id", "species_matrix_type"]),
     )
 
 
 def _predictor_shards(spark, sf):
     return _stored(
         spark, sf, "predictor_shards",
-        lambda p: sinks.write_sharded(view(spark, sf, "predictors"), p, ["lib_id", "species_matrix_type"], shards=1),
+        lambda p: sinks.write_sharded(view(spark, sf, "predictors"), p, ["lib_id", "species_matrix_type"]),
     )
 
 

@@ -19,7 +19,7 @@ from peakloom.functions.values import (
     rt_z,
 )
 from peakloom.plans.joins import lookup_join
-from peakloom.plans.ordered import exact_percentiles
+from peakloom.plans.ordered import exact_percentiles, ordered_scan
 
 # Candidate features in model order.
 FEATURES: tuple[str, ...] = (
@@ -135,11 +135,16 @@ def standardise(candidates: DataFrame, scaler: Mapping[str, tuple[float, float]]
 
 
 def seed_labels(slots: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """(peak_id, label) of a seeded share of the usable peaks, at least one."""
-    usable = slots.where("slot = 0 AND label >= 0").select("peak_id", "label")
-    n = usable.count()
-    take = min(n, max(1, int(n * fraction)))
-    return usable.orderBy(hash_text(["peak_id"], seed), "peak_id").limit(take)
+    """(peak_id, label) of a seeded share of the usable peaks, at least one.
+
+    The cut is made on a distributed rank: a large share never passes through one task.
+    """
+    usable = slots.where("slot = 0 AND label >= 0").select(
+        "peak_id", "label", hash_text(["peak_id"], seed).alias("_h"), F.lit(1).cast("long").alias("_one")
+    )
+    take = max(1, int(usable.count() * fraction))
+    ranked = ordered_scan(usable, [], ["_h", "peak_id"], sums={"_rank": "_one"})
+    return ranked.where(F.col("_rank") <= take).select("peak_id", "label")
 
 
 def rt_predictions(coefficients: DataFrame, runs: DataFrame, features: Sequence[str]) -> DataFrame:

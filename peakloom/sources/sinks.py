@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 
 def write_sharded(
-    df: DataFrame, path: str, partitions: Sequence[str], max_rows_per_file: int = 1_000_000,
-    shards: int = 8,
+    df: DataFrame, path: str, partitions: Sequence[str], max_rows_per_file: int = 1_000_000
 ) -> None:
     """Zstd Parquet below partition folders with bounded files.
 
-    Rows are spread by partition value and a hash shard: a hot partition is written by several
-    tasks, a small one does not get a file from every task.
+    Rebalancing lets the runtime split a hot partition value over several tasks and merge small
+    ones, so neither a slow writer nor a file per task and value results.
     """
-    shard = F.pmod(F.xxhash64(*[c for c in df.columns if c not in partitions]), F.lit(shards))
     (
-        df.repartition(*[F.col(c) for c in partitions], shard)
+        df.hint("rebalance", *[F.col(c) for c in partitions])
         .write.mode("overwrite")
         .option("maxRecordsPerFile", max_rows_per_file)
         .option("compression", "zstd")
@@ -33,9 +31,9 @@ def write_consolidated(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_by_key(df: DataFrame, path: str, key: str, shards: int = 8) -> None:
+def write_by_key(df: DataFrame, path: str, key: str) -> None:
     """One folder per key value, null keys dropped."""
-    write_sharded(df.where(F.col(key).isNotNull()), path, [key], shards=shards)
+    write_sharded(df.where(F.col(key).isNotNull()), path, [key])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
