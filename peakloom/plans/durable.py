@@ -44,4 +44,16 @@ def stored(df: DataFrame) -> DataFrame:
     inferred constraints on to the next plan, where they would pile up from round to round."""
     path = scratch_path(df.sparkSession, "round")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables written by :func:`stored` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
