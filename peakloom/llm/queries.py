@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import bpe, decontamination, language, privacy, simhash
+from peakloom.llm import bpe, decontamination, language, privacy, simhash, spans, suffixes, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1,
         "op2_language": language.op2,
+        "op3_suffix_dedup": suffixes.op3,
+        "op4_token_counts": token_counts.op4,
+        "op5_sentence_spans": spans.op5,
         "op6_privacy": privacy.op6,
+        "op7_top_k": topk.op7,
+        "op8_toxicity": toxicity.op8,
         "op9_simhash": simhash.op9,
         "op10_byte_bpe": bpe.op10,
         "pipeline": corpus_pipeline.run,
@@ -25,4 +30,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    import corpus_pipeline
+
+    sql = {"op5_sentence_spans": spans.OP5_SQL, "op7_top_k": topk.OP7_SQL}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
