@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from peakloom.llm.common import annotate, table
+from peakloom.llm.common import annotate, append_columns, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A vocabulary file beyond this size is refused; it is sent to every executor.
@@ -152,18 +153,16 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     mark, shipped = load(tokens.sparkSession, path, pattern)
     tokens = tokens.drop("decoded_bytes", "decoded")
-    schema = tokens.select("*", F.lit(b"").alias("decoded_bytes"), F.lit("").alias("decoded")).schema
-
-    def run(batches):
-        for batch in batches:
-            c = codec(mark, shipped)
-            raw = [None if i is None else c.decode(i) for i in batch.column("ids").to_pylist()]
-            text = [None if r is None else r.decode("utf-8", "replace") for r in raw]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary()), pa.array(text, pa.string())], names=schema.names)
-
-    for f in schema.fields:
-        f.nullable = True
-    return tokens.mapInArrow(run, schema)
+
+    def run(batch):
+        c = codec(mark, shipped)
+        raw = [None if i is None else c.decode(i) for i in batch.column("__ids").to_pylist()]
+        return [pa.array(raw, pa.binary()), pa.array([None if r is None else r.decode("utf-8", "replace") for r in raw], pa.string())]
+
+    added = T.StructType([T.StructField("decoded_bytes", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    # batches are cut by the size of the written ids
+    inputs = {"__size": F.col("ids").cast("string"), "__ids": F.col("ids")}
+    return append_columns(tokens, tokens.columns, inputs, added, run)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep=None) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from peakloom.plans.durable import discard, stored
 
@@ -57,20 +58,30 @@ def annotate(df: DataFrame, fields: Sequence[tuple[str, str]], fn: Callable[[lis
     """
     names = [n for n, _ in fields]
     carried = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in carried], F.col("text").alias("__text"))
     added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + added.fields)
-    from pyspark.sql.pandas.types import to_arrow_schema
+    kinds = [f.type for f in to_arrow_schema(added)]
 
-    arrow = {n: to_arrow_schema(added).field(n).type for n in names}
+    def run(batch):
+        got = fn(batch.column("__text").to_pylist())
+        return [pa.array(got[n], type=t) for n, t in zip(names, kinds)]
 
-    def run(batches):
-        for batch in pieces(batches, "__text"):
-            got = fn(batch.column("__text").to_pylist())
-            arrays = [batch.column(c) for c in carried] + [pa.array(got[n], type=arrow[n]) for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, names=carried + names)
+    return append_columns(df, carried, {"__text": F.col("text")}, added, run)
 
-    return source.mapInArrow(run, schema)
+
+def append_columns(df: DataFrame, carried: Sequence[str], inputs: dict[str, Column], added: T.StructType, run: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """The carried columns plus those that ``run`` returns for batches of the input columns, the
+    first of which is the text. Inside, columns go by number, so that any name will do."""
+    numbered = [f"_{i}" for i in range(len(carried))]
+    source = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, numbered)], *[c.alias(n) for n, c in inputs.items()])
+    schema = T.StructType([f for f in source.schema.fields if f.name not in inputs] + added.fields)
+    new = [f.name for f in added.fields]
+    by = next(iter(inputs))
+
+    def batches_of(batches):
+        for batch in pieces(batches, by):
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in numbered] + run(batch), names=numbered + new)
+
+    return source.mapInArrow(batches_of, schema).toDF(*carried, *new)
 
 
 # -- words of many texts at once -------------------------------------------------------------

@@ -102,7 +102,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MAS
             ready.append(_index(shipped.value[1], shipped.value[2]))
         return {"leaks": _scan(texts, shipped.value, ready[0], window, similarity)}
 
-    return annotate(docs.withColumn("__t", F.col("text")), [("leaks", LEAK.format(kind))], run, keep=docs.columns)
+    return annotate(docs, [("leaks", LEAK.format(kind))], run, keep=docs.columns)
 
 
 def _index(words: list[np.ndarray], masks: Sequence[str]):

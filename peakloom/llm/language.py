@@ -124,7 +124,7 @@ def build(training: dict[str, str]) -> tuple:
         bits.append(math.log2(max(2, len(text))))
         at += len(t)
     # target 0 means "none" for every language: no transition leads back to a start
-    return languages, codes, np.concatenate(tables).astype(np.int32).reshape(-1), np.array(starts, np.int64), np.array(bits)
+    return languages, codes, np.concatenate([np.zeros((0, ALPHABET), np.int32), *tables]).astype(np.int32).reshape(-1), np.array(starts, np.int64), np.array(bits)
 
 
 def count_pieces(blocks: list[np.ndarray], flat: np.ndarray, starts: np.ndarray) -> np.ndarray:

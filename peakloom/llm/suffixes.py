@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from peakloom.llm.common import _BASE, _INVERSE, _power, join_on_key, mix, pieces, row_key, table
+from peakloom.llm.common import _BASE, _INVERSE, _power, append_columns, join_on_key, mix, pieces, row_key, table
 from peakloom.plans.durable import stored
 
 LENGTH = 200
@@ -429,7 +431,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep=None, **settings)
     :func:`repeated_spans`.
     """
     docs = docs.drop("n_bytes", "spans", "kept", "__h", "__spans")
-    carried = [c for c in (docs.columns if keep is None else keep)]
+    carried = list(docs.columns if keep is None else keep)
     # at most one range for each anchor of one document
     found = repeated_spans(docs, length, **settings).groupBy("doc_id", "__h").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     joined = join_on_key(docs.withColumn("__h", row_key()[1]), stored(found), "left").drop("__h")
@@ -450,15 +452,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep=None, **settings)
             out["kept"].append(b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2])))
         return out
 
-    kinds = {"n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
+    added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in (("n_bytes", "bigint"), ("spans", "array<struct<start:bigint,end:bigint>>"), ("kept", "binary"))])
+    kinds = [f.type for f in to_arrow_schema(added)]
 
-    def run(batches):
-        for batch in pieces(batches):
-            new = cut(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(new[c], t) for c, t in kinds.items()], names=[*carried, *kinds])
+    def run(batch):
+        new = cut(batch)
+        return [pa.array(new[f.name], t) for f, t in zip(added.fields, kinds)]
 
-    schema = joined.select(*[F.col(f"`{c}`") for c in carried], F.lit(None).cast("bigint").alias("n_bytes"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(None).cast("binary").alias("kept")).schema
-    return joined.select("*").mapInArrow(run, schema)
+    return append_columns(joined, carried, {"text": F.col("text"), "__spans": F.col("__spans")}, added, run)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
