@@ -106,21 +106,30 @@ def _(spark, sf):
 # -- sufficient statistics -----------------------------------------------------------------------
 
 
+# some targets are missing
+GAPS = ", gaps AS (SELECT species, comp_id, IS1, RS1, CASE WHEN l_orderkey % 7 <> 0 THEN rt END AS rt FROM obs)"
+
+
+def _gaps(spark, sf):
+    return view(spark, sf, "obs").withColumn("rt", F.when(F.col("l_orderkey") % 7 != 0, F.col("rt")))
+
+
 @query(
     "A9_raw_sums",
     with_views(
-        """SELECT species, comp_id, count(*) AS n, round(sum(IS1), 4) AS sx1, round(sum(RS1), 4) AS sx2, round(sum(rt), 4) AS sy,
-          round(sum(rt*rt), 4) AS syy, round(sum(IS1*IS1), 4) AS q11, round(sum(IS1*RS1), 4) AS q12, round(sum(RS1*RS1), 4) AS q22,
-          round(sum(IS1*rt), 4) AS t1, round(sum(RS1*rt), 4) AS t2 FROM obs GROUP BY 1, 2""",
+        GAPS + """, g AS (SELECT *, CASE WHEN rt IS NOT NULL THEN IS1 END AS x1, CASE WHEN rt IS NOT NULL THEN RS1 END AS x2 FROM gaps)
+        SELECT species, comp_id, count(rt) AS n, count(*) - count(rt) AS n_left_out, round(coalesce(sum(x1), 0), 4) AS sx1, round(coalesce(sum(x2), 0), 4) AS sx2,
+          round(coalesce(sum(rt), 0), 4) AS sy, round(coalesce(sum(rt*rt), 0), 4) AS syy, round(coalesce(sum(x1*x1), 0), 4) AS q11, round(coalesce(sum(x1*x2), 0), 4) AS q12,
+          round(coalesce(sum(x2*x2), 0), 4) AS q22, round(coalesce(sum(x1*rt), 0), 4) AS t1, round(coalesce(sum(x2*rt), 0), 4) AS t2 FROM g GROUP BY 1, 2""",
         "obs",
     ),
 )
 def _(spark, sf):
-    s = S.group_sums(view(spark, sf, "obs"), ["species", "comp_id"], ["IS1", "RS1"])
+    s = S.group_sums(_gaps(spark, sf), ["species", "comp_id"], ["IS1", "RS1"], missing="skip")
     at = lambda c, i: F.get(c, F.lit(i))
     return rounded(
         s.select(
-            "species", "comp_id", "n", at("sum_x", 0).alias("sx1"), at("sum_x", 1).alias("sx2"), F.col("sum_y").alias("sy"),
+            "species", "comp_id", "n", "n_left_out", at("sum_x", 0).alias("sx1"), at("sum_x", 1).alias("sx2"), F.col("sum_y").alias("sy"),
             F.col("sum_yy").alias("syy"), at("sum_xx", 0).alias("q11"), at("sum_xx", 2).alias("q12"), at("sum_xx", 3).alias("q22"),
             at("sum_xy", 0).alias("t1"), at("sum_xy", 1).alias("t2"),
         ),
@@ -147,14 +156,16 @@ def _(spark, sf):
 @query(
     "A11_centred_sums",
     with_views(
-        """SELECT species, comp_id, count(*) AS n, round(avg(IS1), 6) AS x_mean, round(avg(rt), 6) AS y_mean,
+        GAPS + """ SELECT species, comp_id, count(*) AS n, round(avg(IS1), 6) AS x_mean, round(avg(rt), 6) AS y_mean,
         round(sum(IS1*IS1) - count(*)*avg(IS1)*avg(IS1), 4) AS sxx, round(sum(IS1*rt) - count(*)*avg(IS1)*avg(rt), 4) AS sxy,
-        round(sum(rt*rt) - count(*)*avg(rt)*avg(rt), 4) AS syy FROM obs GROUP BY 1, 2""",
+        round(sum(rt*rt) - count(*)*avg(rt)*avg(rt), 4) AS syy FROM gaps WHERE rt IS NOT NULL GROUP BY 1, 2""",
         "obs",
     ),
 )
 def _(spark, sf):
-    c = S.centred(S.group_sums(view(spark, sf, "obs"), ["species", "comp_id"], ["IS1"]))
+    # global centres first, then per group
+    middle, level = S.global_means(_gaps(spark, sf), ["IS1"])
+    c = S.centred(S.group_sums(_gaps(spark, sf), ["species", "comp_id"], ["IS1"], "rt", middle, level, "skip"), None, middle, level)
     first = lambda name: F.get(name, F.lit(0))
     return c.select(
         "species", "comp_id", "n", F.round(first("x_mean"), 6).alias("x_mean"), F.round("y_mean", 6).alias("y_mean"),
@@ -380,13 +391,13 @@ def _effect_sql(f):
 @query(
     "A29_effect_sizes",
     with_views(
-        ", lab AS (SELECT IS1, RS1, ES_1, CASE WHEN comp_id < 15 THEN 1 ELSE 0 END AS label FROM obs WHERE rt > 3e0) "
+        ", lab AS (SELECT IS1, RS1, ES_1, CASE WHEN comp_id < 15 THEN 1 ELSE 0 END AS label FROM obs) "
         + " UNION ALL ".join(_effect_sql(f) for f in ("IS1", "RS1", "ES_1")),
         "obs",
     ),
 )
 def _(spark, sf):
-    df = view(spark, sf, "obs").where("rt > 3e0").withColumn("label", (F.col("comp_id") < 15).cast("int"))
+    df = view(spark, sf, "obs").withColumn("label", (F.col("comp_id") < 15).cast("int"))
     return rounded(M.effect_sizes(df, ["IS1", "RS1", "ES_1"], "label"))
 
 

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import stored
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -158,5 +158,5 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A table several queries start from, written once per session to the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = durable(build())
+        _kept[key] = stored(build())
     return _kept[key]

@@ -14,7 +14,7 @@ from peakloom.operators import preparation as P
 from peakloom.operators import ridge as R
 from peakloom.operators import scoring as SC
 from peakloom.operators import sums as S
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import stored
 from peakloom.sources import scans, sinks
 
 FEATURES = ["IS1", "RS1", "ES_1"]
@@ -28,7 +28,7 @@ def _fold(spark, sf, fold):
 def flagship(spark, sf):
     """Train per-group ridge on the training fold, score the held-out fold, report by support."""
     coef, settings = R.train_groups(_fold(spark, sf, "train"), FEATURES, "species", LAMBDA, center="global")
-    coef = durable(coef)
+    coef = stored(coef)
     scored = SC.score(
         _fold(spark, sf, "test"), coef, FEATURES, "species", center=settings["center"], rotation=settings["rotation"]
     )
@@ -82,7 +82,7 @@ def _(spark, sf):
 
 def _two_grain(spark, sf):
     rows = _fold(spark, sf, "train").withColumnRenamed("species_cluster", "supercategory")
-    return tuple(durable(t) for t in R.train_two_grain(rows, ["IS1"], LAMBDA))
+    return tuple(stored(t) for t in R.train_two_grain(rows, ["IS1"], LAMBDA))
 
 
 @query(
@@ -358,7 +358,7 @@ def _bundle_scored(spark, sf):
     rows = view(spark, sf, "obs").withColumnRenamed("sampleset_id", "sample_set_id")
     numbers = P.species_attributes(view(spark, sf, "species_map"), 2).select("sample_set_id", "supercategory")
     rows = P.lookup_join(rows, numbers, ["sample_set_id"], "left")
-    models = durable(scans.bundle_models(scans.scan_bundle(spark, _bundle(spark, sf), 7)))
+    models = stored(scans.bundle_models(scans.scan_bundle(spark, _bundle(spark, sf), 7)))
     return SC.score_bundle(rows, models, ["IS1", "RS1"])
 
 

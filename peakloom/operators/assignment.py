@@ -20,7 +20,7 @@ from peakloom.operators.metrics import (
     expected_calibration_error,
     macro_calibration_error,
 )
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import stored
 from peakloom.plans.joins import lookup_join
 
 MAX_DRAWS = 10_000
@@ -114,7 +114,7 @@ def fit_weights(
     names = ["theta_null", "theta0", *features]
     d = len(names)
     # one row per peak and slot, kept in peak order inside a partition
-    used = durable(
+    used = stored(
         slots.where("label >= 0")
         .select("peak_id", "slot", "label", "log_pi", *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features])
         .repartition("peak_id").sortWithinPartitions("peak_id", "slot")
@@ -302,8 +302,8 @@ def evaluate(
     """All assignment metrics in one row; peaks that were labelled for training are left out."""
     if labelled is not None:
         truth = truth.join(labelled.select("peak_id"), ["peak_id"], "left_anti")
-    chosen = durable(assign(probs, threshold, top))
-    pairs = durable(evaluation_pairs(probs, chosen, truth))
+    chosen = stored(assign(probs, threshold, top))
+    pairs = stored(evaluation_pairs(probs, chosen, truth))
     parts = [
         pair_metrics(pairs), peak_metrics(pairs, truth), compound_metrics(chosen, truth, decoys),
         compound_coverage(pairs).agg(F.coalesce(F.avg("coverage"), F.lit(0.0)).alias("mean_coverage")),

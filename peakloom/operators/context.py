@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.values import ION_SHIFTS, isotope_score
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import stored
 from peakloom.plans.joins import lookup_join
 from peakloom.plans.ordered import (
     counts_within,
@@ -51,7 +51,7 @@ def partners(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
     are entered into every cell a matching probe may fall in. Cells with few distinct points are
     joined directly; crowded ones are searched in mass order, so no cell produces all its pairs.
     """
-    points = durable(_distinct_points(peaks))
+    points = stored(_distinct_points(peaks))
     wm, wr, slack = 2 * MASS_WINDOW, 2 * RT_WINDOW, 1e-9
     span = lambda c, half, w: F.sequence(
         F.floor((F.col(c) - half - slack) / w), F.floor((F.col(c) + half + slack) / w)
@@ -67,15 +67,15 @@ def partners(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
         "species", "origin_mass", "rt", "origin", "_p.probe", (F.col("origin_mass") + F.col("_p.shift")).alias("mass"),
         F.concat_ws("_", F.col("origin").cast("string"), F.col("_p.probe").cast("string")).alias("probe_id"),
     ).withColumns({"_cm": F.floor(F.col("mass") / wm), "_cr": F.floor(F.col("rt") / wr)})
-    sizes = durable(entered.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_size")))
+    sizes = stored(entered.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_size")))
     crowded = sizes.where(F.col("_size") > cell_points).select(*_CELL)
 
-    sparse_points = entered.join(crowded, _CELL, "left_anti")
+    sparse_points = lookup_join(entered, crowded, _CELL, "left_anti", hot=crowded)
     found = _pairwise(probes, sparse_points)
     if not crowded.isEmpty():
         # probes of crowded cells; every one keeps its cell as the search key
-        dense_points = entered.join(crowded, _CELL, "left_semi")
-        dense_probes = lookup_join(probes, crowded, _CELL, "left_semi")
+        dense_points = lookup_join(entered, crowded, _CELL, "left_semi", hot=crowded)
+        dense_probes = lookup_join(probes, crowded, _CELL, "left_semi", hot=crowded)
         near = nearest_within_box(
             dense_points, dense_probes, _CELL, "rt", RT_WINDOW, "mass", MASS_WINDOW, "point", "probe_id", ["partner_intensity"]
         ).select("probe_id", "partner_intensity")
@@ -126,7 +126,7 @@ def coelution_counts(peaks: DataFrame) -> DataFrame:
 def correlated_counts(peaks: DataFrame) -> DataFrame:
     """(peak_id, n_correlated): other peaks close in time and in log intensity."""
     marked = peaks.select("peak_id", "species", "rt", F.log1p("intensity").alias("_li"))
-    marked = durable(marked)
+    marked = stored(marked)
     counts = counts_within_box(marked, ["species"], "rt", CORRELATION_RT, "_li", CORRELATION_LOG, "_n")
     return marked.join(counts, ["species", "rt", "_li"]).select(
         "peak_id", F.greatest(F.col("_n") - 1, F.lit(0)).cast("double").alias("n_correlated")
@@ -143,7 +143,7 @@ def signal_to_noise(peaks: DataFrame) -> DataFrame:
 
 def context_features(peaks: DataFrame) -> DataFrame:
     """All context features, one row per peak."""
-    base = durable(peaks.select("peak_id", "species", "mass", "rt", "intensity"))
+    base = stored(peaks.select("peak_id", "species", "mass", "rt", "intensity"))
     out = signal_to_noise(base).select("peak_id", "snr")
     for part in (partner_features(base), coelution_counts(base), correlated_counts(base)):
         out = out.join(part, ["peak_id"])

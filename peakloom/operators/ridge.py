@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakloom.operators import sums as S
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import stored
 
 VECTOR = T.ArrayType(T.DoubleType())
 JITTER = 1e-12
@@ -21,11 +21,18 @@ NOISE_RATE = 1e-6
 
 
 def _inverse(a: np.ndarray) -> np.ndarray:
-    """Inverse of every matrix in a stack; singular ones get their pseudo-inverse."""
+    """Inverse of every matrix in a stack; singular ones, and only those, get their pseudo-inverse."""
     try:
         return np.linalg.inv(a)
     except np.linalg.LinAlgError:
-        return np.stack([np.linalg.pinv(m, hermitian=True) for m in a])
+        return np.stack([_inverse_of_one(m) for m in a])
+
+
+def _inverse_of_one(m: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.inv(m)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(m, hermitian=True)
 
 
 def _stack(column: pd.Series, *shape: int) -> np.ndarray:
@@ -108,11 +115,12 @@ def train_two_grain(
     group: str = "supercategory", compound: str = "comp_id",
 ) -> tuple[DataFrame, DataFrame]:
     """(group x compound, compound only) Bayesian ridge tables from one pass over the rows."""
-    fine, coarse = S.two_grains(df, [group, compound], [compound], features, target)
+    middle, level = S.global_means(df, features, target)
+    fine, coarse = S.two_grains(df, [group, compound], [compound], features, target, middle, level)
     p = len(features)
     return (
-        bayesian_ridge(S.centred(fine), [group, compound], p, penalty),
-        bayesian_ridge(S.centred(coarse), [compound], p, penalty),
+        bayesian_ridge(S.centred(fine, center=middle, target_center=level), [group, compound], p, penalty),
+        bayesian_ridge(S.centred(coarse, center=middle, target_center=level), [compound], p, penalty),
     )
 
 
@@ -167,6 +175,31 @@ def _summary(beta: np.ndarray, cov: np.ndarray, s2: np.ndarray) -> dict[str, obj
     }
 
 
+def joint_posterior(pdf, p, diag, ratio, level, m) -> tuple[np.ndarray, np.ndarray]:
+    """(intercept and slopes, unit-noise covariance) under a prior on both, from centred statistics.
+
+    At the group's mean covariates the intercept's prior pulls by ``ratio`` against n rows, which
+    leaves shrink = n ratio / (n + ratio) of a row at the mean for the slopes: the centred block
+    plus that rank-one term is solved for the slopes, and the intercept follows from them.
+    """
+    n, x_mean = pdf["n"].to_numpy(float), _stack(pdf["x_mean"], p)
+    shrink = n * ratio / (n + ratio)
+    block = _stack(pdf["xtx"], p, p) + np.diag(diag + JITTER) + np.einsum("g,gi,gj->gij", shrink, x_mean, x_mean)
+    inv_w = _inverse(block)
+    off = pdf["y_mean"].to_numpy(float) - level
+    pull = _stack(pdf["xty"], p) - np.einsum("gij,gj->gi", _stack(pdf["xtx"], p, p), m)
+    pull = pull + (shrink * (off - (x_mean * m).sum(1)))[:, None] * x_mean
+    w = m + np.einsum("gij,gj->gi", inv_w, pull)
+    share = n / (n + ratio)
+    b = level + share * (off - (x_mean * w).sum(1))
+    lever = share[:, None] * np.einsum("gij,gj->gi", inv_w, x_mean)
+    cov = np.empty((len(pdf), p + 1, p + 1))
+    cov[:, 0, 0] = 1.0 / (n + ratio) + share * (x_mean * lever).sum(1)
+    cov[:, 0, 1:] = cov[:, 1:, 0] = -lever
+    cov[:, 1:, 1:] = inv_w
+    return np.column_stack([b, w]), cov
+
+
 def group_posterior_with_prior(
     stats: DataFrame, keys: Sequence[str], p: int, penalty: float | Sequence[float],
     sigma2: float, tau_b: float, intercept_mean: str, slope_mean: str | None = None,
@@ -178,21 +211,8 @@ def group_posterior_with_prior(
     ratio = sigma2 / tau_b**2
 
     def solve(pdf):
-        n, x_mean = pdf["n"].to_numpy(float), _stack(pdf["x_mean"], p)
-        m = _stack(pdf[slope_mean], p) if slope_mean else np.zeros_like(x_mean)
-        sx, sy = n[:, None] * x_mean, n * pdf["y_mean"].to_numpy()
-        sxx = _stack(pdf["xtx"], p, p) + np.einsum("g,gi,gj->gij", n, x_mean, x_mean)
-        sxy = _stack(pdf["xty"], p) + x_mean * sy[:, None]
-        left = np.empty((len(pdf), p + 1, p + 1))
-        left[:, 0, 0] = n + ratio
-        left[:, 0, 1:] = left[:, 1:, 0] = sx
-        left[:, 1:, 1:] = sxx + np.diag(diag + JITTER)
-        right = np.empty((len(pdf), p + 1))
-        right[:, 0] = sy - (sx * m).sum(1) + ratio * pdf[intercept_mean].to_numpy()
-        right[:, 1:] = sxy - np.einsum("gij,gj->gi", sxx, m)
-        inv = _inverse(left)
-        beta = np.einsum("gij,gj->gi", inv, right)
-        beta[:, 1:] += m
+        m = _stack(pdf[slope_mean], p) if slope_mean else np.zeros((len(pdf), p))
+        beta, inv = joint_posterior(pdf, p, diag, ratio, pdf[intercept_mean].to_numpy(float), m)
         return _summary(beta, sigma2 * inv, np.full(len(pdf), float(sigma2)))
 
     return _solve_rows(stats, [*keys, "n"], _POSTERIOR, solve)
@@ -250,7 +270,7 @@ def train_groups(
     stats = S.centred(S.group_sums(df, keys, features, target, middle), turn)
     sigma2 = None
     if noise == "shared":
-        stats = durable(stats)
+        stats = stored(stats)
         sigma2 = shared_variance(residual_sums(stats, keys, p, penalty), noise_scale).first()["sigma2"]
     settings = {
         "features": list(features), "group": group, "center": middle, "rotation": turn, "sigma2": sigma2,

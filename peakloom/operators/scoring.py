@@ -22,8 +22,6 @@ from peakloom.plans.joins import lookup_join
 
 # Models wider than this use array functions instead of unrolled products.
 UNROLLED = 6
-# Coefficient rows are wide; fewer of them fit a broadcast.
-COEFFICIENT_ROWS = 50_000
 
 
 def _quadratic(x: str, flat: str, size: int) -> Column:
@@ -51,7 +49,7 @@ def score(
     size = len(features) + 1
     wanted = ["beta_hat", "sigma2_mean", "beta_cov" if full_covariance else "beta_var_diag"]
     table = coefficients.select(group, "comp_id", F.col("n").alias("n_obs_train"), *wanted)
-    joined = lookup_join(rows, table, [group, "comp_id"], "left", max_rows=COEFFICIENT_ROWS)
+    joined = lookup_join(rows, table, [group, "comp_id"], "left")
     if require_seen:
         missing = joined.where("beta_hat IS NULL").select(group, "comp_id").distinct().take(10)
         if missing:
@@ -88,8 +86,8 @@ def _two_level(rows: DataFrame, fine: DataFrame, coarse: DataFrame, group: str,
     """Coefficients of (group, compound), else of the compound alone; flags which one was used."""
     values = [c for c in fine.columns if c not in (group, compound)]
     pack = F.struct(*values)
-    joined = lookup_join(rows, fine.select(group, compound, pack.alias("_f")), [group, compound], "left", COEFFICIENT_ROWS)
-    joined = lookup_join(joined, coarse.select(compound, pack.alias("_c")), [compound], "left", COEFFICIENT_ROWS)
+    joined = lookup_join(rows, fine.select(group, compound, pack.alias("_f")), [group, compound], "left")
+    joined = lookup_join(joined, coarse.select(compound, pack.alias("_c")), [compound], "left")
     return joined.withColumns(
         {
             "used_fallback": F.col("_f").isNull() & F.col("_c").isNotNull(),
@@ -144,7 +142,7 @@ def score_bundle(
 
     Rows without a supercategory or without a model keep null predictions.
     """
-    joined = lookup_join(rows, models, ["supercategory", "comp_id"], "left", COEFFICIENT_ROWS)
+    joined = lookup_join(rows, models, ["supercategory", "comp_id"], "left")
     mean = F.col("b")
     for f in features:
         mean = mean + F.coalesce(F.try_element_at("coefs", F.lit(f)), F.lit(0.0)) * feature_value(f, rows.columns)
@@ -170,7 +168,7 @@ def score_backoff(
     alpha is null for compounds that were not trained, whose prior mean stands in. Unknown species
     or compounds contribute zero.
     """
-    joined = lookup_join(rows, species.select("species", "mu", "slopes"), ["species"], "left", COEFFICIENT_ROWS)
+    joined = lookup_join(rows, species.select("species", "mu", "slopes"), ["species"], "left")
     joined = lookup_join(joined, compounds.select("comp_id", "alpha", "alpha_prior"), ["comp_id"], "left")
     mean = F.lit(float(t0)) + F.coalesce("mu", F.lit(0.0)) + F.coalesce("alpha", "alpha_prior", F.lit(0.0))
     for i, f in enumerate(features):

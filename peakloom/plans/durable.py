@@ -33,15 +33,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and continue from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Like :func:`durable`, as a Parquet table. For loops: a checkpoint hands the optimizer's
-    inferred constraints on to the next plan, where they would pile up from round to round."""
+    """Write ``df`` once as Parquet in the shared folder and continue from the written copy, whose
+    size is known, whose columns can be pruned and whose plan starts afresh."""
     path = scratch_path(df.sparkSession, "round")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

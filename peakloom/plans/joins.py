@@ -1,4 +1,4 @@
-"""Joins whose small side is checked before it is broadcast."""
+"""Joins whose small side is checked, in bytes, before it is broadcast."""
 
 from __future__ import annotations
 
@@ -7,36 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.plans.durable import durable
-
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 HOT_SHARE = 1.0 / 256
 SALTS = 64
-# Share of the key column that is looked at to find hot keys, and the fewest sightings that count.
-PROBE_SHARE = 0.05
-PROBE_MINIMUM = 50
-
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` is proven to hold at most ``max_rows`` rows (reads no further than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size the optimizer expects, an upper bound for scans and aggregates. Runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-def hot_keys(
-    facts: DataFrame, on: Sequence[str], share: float = HOT_SHARE, probe: float = PROBE_SHARE,
-    minimum: int = PROBE_MINIMUM,
-) -> DataFrame:
-    """Keys seen in more than ``share`` of a probe of the rows; at most ``1/share`` of them.
 
-    Only decides how rows are spread, never which rows are kept, so a probe is enough. The answer
-    is written once: both sides of a join must agree on it.
-    """
-    keys = facts.select(*on)
-    if probe < 1.0:
-        keys = keys.sample(probe, seed=17)
-    counts = durable(keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    return counts.where(F.col("_n") > max(total * share, minimum)).select(*on)
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys with more than ``share`` of the rows; at most ``1/share`` of them. ``counts`` has a row
+    per key and the number of its rows in ``n``."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > total * share).select(*on)
 
 
 def lookup_join(
@@ -44,33 +29,31 @@ def lookup_join(
     dim: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
+    hot: DataFrame | None = None,
+    max_bytes: int | None = None,
     salts: int = SALTS,
-    **probing: float,
 ) -> DataFrame:
     """Join a large table to a lookup keyed by ``on``.
 
-    A lookup of proven size is broadcast, so hot keys in ``facts`` do not matter. A larger one is
-    shuffled; the few keys that hold a big share of ``facts`` are spread over ``salts`` tasks and
-    their lookup rows repeated once per salt, so the result is the same.
+    A lookup of proven size is broadcast, so hot keys in ``facts`` do not matter. Beyond that both
+    sides are shuffled, and adaptive execution broadcasts what turns out to be small and splits
+    partitions that turn out to be skewed. Keys a caller knows to be ``hot`` are spread over
+    ``salts`` tasks and their lookup rows repeated once per salt, so the result is the same.
     """
     on = list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    if fits_broadcast(dim, max_rows):
+    if planned_bytes(dim) <= (BROADCAST_BYTES if max_bytes is None else max_bytes):
         return facts.join(F.broadcast(dim), on, how)
-    if facts.isStreaming:
-        # key counts of a stream are not known up front
-        return facts.join(dim, on, how)
-    hot = hot_keys(facts, on, **probing)
-    if hot.isEmpty():
+    if facts.isStreaming or hot is None:
         return facts.join(dim, on, how)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot = hot.withColumn("_hot", F.lit(True))
     zero = F.lit(0).cast("long")
-    row_hash = F.xxhash64(*([c for c in facts.columns if c not in on] or [zero]))
-    left = facts.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts).cast("long"))).otherwise(zero)
-    )
+    # rows that are equal in every column still go to different tasks
+    row_hash = F.xxhash64(*([c for c in facts.columns if c not in on] or [zero]), F.spark_partition_id())
+    left = facts.withColumn("_at", row_hash).join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.col("_at"), F.lit(salts).cast("long"))).otherwise(zero)
+    ).drop("_at")
     every = F.sequence(zero, F.lit(salts - 1).cast("long"))
     right = dim.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(zero)))

@@ -15,23 +15,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.plans.durable import durable
+from peakloom.plans.durable import stored
+from peakloom.plans.joins import planned_bytes
 
-# A key with more rows than this is not ordered by a single task.
-TASK_ROWS = 1_000_000
-_PROBE_SHARE = 0.02
+# A table beyond this size may hold a key that is too large to be ordered by a single task.
+TASK_BYTES = 128 << 20
 
 
-def has_large_key(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> bool:
-    """Whether some key probably exceeds ``limit`` rows. Only chooses between two equal plans, so
-    it looks at a share of the rows."""
-    if limit <= 0:
-        return True
-    if not keys:
-        return df.limit(limit + 1).count() > limit
-    seen = df.select(*keys).sample(_PROBE_SHARE, seed=23).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    most = seen.agg(F.max("n")).first()[0] or 0
-    return most > limit * _PROBE_SHARE
+def sized(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """(table, whether it may exceed ``limit`` bytes). Only chooses between two equal plans. A table
+    that is not known to be small is written first, which tells its size and is read instead."""
+    if planned_bytes(df) <= limit:
+        return df, False
+    if limit > 0:
+        df = stored(df)
+    return df, planned_bytes(df) > limit
 
 
 def ordered_scan(
@@ -42,7 +40,7 @@ def ordered_scan(
     last: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     totals: bool = False,
-    task_rows: int | None = None,
+    task_bytes: int | None = None,
 ) -> DataFrame:
     """Running values per key in ``order``, both ends inclusive.
 
@@ -54,7 +52,8 @@ def ordered_scan(
     """
     keys, order = list(keys), list(order)
     sums, last, following = dict(sums or {}), dict(last or {}), dict(following or {})
-    if has_large_key(df, keys, TASK_ROWS if task_rows is None else task_rows):
+    df, large = sized(df, TASK_BYTES if task_bytes is None else task_bytes)
+    if large:
         return _chunked_scan(df, keys, order, sums, last, following)
     inside = Window.partitionBy(*keys).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -69,7 +68,7 @@ def ordered_scan(
 
 def _chunked_scan(df, keys, order, sums, last, following) -> DataFrame:
     """The same result for keys of any size."""
-    chunked = durable(
+    chunked = stored(
         df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn(
             "_chunk", F.spark_partition_id()
         )
@@ -212,7 +211,7 @@ def window_ranges(
     )
     both = marks.unionByName(stops, allowMissingColumns=True)
     # both results are read from one evaluation, so equal positions cannot be numbered twice
-    ranked = durable(ordered_scan(both, keys, ["_at", "_kind", "_point", "_probe", "_side"], sums={"_cum": "_one"}))
+    ranked = stored(ordered_scan(both, keys, ["_at", "_kind", "_point", "_probe", "_side"], sums={"_cum": "_one"}))
     placed = ranked.where(F.col("_kind") == _POINT).select(*keys, "_row.*", (F.col("_cum") - 1).alias("_pos"))
     spans = ranked.where(F.col("_kind") != _POINT).groupBy(*keys, "_probe").agg(
         F.max(F.when(F.col("_side") == "lo", F.col("_cum"))).alias("_lo"),
@@ -228,7 +227,7 @@ def range_blocks(points: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataF
     A range of m positions needs at most 2 log2(m) blocks, so points and probes meet in blocks
     instead of pairwise. Adds ``_level`` and ``_block``.
     """
-    probes = durable(probes.where("_hi > _lo"))
+    probes = stored(probes.where("_hi > _lo"))
     widest = probes.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
     levels = int(widest).bit_length()
     # first and last whole block of a range on one level; an odd first or an even last block is
@@ -257,7 +256,7 @@ def counts_within(
     """
     keys = list(keys)
     points = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    points = durable(points)
+    points = stored(points)
     marks = points.select(*keys, F.col(value).alias("_at"), F.col(value).alias("_i0"), "_n")
     return _signed_counts(points, marks, keys, value, float(half_width), [value], out)
 
@@ -296,7 +295,7 @@ def counts_within_box(
     the number of neighbours.
     """
     keys = list(keys)
-    points = durable(
+    points = stored(
         df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
         .groupBy(*keys, first, second).agg(F.count(F.lit(1)).alias("_n"))
     )

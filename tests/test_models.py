@@ -274,3 +274,55 @@ def test_clusters_and_components(spark):
     clusters = {r["species"]: r["cluster"] for r in E.species_clusters(runs, ["IS1", "IS2"], 2).collect()}
     assert clusters[0] == clusters[2] == clusters[4] != clusters[1]
     assert E.species_clusters(runs, ["IS1"], 99).select("cluster").distinct().count() <= 6
+
+
+# -- missing targets, digits, wide designs ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("p", [1, 10, 11])
+def test_missing_targets_are_refused_or_left_out(spark, p):
+    names = [f"IS{i + 1}" for i in range(p)]
+    rng = np.random.default_rng(p)
+    x = np.round(rng.normal(size=(40, p)), 3)
+    y = 10.0 + x[:, 0]
+    target = [None if i % 4 == 0 else float("nan") if i % 4 == 1 else float(v) for i, v in enumerate(y)]
+    rows = [(i % 2, *map(float, r), t) for i, (r, t) in enumerate(zip(x, target))] + [(7, *map(float, x[0]), None)]
+    df = spark.createDataFrame(rows, "g long, " + ", ".join(f"{n} double" for n in names) + ", rt double")
+    with pytest.raises(Exception, match="null or not finite"):
+        S.group_sums(df, ["g"], names).collect()
+    got = {r["g"]: r for r in S.group_sums(df, ["g"], names, missing="skip").collect()}
+    assert got[7]["n"] == 0 and got[7]["n_left_out"] == 1 and got[7]["sum_xx"] == [0.0] * p * p
+    for g in (0, 1):
+        use = np.array([i % 2 == g and i % 4 > 1 for i in range(40)])
+        assert (got[g]["n"], got[g]["n_left_out"]) == (use.sum(), 20 - use.sum())
+        assert np.allclose(got[g]["sum_xx"], (x[use].T @ x[use]).ravel()) and np.allclose(got[g]["sum_xy"], x[use].T @ y[use])
+    assert {r["g"] for r in S.centred(S.group_sums(df, ["g"], names, missing="skip")).collect()} == {0, 1}
+
+
+def test_far_from_zero_gives_the_same_model(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=200), 6)
+    y = np.round(0.3 * x + rng.normal(size=200) * 0.01, 9)
+    near, far = (
+        spark.createDataFrame([(int(i % 2), 1, float(a + s), float(b + s)) for i, (a, b) in enumerate(zip(x, y))], "supercategory long, comp_id long, IS1 double, rt double")
+        for s in (0.0, 1e6)
+    )
+    for a, b in zip(R.train_two_grain(near, ["IS1"], 1e-3), R.train_two_grain(far, ["IS1"], 1e-3)):
+        keys = [c for c in ("supercategory", "comp_id") if c in a.columns]
+        a, b = ({tuple(r[k] for k in keys): r for r in t.collect()} for t in (a, b))
+        for k in a:
+            assert b[k]["coef"][0] == pytest.approx(a[k]["coef"][0], abs=1e-6)
+            assert b[k]["sigma"] == pytest.approx(a[k]["sigma"], rel=1e-4)
+
+
+def test_wide_designs_keep_plans_small(spark):
+    names = [f"IS{i + 1}" for i in range(65)]
+    df = spark.range(50).selectExpr("id % 3 AS g", "id % 2 AS h", *[f"cast((id * {i + 3}) % 11 AS double) AS {n}" for i, n in enumerate(names)], "cast(id AS double) AS rt")
+    fine, coarse = S.two_grains(df, ["g", "h"], ["h"], names)
+    plan = coarse._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sum(") < 100
+    pdf = df.toPandas()
+    for r in coarse.collect():
+        part = pdf[pdf["h"] == r["h"]]
+        m = part[names].to_numpy(float)
+        assert r["n"] == len(part) and np.allclose(r["sum_xx"], (m.T @ m).ravel()) and np.allclose(r["sum_xy"], m.T @ part["rt"].to_numpy(float))

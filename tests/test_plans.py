@@ -27,12 +27,12 @@ def rows(df, *cols):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("probe", [1.0, 0.2])
-def test_salted_join_equals_plain_join(spark, skewed, how, probe):
+@pytest.mark.parametrize("named", [True, False])
+def test_salted_join_equals_plain_join(spark, skewed, how, named):
     facts, _ = skewed
     dim = spark.createDataFrame([(i, f"n{i}") for i in range(0, 40)], "k long, name string")
-    assert not J.hot_keys(facts, ["k"], probe=probe, minimum=20).isEmpty()
-    out = J.lookup_join(facts, dim, ["k"], how, max_rows=0, salts=5, probe=probe, minimum=20)
+    hot = J.hot_keys(facts.groupBy("k").count(), ["k"], "count", 0.1) if named else None
+    out = J.lookup_join(facts, dim, ["k"], how, hot, max_bytes=-1, salts=5)
     plain = facts.join(dim, ["k"], how)
     assert out.columns == plain.columns
     assert rows(out, "id", *out.columns) == rows(plain, "id", *plain.columns)
@@ -40,15 +40,28 @@ def test_salted_join_equals_plain_join(spark, skewed, how, probe):
 
 def test_hot_keys_are_bounded(skewed):
     facts, _ = skewed
-    assert [r["k"] for r in J.hot_keys(facts, ["k"], share=0.3, probe=1.0).collect()] == [7]
+    counts = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert [r["k"] for r in J.hot_keys(counts, ["k"], "n", share=0.3).collect()] == [7]
 
 
-@pytest.mark.parametrize("task_rows", [0, 10**6])
+def test_size_checks_run_no_job_and_move_no_rows_to_one_task(spark, skewed):
+    facts, _ = skewed
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sizes", "size checks")
+    dim = spark.range(100).withColumnRenamed("id", "k")
+    joined = J.lookup_join(facts, dim, ["k"])
+    assert len(tracker.getJobIdsForGroup("sizes")) == 0
+    spark.sparkContext.setJobGroup("rest", "")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("task_bytes", [-1, 1 << 40])
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_ordered_scan(skewed, keys, task_rows):
+def test_ordered_scan(skewed, keys, task_bytes):
     facts, pdf = skewed
     got = O.ordered_scan(
-        facts, keys, ["v", "id"], {"s": "id"}, {"m": "w"}, {"f": "w"}, totals=True, task_rows=task_rows
+        facts, keys, ["v", "id"], {"s": "id"}, {"m": "w"}, {"f": "w"}, totals=True, task_bytes=task_bytes
     ).toPandas().sort_values("id")
     want = pdf.sort_values([*keys, "v", "id"])
     group = want.groupby(keys) if keys else want.assign(z=0).groupby("z")
@@ -62,9 +75,9 @@ def test_ordered_scan(skewed, keys, task_rows):
     assert (got["f"].to_numpy() == want["f"].to_numpy()).all()
 
 
-@pytest.mark.parametrize("task_rows", [0, 10**6])
-def test_exact_percentiles(skewed, monkeypatch, task_rows):
-    monkeypatch.setattr(O, "TASK_ROWS", task_rows)
+@pytest.mark.parametrize("task_bytes", [-1, 1 << 40])
+def test_exact_percentiles(skewed, monkeypatch, task_bytes):
+    monkeypatch.setattr(O, "TASK_BYTES", task_bytes)
     facts, pdf = skewed
     got = {r["k"]: r for r in O.exact_percentiles(facts, ["k"], "v", {"p10": 0.1, "p50": 0.5}).collect()}
     for k, part in pdf.groupby("k"):
@@ -72,9 +85,9 @@ def test_exact_percentiles(skewed, monkeypatch, task_rows):
         assert got[k]["p50"] == pytest.approx(np.median(part["v"]), abs=1e-12)
 
 
-@pytest.mark.parametrize("task_rows", [0, 10**6])
-def test_window_counts_against_brute_force(skewed, monkeypatch, task_rows):
-    monkeypatch.setattr(O, "TASK_ROWS", task_rows)
+@pytest.mark.parametrize("task_bytes", [-1, 1 << 40])
+def test_window_counts_against_brute_force(skewed, monkeypatch, task_bytes):
+    monkeypatch.setattr(O, "TASK_BYTES", task_bytes)
     facts, pdf = skewed
     one = {(r["k"], r["v"]): r["n"] for r in O.counts_within(facts, ["k"], "v", 0.25, "n").collect()}
     box = {(r["k"], r["v"], r["w"]): r["n"] for r in O.counts_within_box(facts, ["k"], "v", 0.25, "w", 0.5, "n").collect()}
@@ -105,9 +118,9 @@ def crowded_peaks(spark):
     return spark.createDataFrame(pdf), pdf
 
 
-@pytest.mark.parametrize("cell_points,task_rows", [(64, 10**6), (5, 10**6), (0, 0)])
-def test_partner_features_against_brute_force(crowded_peaks, monkeypatch, cell_points, task_rows):
-    monkeypatch.setattr(O, "TASK_ROWS", task_rows)
+@pytest.mark.parametrize("cell_points,task_bytes", [(64, 1 << 40), (5, 1 << 40), (0, -1)])
+def test_partner_features_against_brute_force(crowded_peaks, monkeypatch, cell_points, task_bytes):
+    monkeypatch.setattr(O, "TASK_BYTES", task_bytes)
     df, pdf = crowded_peaks
     got = X.partner_features(df, cell_points).toPandas().set_index("peak_id")
     shifts = [s for s in X.ION_SHIFTS.values() if s]
