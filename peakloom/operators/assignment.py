@@ -20,10 +20,11 @@ from peakloom.operators.metrics import (
     expected_calibration_error,
     macro_calibration_error,
 )
-from peakloom.plans.durable import stored
+from peakloom.plans.durable import discard, stored
 from peakloom.plans.joins import lookup_join
 
-MAX_DRAWS = 10_000
+# Draws evaluated together; more of them take several rounds over the slots.
+DRAW_BLOCK = 20_000
 
 
 def with_log_prior(slots: DataFrame, prior: DataFrame, log_null: float, smoothing: float = 1.0) -> DataFrame:
@@ -57,39 +58,84 @@ def probabilities(
     return softmax(slots.withColumn("_logit", _logit(theta, theta0, theta_null)), "_logit").drop("_logit")
 
 
+def draw_table(slots: DataFrame, draws: Sequence[Mapping[str, object]] | DataFrame) -> DataFrame:
+    """(draw, theta0, theta_null, sigma, w): parameter draws as a table, weights by feature name."""
+    if isinstance(draws, DataFrame):
+        return draws.select("draw", "theta0", "theta_null", "sigma", "w")
+    if not len(draws):
+        raise ValueError("at least one draw is needed")
+    rows = [
+        (i, float(d["theta0"]), float(d["theta_null"]), float(d.get("sigma_logit", 0.0)), {k: float(v) for k, v in d["theta"].items()})
+        for i, d in enumerate(draws)
+    ]
+    return slots.sparkSession.createDataFrame(rows, "draw int, theta0 double, theta_null double, sigma double, w map<string,double>")
+
+
+def _peak_draws(slots: DataFrame, draws: DataFrame, noise_seed: int | None) -> DataFrame:
+    """(peak_id, draw, slots): per peak and draw the slots with their probabilities.
+
+    The slots of a peak, a bounded list, are gathered first. Draws are attached to that list, so
+    nothing is shuffled per slot and draw.
+    """
+    features = sorted(draws.select(F.explode(F.map_keys("w"))).distinct().toPandas().iloc[:, 0])
+    one = F.struct("slot", "compound_id", "log_pi", *features)
+    peaks = slots.groupBy("peak_id").agg(F.collect_list(one).alias("_slots"))
+    block = draws.agg(F.collect_list(F.struct("draw", "theta0", "theta_null", "sigma", "w")).alias("_draws"))  # one row
+    rows = peaks.join(F.broadcast(block)).select("peak_id", "_slots", F.explode("_draws").alias("d"))
+
+    def logit(s):
+        acc = F.col("d.theta0")
+        for f in features:
+            acc = acc + F.coalesce(F.col("d.w")[f], F.lit(0.0)) * s[f]
+        value = F.when(s["slot"] == 0, F.col("d.theta_null")).otherwise(acc) + s["log_pi"]
+        if noise_seed is None:
+            return value
+        u1 = F.greatest(hash_fraction(["peak_id", s["slot"], F.col("d.draw")], noise_seed), F.lit(1e-12))
+        u2 = hash_fraction(["peak_id", s["slot"], F.col("d.draw")], noise_seed + 1)
+        return value + F.col("d.sigma") * F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+
+    entry = lambda s, p: F.struct(s["slot"].alias("slot"), s["compound_id"].alias("compound_id"), p.alias("p"))
+    rows = rows.withColumn("_l", F.transform("_slots", lambda s: entry(s, logit(s))))
+    rows = rows.withColumn("_top", F.array_max(F.transform("_l", lambda s: s["p"])))
+    rows = rows.withColumn("_e", F.transform("_l", lambda s: entry(s, F.exp(s["p"] - F.col("_top")))))
+    rows = rows.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda acc, s: acc + s["p"]))
+    return rows.select("peak_id", F.col("d.draw").alias("draw"), F.transform("_e", lambda s: entry(s, s["p"] / F.col("_sum"))).alias("slots"))
+
+
 def draw_probabilities(
-    slots: DataFrame, draws: Sequence[Mapping[str, object]], noise_seed: int | None = None
+    slots: DataFrame, draws: Sequence[Mapping[str, object]] | DataFrame, noise_seed: int | None = None
 ) -> DataFrame:
     """(peak_id, slot, compound_id, draw, p), one softmax per parameter draw.
 
-    With a seed, Normal noise of each draw's ``sigma_logit`` is added; it is a function of
-    (peak, slot, draw), so a recomputed partition gets the same noise.
+    With a seed, Normal noise of each draw's deviation is added; it is a function of (peak, slot,
+    draw), so a recomputed partition gets the same noise.
     """
-    if not 0 < len(draws) <= MAX_DRAWS:
-        raise ValueError(f"between 1 and {MAX_DRAWS} draws are needed")
-    features = sorted(draws[0]["theta"])
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("draw"), F.lit(float(d["theta0"])).alias("theta0"), F.lit(float(d["theta_null"])).alias("theta_null"),
-                F.lit(float(d.get("sigma_logit", 0.0))).alias("sigma"),
-                *[F.lit(float(d["theta"][f])).alias(f"w_{f}") for f in features],
-            )
-            for i, d in enumerate(draws)
-        ]
-    )
-    rows = slots.select("peak_id", "slot", "compound_id", "log_pi", *features, F.explode(table).alias("d"))
-    linear = F.col("d.theta0")
-    for f in features:
-        linear = linear + F.col(f"d.w_{f}") * F.col(f)
-    logit = F.when(F.col("slot") == 0, F.col("d.theta_null")).otherwise(linear) + F.col("log_pi")
-    if noise_seed is not None:
-        u1 = F.greatest(hash_fraction(["peak_id", "slot", F.col("d.draw")], noise_seed), F.lit(1e-12))
-        u2 = hash_fraction(["peak_id", "slot", F.col("d.draw")], noise_seed + 1)
-        normal = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
-        logit = logit + F.col("d.sigma") * normal
-    long = rows.select("peak_id", "slot", "compound_id", F.col("d.draw").alias("draw"), logit.alias("_logit"))
-    return softmax(long, "_logit", ["peak_id", "draw"]).drop("_logit")
+    table = draw_table(slots, draws)
+    long = _peak_draws(slots, table, noise_seed).select("peak_id", "draw", F.explode("slots").alias("s"))
+    return long.select("peak_id", "s.slot", "s.compound_id", "draw", "s.p")
+
+
+def mean_draw_probabilities(
+    slots: DataFrame, draws: Sequence[Mapping[str, object]] | DataFrame, noise_seed: int | None = None, block: int = DRAW_BLOCK
+) -> DataFrame:
+    """(peak_id, slot, compound_id, p): the mean over any number of draws, without a row per slot and
+    draw leaving its task. Draws are taken ``block`` at a time and their sums added."""
+    table = draw_table(slots, draws)
+    if not isinstance(draws, DataFrame):
+        groups = -(-len(draws) // block)
+        parts = [table.where(F.floor(F.col("draw") / block) == g) for g in range(groups)]
+    else:
+        groups = -(-table.count() // block)
+        # the draws are dealt out by a hash; each group is about a block
+        parts = [table.where(F.pmod(F.xxhash64("draw"), F.lit(groups)) == g) for g in range(groups)]
+    sums = None
+    for part in parts:
+        each = _peak_draws(slots, part, noise_seed).select("peak_id", F.explode("slots").alias("s"))
+        # rows of a peak are in one task already, so this moves nothing
+        each = each.groupBy("peak_id", "s.slot", "s.compound_id").agg(F.sum("s.p").alias("p"), F.count(F.lit(1)).alias("n"))
+        each = each.toDF("peak_id", "slot", "compound_id", "p", "n")
+        sums = each if sums is None else stored(sums.unionAll(each).groupBy("peak_id", "slot", "compound_id").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
+    return sums.select("peak_id", "slot", "compound_id", (F.col("p") / F.col("n")).alias("p"))
 
 
 def mean_probabilities(samples: DataFrame, max_samples: int | None = None) -> DataFrame:
@@ -103,13 +149,14 @@ def mean_probabilities(samples: DataFrame, max_samples: int | None = None) -> Da
 
 
 def fit_weights(
-    slots: DataFrame, features: Sequence[str], iterations: int = 25, tolerance: float = 1e-6
+    slots: DataFrame, features: Sequence[str], iterations: int = 200, tolerance: float = 1e-6
 ) -> dict[str, object]:
     """Maximum a posteriori weights of the conditional logit, with N(0, 1) priors.
 
     ``slots`` needs log_pi, label and the features; only peaks with ``label >= 0`` contribute.
     Each Newton step is one pass: every task reduces its peaks to a gradient and a Hessian, and
-    only those small matrices are added up.
+    only those small matrices are added up. Runs until the step is below ``tolerance``; ``converged``
+    is false when ``iterations`` steps were not enough. ``objective`` belongs to the returned weights.
     """
     names = ["theta_null", "theta0", *features]
     d = len(names)
@@ -119,22 +166,21 @@ def fit_weights(
         .select("peak_id", "slot", "label", "log_pi", *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features])
         .repartition("peak_id").sortWithinPartitions("peak_id", "slot")
     )
-    w = np.zeros(d)
-    value = math.inf
+    w, converged = np.zeros(d), False
+    total = _newton_sums(used, features, w)
     for _ in range(iterations):
-        total = _newton_sums(used, features, w)
-        value_new = total[0] - 0.5 * float(w @ w)
         grad = total[1 : 1 + d] - w
         hess = total[1 + d :].reshape(d, d) + np.eye(d)
         step = np.linalg.solve(hess, grad)
         w = w + step
-        if np.abs(step).max() < tolerance:
-            value = value_new
+        total = _newton_sums(used, features, w)
+        converged = bool(np.abs(step).max() < tolerance)
+        if converged:
             break
-        value = value_new
+    discard(used)
     return {
-        "theta_null": float(w[0]), "theta0": float(w[1]),
-        "theta": {f: float(v) for f, v in zip(features, w[2:], strict=True)}, "objective": value,
+        "theta_null": float(w[0]), "theta0": float(w[1]), "theta": {f: float(v) for f, v in zip(features, w[2:], strict=True)},
+        "objective": total[0] - 0.5 * float(w @ w), "converged": converged,
     }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.values import normal_quantile
-from peakloom.plans.durable import stored
+from peakloom.plans.durable import discard, stored
 from peakloom.plans.joins import lookup_join
 from peakloom.plans.ordered import exact_percentiles
 
@@ -52,24 +52,28 @@ def _log_normal(x, mean, var):
     return F.lit(-0.5) * (F.log(F.lit(2 * math.pi) * var) + (x - mean) * (x - mean) / var)
 
 
-def coherence_mixture(scores: DataFrame, iterations: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def coherence_mixture(scores: DataFrame, iterations: int = 2_000, tolerance: float = 1e-6) -> DataFrame:
     """Two-component Gaussian mixture of the scores within every sample set.
 
     Expectation and maximisation are joins and sums over all sample sets at once, so the size of
     one set does not matter. Components start below and above the mean; the coherent one is the
-    heavier (the higher mean on a tie). Adds posterior_coherent, rejected and the parameters.
+    heavier (the higher mean on a tie). Adds posterior_coherent, rejected, the parameters and
+    ``converged``. A set is left alone once its parameters move less than ``tolerance``; those that
+    still move after ``iterations`` rounds have ``converged`` false.
     """
     base = stored(scores.where(F.col("x").isNotNull()))
     start = base.groupBy("sample_set_id").agg(F.avg("x").alias("mid"))
     first = lookup_join(base, start, ["sample_set_id"], "inner").withColumn("r", (F.col("x") >= F.col("mid")).cast("double"))
-    params = stored(_maximise(first))
+    params = stored(_maximise(first).withColumn("converged", F.lit(False)))
+    names = ("mu0", "mu1", "w1")
     for _ in range(iterations):
-        new = stored(_maximise(_responsibility(base, params)))
-        shift = new.alias("a").join(params.alias("b"), ["sample_set_id"]).agg(
-            F.max(F.greatest(F.abs(F.col("a.mu0") - F.col("b.mu0")), F.abs(F.col("a.mu1") - F.col("b.mu1")), F.abs(F.col("a.w1") - F.col("b.w1"))))
-        ).first()[0]
-        params = new
-        if shift is None or shift < tolerance:
+        old = params.select("sample_set_id", *[F.col(c).alias(f"_{c}") for c in names])
+        step = _maximise(_responsibility(lookup_join(base, params.where("NOT converged"), ["sample_set_id"], "left_semi"), params))
+        moved = F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in names])
+        new = lookup_join(step, old, ["sample_set_id"], "inner").withColumn("converged", moved < tolerance).drop(*[f"_{c}" for c in names])
+        last, params = params, stored(params.where("converged").unionByName(new))
+        discard(last)
+        if params.where("NOT converged").isEmpty():
             break
     final = _responsibility(base, params)
     second = (F.col("w1") > F.col("w0")) | ((F.col("w1") == F.col("w0")) & (F.col("mu1") >= F.col("mu0")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
@@ -41,10 +42,22 @@ def attach_embeddings(
     )
 
 
+# Rounds of k-means before a run counts as not converged.
+ROUNDS = 1_000
+
+
+def _k_means(data: DataFrame, k: int, seed: int):
+    """k-means until no centre moves; warns when ``ROUNDS`` were not enough."""
+    model = KMeans(k=k, seed=seed, maxIter=ROUNDS, tol=0.0).fit(data)
+    if model.summary.numIter >= ROUNDS:
+        warnings.warn(f"k-means did not converge in {ROUNDS} rounds", stacklevel=3)
+    return model
+
+
 def chemical_classes(embeddings: DataFrame, column: str, k: int = 32, seed: int = 42) -> tuple[DataFrame, float]:
     """(chem_id, compound_class) by k-means, and the clustering cost."""
     data = embeddings.select("chem_id", array_to_vector(F.col(column).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=30).fit(data)
+    model = _k_means(data, k, seed)
     out = model.transform(data).select("chem_id", F.col("prediction").cast("long").alias("compound_class"))
     return out, model.summary.trainingCost
 
@@ -66,7 +79,7 @@ def species_clusters(runs: DataFrame, covariates: Sequence[str], n_clusters: int
     k = max(1, min(n_clusters, n))
     if k == 1:
         return scaled.select("species", F.lit(0).cast("long").alias("cluster"))
-    model = KMeans(k=k, seed=seed, maxIter=50).fit(scaled)
+    model = _k_means(scaled, k, seed)
     return model.transform(scaled).select("species", F.col("prediction").cast("long").alias("cluster"))
 
 

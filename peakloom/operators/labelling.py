@@ -4,27 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.values import entropy_term
+from peakloom.plans.durable import discard, stored
 
 ACQUISITIONS = ("fp", "entropy", "lc", "margin", "mi", "hybrid")
-# A diverse batch is picked from a short list; the list is a parameter of the method.
-MAX_POOL = 20_000
 
 
 def peak_summary(probs: DataFrame) -> DataFrame:
-    """(peak_id, top, top_slot, second, entropy): one aggregation over the slots of a peak."""
-    ordered = F.sort_array(F.collect_list("p"), asc=False)
-    return probs.groupBy("peak_id").agg(
-        F.max(F.struct("p", (-F.col("slot")).alias("neg"))).alias("_b"),
-        ordered.alias("_all"), F.sum(entropy_term("p")).alias("entropy"),
-    ).select(
-        "peak_id", F.col("_b.p").alias("top"), (-F.col("_b.neg")).alias("top_slot"),
-        F.get("_all", F.lit(1)).alias("second"), "entropy",
+    """(peak_id, top, top_slot, second, entropy): the two best slots of a peak and its uncertainty."""
+    place = F.row_number().over(Window.partitionBy("peak_id").orderBy(F.desc("p"), "slot"))
+    at = lambda i, c: F.max(F.when(F.col("_place") == i, F.col(c)))
+    return probs.select("peak_id", "slot", "p", place.alias("_place")).groupBy("peak_id").agg(
+        at(1, "p").alias("top"), at(1, "slot").alias("top_slot"), at(2, "p").alias("second"), F.sum(entropy_term("p")).alias("entropy")
     )
 
 
@@ -76,33 +70,34 @@ def expected_features(slots: DataFrame, features: Sequence[str], p: str = "p") -
 
 
 def diverse_batch(scores: DataFrame, vectors: DataFrame, features: Sequence[str], size: int, pool: int) -> DataFrame:
-    """Farthest-point selection from the ``pool`` best peaks, starting at the best one.
+    """(peak_id, score, pick): farthest-point selection from the ``pool`` best peaks, starting at the
+    best one; ties go to the higher score, then to the smaller peak. A pool of at most ``size``
+    peaks is taken whole, by score.
 
-    The pool is a bounded short list, so the sequential picks run in one small task.
+    The pool is a table. Each pick lowers every peak's distance to the batch and takes the largest
+    one by an aggregation; only the picked peak itself reaches the driver.
     """
-    if not 0 < pool <= MAX_POOL:
-        raise ValueError(f"pool must lie between 1 and {MAX_POOL}")
-    short = select_batch(scores, pool).join(vectors.select("peak_id", *features), ["peak_id"])
-    names = list(features)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "peak_id"], ascending=[False, True], ignore_index=True)
-        x = pdf[names].to_numpy(float)
-        chosen = list(range(len(pdf))) if len(pdf) <= size else [0]
-        if len(pdf) > size:
-            gap = np.linalg.norm(x - x[0], axis=1)
-            gap[0] = -1.0
-            while len(chosen) < size:
-                nxt = int(gap.argmax())
-                chosen.append(nxt)
-                gap = np.minimum(gap, np.linalg.norm(x - x[nxt], axis=1))
-                gap[chosen] = -1.0
-        out = pdf.loc[chosen, ["peak_id", "score"]]
-        return out.assign(pick=np.arange(1, len(chosen) + 1, dtype="int32"))
-
-    return short.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(
-        lambda pdf: pick(pdf), "peak_id long, score double, pick int"
-    )
+    if pool <= 0 or size <= 0:
+        raise ValueError("size and pool must be positive")
+    spark = scores.sparkSession
+    short = select_batch(scores, pool).join(vectors.select("peak_id", F.array(*[F.col(f).cast("double") for f in features]).alias("x")), ["peak_id"])
+    left = stored(short.select("peak_id", "score", "x", F.lit(None).cast("double").alias("gap")))
+    kind = "peak_id long, score double, pick int"
+    if left.count() <= size:
+        rows = [tuple(r) for r in left.select("peak_id", "score").orderBy(F.desc("score"), "peak_id").collect()]
+        return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], kind)
+    chosen = []
+    while len(chosen) < size:
+        best = left.agg(F.max(F.struct("gap", "score", (-F.col("peak_id")).alias("neg"), "x")).alias("b")).first()["b"]
+        chosen.append((-best["neg"], best["score"], len(chosen) + 1))
+        to = F.array(*[F.lit(v) for v in best["x"]])
+        squares = F.zip_with("x", to, lambda a, c: (a - c) * (a - c))
+        far = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
+        last = left
+        left = stored(last.where(F.col("peak_id") != F.lit(-best["neg"])).withColumn("gap", F.least("gap", far)))
+        discard(last)
+    discard(left)
+    return spark.createDataFrame(chosen, kind)
 
 
 def next_batch(

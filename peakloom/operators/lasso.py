@@ -26,25 +26,30 @@ CV_MINIMUM = 5
 
 
 def coordinate_descent(
-    gram: np.ndarray, c: np.ndarray, alpha: np.ndarray, w: np.ndarray, sweeps: int = 1000, tolerance: float = 1e-10
-) -> np.ndarray:
-    """Minimise w'Gw/2 - c'w + alpha |w|_1 for a stack of problems at once.
+    gram: np.ndarray, c: np.ndarray, alpha: np.ndarray, w: np.ndarray, sweeps: int = 100_000, tolerance: float = 1e-10
+) -> tuple[np.ndarray, np.ndarray]:
+    """(w, converged): minimise w'Gw/2 - c'w + alpha |w|_1 for a stack of problems at once.
 
-    Columns without variance stay at zero.
+    Columns without variance stay at zero. A problem has converged when a sweep moves none of its
+    weights by ``tolerance``; problems that have are not swept again.
     """
     w = w.copy()
+    done = np.zeros(len(w), dtype=bool)
     diag = np.einsum("gii->gi", gram)
     safe = np.where(diag > 1e-12, diag, 1.0)
     for _ in range(sweeps):
-        moved = 0.0
-        for j in range(w.shape[1]):
-            r = c[:, j] - np.einsum("gi,gi->g", gram[:, j], w) + diag[:, j] * w[:, j]
-            new = np.where(diag[:, j] > 1e-12, np.sign(r) * np.maximum(np.abs(r) - alpha, 0.0) / safe[:, j], 0.0)
-            moved = max(moved, float(np.abs(new - w[:, j]).max(initial=0.0)))
-            w[:, j] = new
-        if moved < tolerance:
+        at = np.flatnonzero(~done)
+        if not len(at):
             break
-    return w
+        moved, v = np.zeros(len(at)), w[at]
+        for j in range(w.shape[1]):
+            r = c[at, j] - np.einsum("gi,gi->g", gram[at, j], v) + diag[at, j] * v[:, j]
+            new = np.where(diag[at, j] > 1e-12, np.sign(r) * np.maximum(np.abs(r) - alpha[at], 0.0) / safe[at, j], 0.0)
+            moved = np.maximum(moved, np.abs(new - v[:, j]))
+            v[:, j] = new
+        w[at] = v
+        done[at] = moved < tolerance
+    return w, done
 
 
 def _centred(s: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -57,7 +62,7 @@ def _centred(s: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
 
 
 def solve_groups(folds: dict[str, np.ndarray], alpha: float | None) -> tuple[np.ndarray, ...]:
-    """(intercept, slopes, alpha) for stacked groups; ``folds`` arrays are [group, fold, ...].
+    """(intercept, slopes, alpha, converged) for stacked groups; ``folds`` arrays are [group, fold, ...].
 
     Features are scaled to unit variance over the whole group before the penalty applies; the
     penalty with the least mean fold error is kept.
@@ -89,22 +94,23 @@ def solve_groups(folds: dict[str, np.ndarray], alpha: float | None) -> tuple[np.
         w = np.zeros((groups * k, p))
         errors = np.empty((groups, PATH_LENGTH))
         for i, share in enumerate(grid):
-            w = coordinate_descent(rg.reshape(-1, p, p), rv.reshape(-1, p), np.repeat(top * share, k), w)
+            w, _ = coordinate_descent(rg.reshape(-1, p, p), rv.reshape(-1, p), np.repeat(top * share, k), w)
             u = w.reshape(groups, k, p)
             shift = (ty - ry) - (step * u).sum(-1)
             spread = tq - 2 * (u * tv).sum(-1) + np.einsum("gki,gkij,gkj->gk", u, tg, u)
             mse = spread / np.maximum(folds["n"], 1.0) + shift * shift
             errors[:, i] = np.where(used, mse, 0.0).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
         best = np.where(cv, top * grid[errors.argmin(axis=1)], best)
-    w = coordinate_descent(gram, lin, best, np.zeros((groups, p))) / scale
-    return ym - (xm * w).sum(axis=1), w, best
+    w, done = coordinate_descent(gram, lin, best, np.zeros((groups, p)))
+    w = w / scale
+    return ym - (xm * w).sum(axis=1), w, best, done
 
 
 def fit_lasso(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], row_key: Sequence[str | Column], target: str = "rt",
     folds: int = 5, alpha: float | None = None, min_samples: int = 3, seed: int = 42,
 ) -> DataFrame:
-    """(keys, intercept, coef, alpha, n): cross-validated penalty from five rows on, a fixed one
+    """(keys, intercept, coef, alpha, n, converged): cross-validated penalty from five rows on, a fixed one
     below; groups under ``min_samples`` get no model. Folds are a hash of the row's own key."""
     fold = F.pmod(F.conv(F.substring(hash_text(row_key, seed), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
     sums = group_sums(df.withColumn("_fold", fold), [*keys, "_fold"], features, target)
@@ -114,7 +120,7 @@ def fit_lasso(
     p = len(features)
     schema = T.StructType(
         [*[sums.schema[k] for k in keys], T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType())),
-         T.StructField("alpha", T.DoubleType()), T.StructField("n", T.LongType())]
+         T.StructField("alpha", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("converged", T.BooleanType())]
     )
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,12 +133,12 @@ def fit_lasso(
                 for f in parts:
                     for c, shape in shapes.items():
                         stacked[c][g, f["_fold"]] = np.reshape(f[c], shape)
-            b, w, best = solve_groups(stacked, alpha)
+            b, w, best, done = solve_groups(stacked, alpha)
             yield pd.concat(
                 [
                     pdf[list(keys)],
                     pd.DataFrame(
-                        {"intercept": b, "coef": list(w), "alpha": best, "n": stacked["n"].sum(axis=1).astype("int64")}, index=pdf.index
+                        {"intercept": b, "coef": list(w), "alpha": best, "n": stacked["n"].sum(axis=1).astype("int64"), "converged": done}, index=pdf.index
                     ),
                 ],
                 axis=1,

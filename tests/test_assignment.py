@@ -140,6 +140,13 @@ def test_draws(spark, probs):
     key = lambda df: sorted((r["peak_id"], r["slot"], r["draw"], round(r["p"], 12)) for r in df.collect())
     assert key(noisy) == key(again) != key(clean)
     assert A.mean_probabilities(noisy, max_samples=1).groupBy("peak_id").agg(F.sum("p").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+    for many in (draws, A.draw_table(slots, draws)):
+        both = A.mean_draw_probabilities(slots, many, noise_seed=1, block=2)
+        assert sorted((r["peak_id"], r["slot"], round(r["p"], 9)) for r in both.collect()) == sorted(
+            (r["peak_id"], r["slot"], round(r["p"], 9)) for r in A.mean_probabilities(noisy).collect()
+        )
+    plan = A.mean_draw_probabilities(slots, draws, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1
     mi = {r["peak_id"]: r["score"] for r in L.mutual_information(noisy).collect()}
     assert all(v >= -1e-12 for v in mi.values())
     with pytest.raises(ValueError):
@@ -175,7 +182,8 @@ def test_batches_exclude_history_and_spread_out(spark, probs):
         want.append(int(np.argmax(gaps)))
     assert got == want
     with pytest.raises(ValueError):
-        L.diverse_batch(scores, vec, ["u", "v"], 6, 10**6)
+        L.diverse_batch(scores, vec, ["u", "v"], 6, 0)
+    assert [r["pick"] for r in L.diverse_batch(scores, vec, ["u", "v"], 50, 10**6).orderBy(F.desc("score")).collect()] == list(range(1, 41))
 
 
 def test_fitted_weights_maximise_the_posterior(spark):
