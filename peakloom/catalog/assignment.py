@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from peakloom.catalog.inputs import kept, table, view, with_views
+from peakloom.catalog.preparation import fraction_sql
 from peakloom.catalog.registry import query, rounded
 from peakloom.operators import context as X
 
@@ -352,26 +353,45 @@ def _samples(spark, sf):
 
 @query("C8_mean_over_draws", with_views(f", {DRAW_SQL} SELECT peak_id, slot, compound_id, round(avg(p), 6) AS p FROM ps GROUP BY 1, 2, 3", *CVIEWS))
 def _(spark, sf):
-    return rounded(A.mean_probabilities(_samples(spark, sf)))
+    return rounded(A.mean_draw_probabilities(_prior_slots(spark, sf), DRAWS))
 
 
-@query("C8_noisy_draws")
+def _noise_sql(seed):
+    return fraction_sql(["lg.peak_id", "slot", "draw"], seed)
+
+
+NOISE_SQL = DRAW_SQL.replace("exp(tn)*pn", "exp(tn + z)*pn").replace("*rt_z)*pi", "*rt_z + z)*pi").replace(
+    "FROM lg, nl, dr)", f"FROM (SELECT lg.*, dr.*, 2e-1*sqrt(-2e0*ln(greatest({_noise_sql(42)}, 1e-12)))*cos(2*pi()*{_noise_sql(43)}) AS z FROM lg, dr) lg, nl)"
+)
+
+
+@query("C8_noisy_draws", with_views(f", {NOISE_SQL} SELECT peak_id, slot, compound_id, round(avg(p), 5) AS p FROM ps GROUP BY 1, 2, 3", *CVIEWS))
 def _(spark, sf):
-    noisy = A.draw_probabilities(_prior_slots(spark, sf), DRAWS, noise_seed=42)
-    return rounded(A.mean_probabilities(noisy))
+    return rounded(A.mean_draw_probabilities(_prior_slots(spark, sf), DRAWS, noise_seed=42), 5)
 
 
-@query("C10_softmax_weights")
+@query(
+    "C10_softmax_weights",
+    with_views(
+        f", {SLOT_SQL} SELECT count(*) AS n_peaks, CAST({len(C.FEATURES) + 2} AS BIGINT) AS n_parameters, true AS converged, 0e0 AS gradient FROM sl WHERE slot = 0 AND label >= 0",
+        *CVIEWS,
+    ),
+)
 def _(spark, sf):
+    """Largest gradient of the posterior at the fitted weights, from the probabilities they give."""
     s = _prior_slots(spark, sf)
     z = C.standardise(s, C.feature_scaler(s.where("slot > 0 AND NOT is_decoy")))
-    train = z.where("slot = 0 OR NOT is_decoy")
+    train = z.where("slot = 0 OR NOT is_decoy").where("label >= 0").withColumns({f: F.coalesce(f, F.lit(0.0)) for f in C.FEATURES})
     fit = A.fit_weights(train, C.FEATURES)
-    names = ["theta_null", "theta0", *fit["theta"]]
-    values = [fit["theta_null"], fit["theta0"], *fit["theta"].values()]
-    rows = F.array(*[F.struct(F.lit(n).alias("parameter"), F.lit(v).alias("value")) for n, v in zip(names, values)])
-    n_used = train.where("label >= 0 AND slot = 0").agg(F.count(F.lit(1)).alias("n_peaks"))
-    return rounded(n_used.select("n_peaks", F.inline(rows)), 4)
+    p = A.probabilities(train, fit["theta"], fit["theta0"], fit["theta_null"])
+    off = F.when(F.col("slot") == F.col("label"), 1.0).otherwise(0.0) - F.col("p")
+    own = F.col("slot") > 0
+    sums = [F.sum(F.when(~own, off)) - F.lit(fit["theta_null"]), F.sum(F.when(own, off)) - F.lit(fit["theta0"])]
+    sums += [F.sum(F.when(own, off * F.col(f))) - F.lit(w) for f, w in fit["theta"].items()]
+    return p.agg(
+        F.count_if(~own).alias("n_peaks"), F.lit(len(sums)).cast("long").alias("n_parameters"), F.lit(fit["converged"]).alias("converged"),
+        F.round(F.greatest(*[F.abs(v) for v in sums]), 3).alias("gradient"),
+    )
 
 
 # -- assignment ----------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from peakloom.catalog.assignment import (
     CVIEWS, DRAW_SQL, PROB_SQL, _candidates, _peaks, _probs, _samples, _slots, _truth,
 )
 from peakloom.catalog.inputs import kept, table, view, with_views
-from peakloom.catalog.models import FEATURES, _fold
+from peakloom.catalog.models import FEATURES, FIT, _fold
 from peakloom.catalog.registry import query, rounded
 from peakloom.operators import candidates as C
 from peakloom.operators import curation as U
@@ -20,6 +20,7 @@ from peakloom.operators import pooling as PO
 from peakloom.operators import ridge as R
 from peakloom.operators import scoring as SC
 from peakloom.operators import sums as S
+from peakloom.plans.durable import stored
 
 TOP_SQL = PROB_SQL + """, rk AS (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY p DESC, slot) AS rn FROM pb),
   pk AS (SELECT peak_id, max(CASE WHEN rn = 1 THEN p END) AS top, max(CASE WHEN rn = 1 THEN slot END) AS ts, max(CASE WHEN rn = 2 THEN p END) AS sec,
@@ -104,11 +105,27 @@ def _(spark, sf):
     return rounded(L.expected_features(_slot_probs(spark, sf), ["mass_err_ppm", "rt_z"]), 5)
 
 
-@query("W10_diverse_batch")
+W10_PICK = """(SELECT c.peak_id FROM short c WHERE NOT list_contains(ids, c.peak_id)
+    ORDER BY (SELECT min((c.v1 - d.v1)*(c.v1 - d.v1) + (c.v2 - d.v2)*(c.v2 - d.v2)) FROM short d WHERE list_contains(ids, d.peak_id)) DESC, c.score DESC, c.peak_id LIMIT 1)"""
+
+
+@query(
+    "W10_diverse_batch",
+    with_views(
+        f""", {TOP_SQL}, jn AS (SELECT pb.*, sl.me, sl.rt_z FROM pb JOIN sl ON pb.peak_id = sl.peak_id AND pb.slot = sl.slot),
+        vc AS (SELECT peak_id, round(coalesce(sum(CASE WHEN slot > 0 THEN p*me END), 0)/(coalesce(sum(CASE WHEN slot > 0 THEN p END), 0) + 1e-12), 5) AS v1,
+          round(coalesce(sum(CASE WHEN slot > 0 THEN p*rt_z END), 0)/(coalesce(sum(CASE WHEN slot > 0 THEN p END), 0) + 1e-12), 5) AS v2 FROM jn GROUP BY 1),
+        short AS MATERIALIZED (SELECT ac.peak_id, round(7e-1*fp + 3e-1*h, 6) AS score, v1, v2 FROM ac JOIN vc ON ac.peak_id = vc.peak_id ORDER BY 2 DESC, 1 LIMIT 60),
+        picks(pick, ids) AS (SELECT 1, (SELECT [peak_id] FROM short ORDER BY score DESC, peak_id LIMIT 1)
+          UNION ALL SELECT pick + 1, list_append(ids, {W10_PICK}) FROM picks WHERE pick < 20)
+        SELECT s.peak_id, s.score, CAST(pick AS INTEGER) AS pick FROM picks JOIN short s ON s.peak_id = ids[pick]""",
+        *CVIEWS,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _(spark, sf):
-    vectors = L.expected_features(_slot_probs(spark, sf), VECTORS)
-    scores = L.acquisition(_probs(spark, sf), "hybrid", 0.6)
-    return rounded(L.diverse_batch(scores, vectors, VECTORS, size=20, pool=60))
+    vectors = rounded(L.expected_features(_slot_probs(spark, sf), VECTORS[:2]), 5)
+    scores = rounded(L.acquisition(_probs(spark, sf), "hybrid", 0.6))
+    return L.diverse_batch(scores, vectors, VECTORS[:2], size=20, pool=60)
 
 
 @query(
@@ -168,22 +185,57 @@ def _(spark, sf):
     return rounded(z.select("comp_id", F.get("z", F.lit(0)).alias("z1"), F.get("z", F.lit(63)).alias("z64"), "z_source"), 5)
 
 
-@query("M16_chemical_classes")
+def _misplaced(rows, key, x, group):
+    """(n_rows, n_misplaced): rows that are closer to the mean of another group than to their own."""
+    width = F.posexplode(x).alias("i", "v")
+    means = rows.select(group, width).groupBy(group, "i").agg(F.avg("v").alias("m")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m"))
+    means = means.select(F.col(group).alias("g"), F.transform("m", lambda e: e["m"]).alias("m"))
+    centres = F.broadcast(means.agg(F.collect_list(F.struct("g", "m")).alias("c")))  # one row of k centres
+    each = rows.join(centres).select(key, group, x.alias("x"), F.explode("c").alias("e"))
+    far = F.aggregate(F.zip_with("x", F.col("e.m"), lambda a, c: (a - c) * (a - c)), F.lit(0.0), lambda acc, v: acc + v)
+    best = each.groupBy(key, group).agg(F.min(far).alias("least"), F.min(F.when(F.col(group) == F.col("e.g"), far)).alias("own"))
+    return best.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("own") > F.col("least") + 1e-9).alias("n_misplaced"))
+
+
+@query("M16_chemical_classes", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_misplaced, CAST(32 AS BIGINT) AS n_classes FROM embeddings")
 def _(spark, sf):
-    classes, _cost = E.chemical_classes(_chem_embeddings(spark, sf), "embedding", 32)
-    return classes
+    """Every chemical is in the class whose mean is nearest."""
+    table_ = _chem_embeddings(spark, sf)
+    classes, _cost = E.chemical_classes(table_, "embedding", 32)
+    rows = table_.join(classes, ["chem_id"])
+    n = classes.agg(F.count_distinct("compound_class").alias("n_classes"))
+    return _misplaced(rows, "chem_id", F.col("embedding").cast("array<double>"), "compound_class").join(F.broadcast(n))
 
 
-@query("M17_species_clusters")
+@query(
+    "M17_species_clusters",
+    with_views(" SELECT count(DISTINCT species) AS n_rows, CAST(0 AS BIGINT) AS n_misplaced, least(count(DISTINCT species), 5) AS n_classes FROM obs", "obs"),
+)
 def _(spark, sf):
-    runs = S.run_means(view(spark, sf, "obs"), ["sampleset_id", "worksheet_id", "task_id"], ["IS1", "RS1", "ES_1"])
-    return E.species_clusters(runs, ["IS1", "RS1", "ES_1"], 5)
+    """Every species is in the cluster whose mean of the standardised covariates is nearest."""
+    names = ["IS1", "RS1", "ES_1"]
+    runs = S.run_means(view(spark, sf, "obs"), ["sampleset_id", "worksheet_id", "task_id"], names)
+    clusters = E.species_clusters(runs, names, 5)
+    means = runs.groupBy("species").agg(*[F.avg(c).alias(c) for c in names])
+    scale = means.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_samp(c).alias(f"s_{c}") for c in names]).first()
+    x = F.array(*[(F.col(c) - F.lit(scale[f"m_{c}"])) / F.lit(scale[f"s_{c}"]) for c in names])
+    n = clusters.agg(F.count_distinct("cluster").alias("n_classes"))
+    return _misplaced(means.join(clusters, ["species"]), "species", x, "cluster").join(F.broadcast(n))
 
 
-@query("M18_whitened_components")
+@query(
+    "M18_whitened_components",
+    "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0e0 AS mean_i, CASE WHEN i = j THEN 1e0 ELSE 0e0 END AS covariance FROM range(20) a(i), range(20) b(j) WHERE i <= j",
+)
 def _(spark, sf):
-    z = E.whitened_components(_chem_embeddings(spark, sf), "embedding", 20)
-    return z.select("chem_id", F.size("embedding20").cast("long").alias("width"), F.round(F.abs(F.get("embedding20", F.lit(0))), 4).alias("first_abs"))
+    """Means 0, variances 1 and covariances 0 of the components."""
+    z = E.whitened_components(_chem_embeddings(spark, sf), "embedding", 20).select(F.col("embedding20").alias("z"))
+    pairs = [(i, j) for i in range(20) for j in range(i, 20)]
+    at = lambda i: F.get("z", F.lit(i))
+    one = z.agg(*[F.avg(at(i)).alias(f"m{i}") for i in range(20)], *[F.covar_samp(at(i), at(j)).alias(f"c{i}_{j}") for i, j in pairs])
+    clean = lambda c: F.round(c, 4) + F.lit(0.0)
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), clean(F.col(f"m{i}")).alias("mean_i"), clean(F.col(f"c{i}_{j}")).alias("covariance")) for i, j in pairs])
+    return one.select(F.inline(rows))
 
 
 @query(
@@ -248,10 +300,26 @@ def _(spark, sf):
     return rounded(U.coherence_scores(_selected(spark, sf)), 5)
 
 
-@query("M20_coherence_mixture")
+@query(
+    "M20_coherence_mixture",
+    with_views(
+        CURATE_SQL + " SELECT sample_set_id, count(DISTINCT compound_id) AS n, true AS converged, 0e0 AS residual FROM se GROUP BY 1",
+        "obs",
+    ),
+)
 def _(spark, sf):
-    mix = U.coherence_mixture(U.coherence_scores(_selected(spark, sf)), iterations=12)
-    return rounded(mix.select("sample_set_id", "compound_id", "posterior_coherent", "rejected", "coherent_component"), 3)
+    """How far one more round from the scores would move weights and means: nowhere."""
+    scores = U.coherence_scores(_selected(spark, sf))
+    mix = stored(U.coherence_mixture(scores))
+    first = F.col("coherent_component") == 1
+    r = F.when(first, F.col("posterior_coherent")).otherwise(1.0 - F.col("posterior_coherent"))
+    sums = mix.withColumn("r", r).groupBy("sample_set_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and("converged").alias("converged"), F.sum("r").alias("n1"), F.sum(1 - F.col("r")).alias("n0"),
+        F.sum(F.col("r") * F.col("x")).alias("s1"), F.sum((1 - F.col("r")) * F.col("x")).alias("s0"), *[F.max(c).alias(c) for c in ("mu0", "mu1", "w0", "w1")],
+    )
+    part = lambda k: F.when(F.col(f"n{k}") > 1e-6, F.abs(F.col(f"s{k}") / F.col(f"n{k}") - F.col(f"mu{k}"))).otherwise(0.0)
+    weight = lambda k: F.abs((F.col(f"n{k}") + U.WEIGHT_PRIOR) / (F.col("n") + 2 * U.WEIGHT_PRIOR) - F.col(f"w{k}"))
+    return sums.select("sample_set_id", "n", "converged", F.round(F.greatest(part(0), part(1), weight(0), weight(1)), 4).alias("residual"))
 
 
 # -- pooled and lasso models -----------------------------------------------------------------------
@@ -260,7 +328,7 @@ def _(spark, sf):
 def _pooled(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _pool:
-        coef, state = PO.train_partial_pool(_fold(spark, sf, "train"), FEATURES, rounds=4)
+        coef, state = PO.train_partial_pool(_fold(spark, sf, "train"), FEATURES)
         _pool[key] = (kept(spark, sf, "pooled", lambda: coef), state)
     return _pool[key]
 
@@ -268,54 +336,117 @@ def _pooled(spark, sf):
 _pool: dict = {}
 
 
-@query("M10_partial_pooling")
+@query(
+    "M10_partial_pooling",
+    with_views(" SELECT species, comp_id, count(*) AS n, true AS converged, 0e0 AS residual FROM obs WHERE fold = 'train' GROUP BY 1, 2", "obs"),
+)
 def _(spark, sf):
-    coef, _ = _pooled(spark, sf)
-    at = lambda i, a: F.get("beta_hat", F.lit(i)).alias(a)
-    return rounded(coef.select("species", "comp_id", "n", at(0, "b"), at(1, "w1"), at(2, "w2"), at(3, "w3")), 3)
+    """Largest gradient of each group's posterior, worked out from its rows: zero at the optimum."""
+    coef, state = _pooled(spark, sf)
+    x = [F.col(f) - F.lit(c) for f, c in zip(state.features, state.center)]
+    at = lambda i: F.get("beta_hat", F.lit(i))
+    error = F.col("rt") - at(0)
+    for i, v in enumerate(x):
+        error = error - at(i + 1) * v
+    rows = _fold(spark, sf, "train").join(coef.select("species", "comp_id", "beta_hat"), ["species", "comp_id"])
+    sums = rows.groupBy("species", "comp_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(error).alias("g0"), *[F.sum(error * v).alias(f"g{i + 1}") for i, v in enumerate(x)], F.any_value("beta_hat").alias("beta_hat")
+    )
+    sums = sums.join(state.species.select("species", "mu", "slopes"), ["species"]).join(state.compounds.select("comp_id", "alpha"), ["comp_id"])
+    ratio = state.sigma2 / state.tau_b2
+    gradients = [F.abs(F.col("g0") - F.lit(ratio) * (at(0) - F.lit(state.t0) - F.col("mu") - F.col("alpha")))]
+    gradients += [F.abs(F.col(f"g{i + 1}") - F.lit(state.penalty) * (at(i + 1) - F.get("slopes", F.lit(i)))) for i in range(len(x))]
+    return sums.select("species", "comp_id", "n", F.lit(state.converged).alias("converged"), F.round(F.greatest(*gradients) / F.col("n"), 5).alias("residual"))
+
+
+FACADE = FIT.format(keys="species, comp_id") + """, te AS (SELECT * FROM obs WHERE fold = 'test'),
+  sc AS (SELECT te.species, b + w*IS1 - rt AS err FROM te JOIN m ON te.species = m.species AND te.comp_id = m.comp_id)"""
 
 
-@query("M11_model_facade")
+@query(
+    "M11_model_facade",
+    with_views(
+        FACADE + """ SELECT k.mode, (SELECT count(*) FROM te) AS n_test, count(*) AS n_used, CASE WHEN k.mode <> 'partial_pool' THEN round(sqrt(avg(err*err)), 5) END AS rmse,
+        CASE WHEN k.mode <> 'partial_pool' THEN round(avg(abs(err)), 5) END AS mae FROM sc, (VALUES ('group_ridge'), ('shared_noise_ridge'), ('partial_pool')) k(mode) GROUP BY 1""",
+        "obs",
+    ),
+)
 def _(spark, sf):
-    """Two modes of the same entry point on the same rows, compared by held-out error."""
+    """All modes of the entry point on the same rows. The pooled model has no closed form; its fit is
+    checked by M10, here only that it scores the same rows."""
     rows, test = _fold(spark, sf, "train"), _fold(spark, sf, "test")
     out = []
-    for mode in ("group_ridge", "shared_noise_ridge"):
-        coef, settings = R.fit(rows, FEATURES, mode, group="species", penalty=1e-3)
-        m = M.overall(SC.score(test, coef, FEATURES, "species", center=settings["center"]))
+    for mode in ("group_ridge", "shared_noise_ridge", "partial_pool"):
+        coef, settings = R.fit(rows, ["IS1"], mode, group="species", penalty=1e-3)
+        center = settings.center if mode == "partial_pool" else settings["center"]
+        m = M.overall(SC.score(test, coef, ["IS1"], "species", center=center))
         out.append(m.withColumn("mode", F.lit(mode)))
-    return rounded(out[0].unionByName(out[1]).select("mode", "n_test", "n_used", "rmse", "mae"), 5)
+    both = out[0].unionByName(out[1]).unionByName(out[2])
+    closed = F.col("mode") != "partial_pool"
+    return rounded(both.select("mode", "n_test", "n_used", F.when(closed, F.col("rmse")).alias("rmse"), F.when(closed, F.col("mae")).alias("mae")), 5)
 
 
-@query("M14_backoff_scoring")
+@query(
+    "M14_backoff_scoring",
+    with_views(" SELECT species, count(*) AS n, 0e0 AS gap FROM obs WHERE fold = 'test' GROUP BY 1", "obs"),
+)
 def _(spark, sf):
-    """Test rows scored from hierarchy effects alone, as if their groups were unseen."""
+    """Test rows scored from hierarchy effects alone, as if their groups were unseen, against the sum
+    of the effects written out."""
     _, state = _pooled(spark, sf)
     rows = _fold(spark, sf, "test").withColumns({f: F.col(f) - F.lit(c) for f, c in zip(state.features, state.center)})
     pred = SC.score_backoff(rows, *state.backoff()[:2], state.features, state.t0)
-    return rounded(pred.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("pred_mean") - F.col("rt")) ** 2)).alias("rmse")), 2)
+    mu = {r["species"]: (r["mu"], r["slopes"]) for r in state.species.collect()}
+    alpha = {r["comp_id"]: r["alpha"] for r in state.compounds.collect()}
+    level = F.create_map(*[F.lit(v) for k, (m, _) in mu.items() for v in (k, m)])
+    effect = F.create_map(*[F.lit(v) for k, a in alpha.items() for v in (k, a)])
+    plain = F.lit(state.t0) + F.coalesce(level[F.col("species")], F.lit(0.0)) + F.coalesce(effect[F.col("comp_id")], F.lit(0.0))
+    for i, f in enumerate(state.features):
+        slope = F.create_map(*[F.lit(v) for k, (_, s) in mu.items() for v in (k, s[i])])
+        plain = plain + F.coalesce(slope[F.col("species")], F.lit(0.0)) * F.col(f)
+    return pred.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("pred_mean") - plain)), 8).alias("gap"))
 
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "sampleset_id"]
 
 
+def _lasso_residual(rows, models, keys, features):
+    """(keys, n, residual): how far each group is from the optimality conditions of its penalty."""
+    joined = rows.join(models.select(*keys, "intercept", "coef", "alpha", "converged"), list(keys))
+    error = F.col("rt") - F.col("intercept")
+    for i, f in enumerate(features):
+        error = error - F.get("coef", F.lit(i)) * F.col(f)
+    sums = joined.groupBy(*keys, "alpha", "converged", "coef").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(error).alias("e"), *[F.avg(error * F.col(f)).alias(f"g{i}") for i, f in enumerate(features)],
+        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)],
+    )
+    gaps = [F.abs(F.col("e"))]
+    for i in range(len(features)):
+        w, s = F.get("coef", F.lit(i)), F.col(f"s{i}")
+        g = (F.col(f"g{i}") - F.col("e") * F.col(f"m{i}")) / s
+        gaps.append(F.when(s < 1e-9, 0.0).when(F.abs(w) > 1e-12, F.abs(g - F.col("alpha") * F.signum(w))).otherwise(F.greatest(F.abs(g) - F.col("alpha"), F.lit(0.0))))
+    return sums.select(*keys, "n", "converged", F.round(F.greatest(*gaps), 5).alias("residual"))
+
+
+def _lasso_sql(keys):
+    return with_views(f" SELECT {keys}, count(*) AS n, true AS converged, 0e0 AS residual FROM obs WHERE fold = 'train' GROUP BY ALL HAVING count(*) >= 3", "obs")
+
+
 def _lasso(keys):
     def run(spark, sf):
-        m = LA.fit_lasso(_fold(spark, sf, "train"), keys, ["IS1", "RS1"], ROW_KEY)
-        pred = LA.predict_lasso(_fold(spark, sf, "test"), m, keys, ["IS1", "RS1"]).where("pred_mean IS NOT NULL")
-        return rounded(pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("pred_mean") - F.col("rt"))).alias("mae")), 4)
+        train = _fold(spark, sf, "train")
+        return _lasso_residual(train, stored(LA.fit_lasso(train, keys, ["IS1", "RS1"], ROW_KEY)), keys, ["IS1", "RS1"])
 
     return run
 
 
-query("M15_lasso_species_compound")(_lasso(["species", "comp_id"]))
-query("M15_lasso_cluster_compound")(_lasso(["species_cluster", "comp_id"]))
+query("M15_lasso_species_compound", _lasso_sql("species, comp_id"))(_lasso(["species", "comp_id"]))
+query("M15_lasso_cluster_compound", _lasso_sql("species_cluster, comp_id"))(_lasso(["species_cluster", "comp_id"]))
 
 
-@query("M15_lasso_cluster_profile")
+@query("M15_lasso_cluster_profile", _lasso_sql("species_cluster"))
 def _(spark, sf):
     train = _fold(spark, sf, "train")
     runs = S.run_means(train, ["sampleset_id", "worksheet_id", "task_id"], ["IS1", "RS1"])
-    rows = LA.with_species_profile(train, runs, ["IS1", "RS1"])
-    m = LA.fit_lasso(rows, ["species_cluster"], ["IS1", "RS1"], ROW_KEY)
-    return m.select("species_cluster", F.round("intercept", 2).alias("intercept"), "n")
+    rows = stored(LA.with_species_profile(train, runs, ["IS1", "RS1"]))
+    return _lasso_residual(rows, stored(LA.fit_lasso(rows, ["species_cluster"], ["IS1", "RS1"], ROW_KEY)), ["species_cluster"], ["IS1", "RS1"])

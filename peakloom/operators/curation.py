@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,41 +48,90 @@ def coherence_scores(selected: DataFrame, level: float = 0.95) -> DataFrame:
 # Dirichlet concentration of the mixture weights and the variance regulariser.
 WEIGHT_PRIOR = 0.5
 VARIANCE_FLOOR = 1e-6
+# Compounds of a sample set that one task goes through on its own.
+SET_ROWS = 50_000
 
 
 def _log_normal(x, mean, var):
     return F.lit(-0.5) * (F.log(F.lit(2 * math.pi) * var) + (x - mean) * (x - mean) / var)
 
 
-def coherence_mixture(scores: DataFrame, iterations: int = 2_000, tolerance: float = 1e-6) -> DataFrame:
+def coherence_mixture(
+    scores: DataFrame, iterations: int = 20_000, tolerance: float = 1e-6, set_rows: int = SET_ROWS
+) -> DataFrame:
     """Two-component Gaussian mixture of the scores within every sample set.
 
-    Expectation and maximisation are joins and sums over all sample sets at once, so the size of
-    one set does not matter. Components start below and above the mean; the coherent one is the
+    A set of up to ``set_rows`` compounds goes through its rounds in one task; for larger ones
+    expectation and maximisation are joins and sums, so the size of a set does not matter. Components start below and above the mean; the coherent one is the
     heavier (the higher mean on a tie). Adds posterior_coherent, rejected, the parameters and
     ``converged``. A set is left alone once its parameters move less than ``tolerance``; those that
     still move after ``iterations`` rounds have ``converged`` false.
     """
     base = stored(scores.where(F.col("x").isNotNull()))
-    start = base.groupBy("sample_set_id").agg(F.avg("x").alias("mid"))
+    start = base.groupBy("sample_set_id").agg(F.avg("x").alias("mid"), F.count(F.lit(1)).alias("size"))
     first = lookup_join(base, start, ["sample_set_id"], "inner").withColumn("r", (F.col("x") >= F.col("mid")).cast("double"))
+    fields = "mu0 double, var0 double, w0 double, mu1 double, var1 double, w1 double, converged boolean"
+    schema = f"sample_set_id {dict(base.dtypes)['sample_set_id']}, {fields}"
+    names = [f.split()[0] for f in fields.split(", ")]
+    few = first.where(F.col("size") <= set_rows).select("sample_set_id", "x", "r")
+    solved = few.groupBy("sample_set_id").applyInPandas(_mixture_of_set(iterations, tolerance, names), schema)
+    many = stored(first.where(F.col("size") > set_rows))
+    params = stored(solved.select("sample_set_id", *names))
+    if not many.isEmpty():
+        params = params.unionByName(_mixture_by_sums(many, iterations, tolerance).select("sample_set_id", *names))
+    final = _responsibility(base, params)
+    second = (F.col("w1") > F.col("w0")) | ((F.col("w1") == F.col("w0")) & (F.col("mu1") >= F.col("mu0")))
+    p = F.when(second, F.col("r")).otherwise(1.0 - F.col("r"))
+    return final.withColumns(
+        {"coherent_component": second.cast("int"), "posterior_coherent": p, "rejected": p < 0.5}
+    ).drop("r")
+
+
+def _mixture_of_set(iterations: int, tolerance: float, names):
+    """The rounds of one small set."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, r = pdf["x"].to_numpy(float), pdf["r"].to_numpy(float)
+        mean, spread, n = x.mean(), x.var(), len(x)
+
+        def maximise(r):
+            out = []
+            for share in (1.0 - r, r):
+                total = share.sum()
+                m = (share @ x) / total if total > 1e-9 else mean
+                v = (share @ (x * x)) / total - m * m if total > 1e-9 else spread
+                out += [m, max(v, 0.0) + VARIANCE_FLOOR, (total + WEIGHT_PRIOR) / (n + 2 * WEIGHT_PRIOR)]
+            return np.array(out)
+
+        now, converged = maximise(r), False
+        for _ in range(iterations):
+            m0, v0, w0, m1, v1, w1 = now
+            gap = np.log(w0) - np.log(w1) - 0.5 * (np.log(v0) + (x - m0) ** 2 / v0) + 0.5 * (np.log(v1) + (x - m1) ** 2 / v1)
+            new = maximise(1.0 / (1.0 + np.exp(np.minimum(gap, 700.0))))
+            converged = bool(np.abs(new - now)[[0, 3, 5]].max() < tolerance)
+            now = new
+            if converged:
+                break
+        return pd.DataFrame([(pdf["sample_set_id"].iloc[0], *now, converged)], columns=["sample_set_id", *names])
+
+    return solve
+
+
+def _mixture_by_sums(first: DataFrame, iterations: int, tolerance: float) -> DataFrame:
+    """The rounds of large sets, all at once; a set is left alone once it has converged."""
     params = stored(_maximise(first).withColumn("converged", F.lit(False)))
     names = ("mu0", "mu1", "w1")
+    base = first.drop("r", "mid", "size")
     for _ in range(iterations):
         old = params.select("sample_set_id", *[F.col(c).alias(f"_{c}") for c in names])
-        step = _maximise(_responsibility(lookup_join(base, params.where("NOT converged"), ["sample_set_id"], "left_semi"), params))
+        step = _maximise(_responsibility(base, params.where("NOT converged")))
         moved = F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in names])
         new = lookup_join(step, old, ["sample_set_id"], "inner").withColumn("converged", moved < tolerance).drop(*[f"_{c}" for c in names])
         last, params = params, stored(params.where("converged").unionByName(new))
         discard(last)
         if params.where("NOT converged").isEmpty():
             break
-    final = _responsibility(base, params)
-    second = (F.col("w1") > F.col("w0")) | ((F.col("w1") == F.col("w0")) & (F.col("mu1") >= F.col("mu0")))
-    p = F.when(second, F.col("r")).otherwise(1.0 - F.col("r"))
-    return final.withColumns(
-        {"coherent_component": second.cast("int"), "posterior_coherent": p, "rejected": p < 0.5}
-    ).drop("r")
+    return params
 
 
 def _responsibility(base: DataFrame, params: DataFrame) -> DataFrame:

@@ -244,6 +244,11 @@ def test_coherence_mixture_separates_two_populations(spark):
         rows += [(s, i, float(v), bool(g)) for i, (v, g) in enumerate(zip(x, good))]
     df = spark.createDataFrame(rows, "sample_set_id long, compound_id long, x double, good boolean")
     mix = U.coherence_mixture(df.select("sample_set_id", "compound_id", "x"))
+    params = [c for c in mix.columns if c in ("mu0", "mu1", "var0", "var1", "w0", "w1")]
+    by_sums = U.coherence_mixture(df.select("sample_set_id", "compound_id", "x"), iterations=30, tolerance=0.0, set_rows=0)
+    in_task = U.coherence_mixture(df.select("sample_set_id", "compound_id", "x"), iterations=30, tolerance=0.0)
+    at = lambda m: sorted((r["sample_set_id"], r["compound_id"], r["converged"], *[round(r[c], 8) for c in params]) for r in m.collect())
+    assert at(by_sums) == at(in_task) and len(params) == 6
     wrong = mix.join(df, ["sample_set_id", "compound_id"]).where(F.col("rejected") == F.col("good")).count()
     assert wrong <= 0.03 * len(rows)
     means = {r["sample_set_id"]: r for r in mix.select("sample_set_id", "mu0", "mu1", "w1").distinct().collect()}
