@@ -54,7 +54,18 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    df = scans.scan_peaks(spark, _peak_shards(spark, sf), skip_corrupt=True)
+    """The tree holds a file that is no Parquet."""
+
+    def write(path):
+        rows = spark.read.parquet(_peak_shards(spark, sf))
+        rows.write.partitionBy("lib_id", "species_matrix_type").parquet(path)
+        one = rows.select("lib_id", "species_matrix_type").first()
+        broken = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lib_id={one[0]}/species_matrix_type={one[1]}/zz-broken.parquet")
+        out = broken.getFileSystem(spark._jsc.hadoopConfiguration()).create(broken)
+        out.write(bytearray(b"this is no parquet file"))
+        out.close()
+
+    df = scans.scan_peaks(spark, _stored(spark, sf, "broken_tree", write), skip_corrupt=True)
     return rounded(df.groupBy("correct").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("apex_rt").alias("sum_rt")), 3)
 
 
@@ -260,7 +271,7 @@ def _bundle(spark, sf):
             F.avg("rt").alias("b"), (F.max("RS1") / 10).alias("window"),
             F.round(F.avg("IS1") / 1000, 6).alias("IS1"), F.round(F.avg("RS1"), 6).alias("RS1"), F.count(F.lit(1)).alias("n"),
         ).withColumn("window", F.when(F.col("n") > 30, F.col("window"))).persist()
-        for s in range(1, 5):
+        for s in range(1, 6):
             cols = ["comp_id", "b", "window", "IS1"] + (["RS1"] if s != 2 else [])
             g.where(F.col("species_cluster") == s - 1).select(*cols).coalesce(1).write.option("header", True).csv(
                 f"{path}/supercategory_{s}_x/regression_7.csv"
@@ -273,7 +284,7 @@ def _bundle(spark, sf):
 BUNDLE_SQL = """, g AS (SELECT species_cluster + 1 AS supercategory, comp_id, avg(rt) AS b, max(RS1) / 10e0 AS win,
     round(avg(IS1) / 1000e0, 6) AS is1, round(avg(RS1), 6) AS rs1, count(*) AS n FROM obs GROUP BY 1, 2),
   bundle AS (SELECT supercategory, comp_id, b, win, is1, CASE WHEN supercategory <> 2 THEN rs1 END AS rs1 FROM g
-    WHERE n > 30 AND supercategory <= 4)"""
+    WHERE n > 30)"""
 
 
 @query(
@@ -296,14 +307,13 @@ def _(spark, sf):
 
 def _diagnostics(spark, sf):
     def write(path):
-        obs = view(spark, sf, "obs").where("species < 3")
+        obs = view(spark, sf, "obs")
         d = obs.groupBy("species", "comp_id").agg(F.avg("rt").alias("score")).selectExpr(
-            "species AS sample_set_id", "1L AS lib_id", "comp_id", "score").persist()
-        for s in range(3):
-            d.where(F.col("sample_set_id") == s).coalesce(1).write.parquet(f"{path}/set{s}/compounds")
-        d.unpersist()
+            "species AS sample_set_id", "1L AS lib_id", "comp_id", "score")
+        # a folder per sample set, whose files still hold its number
+        d.withColumn("set", F.col("sample_set_id")).repartition("set").write.partitionBy("set").parquet(f"{path}/compounds")
         obs.groupBy("species", "comp_id", "task_id").agg(F.count(F.lit(1)).alias("n")).selectExpr(
-            "species AS sample_set_id", "1L AS lib_id", "comp_id", "task_id", "n").where("task_id < 4").write.parquet(f"{path}/tasks")
+            "species AS sample_set_id", "1L AS lib_id", "comp_id", "task_id", "n").write.parquet(f"{path}/tasks")
 
     return _stored(spark, sf, "diagnostics", write)
 
@@ -311,8 +321,8 @@ def _diagnostics(spark, sf):
 @query(
     "S16_diagnostics_scan",
     with_views(
-        """, c AS (SELECT species AS sample_set_id, comp_id, round(avg(rt), 6) AS score FROM obs WHERE species < 3 GROUP BY 1, 2),
-        t AS (SELECT species AS sample_set_id, comp_id, task_id, count(*) AS n FROM obs WHERE species < 3 AND task_id < 4 GROUP BY 1, 2, 3)
+        """, c AS (SELECT species AS sample_set_id, comp_id, round(avg(rt), 6) AS score FROM obs GROUP BY 1, 2),
+        t AS (SELECT species AS sample_set_id, comp_id, task_id, count(*) AS n FROM obs GROUP BY 1, 2, 3)
         SELECT c.sample_set_id, CAST(1 AS BIGINT) AS lib_id, c.comp_id, score, task_id, n FROM c
         LEFT JOIN t ON c.sample_set_id = t.sample_set_id AND c.comp_id = t.comp_id""",
         "obs",
@@ -320,7 +330,7 @@ def _diagnostics(spark, sf):
 )
 def _(spark, sf):
     root = _diagnostics(spark, sf)
-    return rounded(scans.scan_diagnostics(spark, f"{root}/set*/compounds", f"{root}/tasks"))
+    return rounded(scans.scan_diagnostics(spark, f"{root}/compounds/set=*", f"{root}/tasks"))
 
 
 @query(
@@ -418,4 +428,4 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = _stored(spark, sf, "collisions", lambda p: sinks.write_if_any(P.mapping_collisions(_mapped(spark, sf)), p))
-    return scans.scan_csv(spark, path, "comp_id BIGINT, chem_id BIGINT, compound_class BIGINT, n_rows BIGINT")
+    return scans.scan_csv_if_any(spark, path, "comp_id BIGINT, chem_id BIGINT, compound_class BIGINT, n_rows BIGINT")

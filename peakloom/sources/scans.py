@@ -55,6 +55,14 @@ def scan_csv(
     return df.select(*columns) if columns else df
 
 
+def scan_csv_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that is only written when there is something to write; empty without it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return scan_csv(spark, path, schema)
+    return spark.createDataFrame([], schema)
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Schema check that touches no data."""
     missing = [c for c in required if c not in df.columns]
