@@ -36,8 +36,6 @@ def flagship(spark, sf):
     return rounded(M.by_support(scored, coef, "species"))
 
 
-query("M12_flagship_evaluation")(flagship)
-
 # One covariate in plain SQL: sums, slope, intercept, noise, covariance.
 FIT = f""", tr AS (SELECT * FROM obs WHERE fold = 'train'),
   s AS (SELECT {{keys}}, count(*) AS n, avg(IS1) AS xm, avg(rt) AS ym, sum(IS1*IS1) - count(*)*avg(IS1)*avg(IS1) AS sxx,
@@ -285,17 +283,51 @@ def _(spark, sf):
     return rounded(M.by_group(_scored(spark, sf)[0], "species"))
 
 
-@query(
-    "M12_evaluation_by_support",
-    with_views(
-        SCORE + f""", g AS (SELECT species, comp_id, sqrt(sum(err*err)/count(*)) AS rmse FROM flagged GROUP BY 1, 2),
+BY_SUPPORT = f""", g AS (SELECT species, comp_id, sqrt(sum(err*err)/count(*)) AS rmse FROM flagged GROUP BY 1, 2),
         bins AS (SELECT species, comp_id, {BIN_SQL.format(n='n')} AS support_bin FROM m),
         gb AS (SELECT support_bin, count(*) AS n_groups, count(g.rmse) AS n_groups_with_test, round(avg(g.rmse), 6) AS rmse_mean, round(stddev_pop(g.rmse), 6) AS rmse_std,
           round(quantile_cont(g.rmse, 0.5), 6) AS rmse_p50, round(quantile_cont(g.rmse, 0.9), 6) AS rmse_p90, round(quantile_cont(g.rmse, 0.99), 6) AS rmse_p99
           FROM bins LEFT JOIN g ON bins.species = g.species AND bins.comp_id = g.comp_id GROUP BY 1),
         rows_ AS (SELECT {BIN_SQL.format(n='n_obs_train')} AS support_bin, count(*) AS n_obs_test, {RATIOS} FROM flagged GROUP BY 1)
         SELECT gb.support_bin, n_groups, n_groups_with_test, coalesce(n_obs_test, 0) AS n_obs_test, rmse, mae, coverage_95, pred_std_mean, interval_width_mean,
-          rmse_mean, rmse_std, rmse_p50, rmse_p90, rmse_p99 FROM gb LEFT JOIN rows_ ON gb.support_bin = rows_.support_bin""",
+          rmse_mean, rmse_std, rmse_p50, rmse_p90, rmse_p99 FROM gb LEFT JOIN rows_ ON gb.support_bin = rows_.support_bin"""
+
+
+def _three_sql():
+    """Held-out rows scored by ridge on three covariates: centred products, inverse by cofactors."""
+    names = FEATURES
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    sums = [f"covar_pop({names[i]}, {names[j]})*count(*) + {LAMBDA if i == j else 0:e} AS {a(i, j)}" for i, j in pairs]
+    sums += [f"covar_pop({f}, rt)*count(*) AS c{i}" for i, f in enumerate(names)] + [f"avg({f}) AS m{i}" for i, f in enumerate(names)]
+
+    def cofactor(i, j):
+        r, c = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+        return f"({'-' if (i + j) % 2 else ''}({a(r[0], c[0])}*{a(r[1], c[1])} - {a(r[0], c[1])}*{a(r[1], c[0])}))"
+
+    v = lambda i, j: f"v{min(i, j)}{max(i, j)}"
+    return f""", tr AS (SELECT * FROM obs WHERE fold = 'train'),
+      s AS (SELECT species, comp_id, count(*) AS n, avg(rt) AS ym, var_pop(rt)*count(*) AS syy, {", ".join(sums)} FROM tr GROUP BY 1, 2),
+      d AS (SELECT *, {" + ".join(f"{a(0, j)}*{cofactor(0, j)}" for j in range(3))} AS det FROM s),
+      i3 AS (SELECT *, {", ".join(f"{cofactor(i, j)}/det AS {v(i, j)}" for i, j in pairs)} FROM d),
+      w3 AS (SELECT *, {", ".join(f"{' + '.join(f'{v(i, j)}*c{j}' for j in range(3))} AS w{i}" for i in range(3))} FROM i3),
+      m AS (SELECT *, (1e-6 + 5e-1*greatest(syy - w0*c0 - w1*c1 - w2*c2, 0)) / (1e0 + n/2e0) AS s2 FROM w3),
+      te AS (SELECT * FROM obs WHERE fold = 'test'),
+      x3 AS (SELECT te.*, m.*, {", ".join(f"te.{f} - m{i} AS x{i}" for i, f in enumerate(names))} FROM te JOIN m ON te.species = m.species AND te.comp_id = m.comp_id),
+      sc AS (SELECT species, comp_id, rt, n AS n_obs_train, ym + w0*x0 + w1*x1 + w2*x2 AS pred_mean,
+        sqrt(greatest(s2, 1e-12) + s2*(1e0/n + {" + ".join(f"x{i}*x{j}*{v(i, j)}" for i in range(3) for j in range(3))})) AS pred_std FROM x3),
+      flagged AS (SELECT *, pred_mean - rt AS err, abs(pred_mean - rt) <= 1.959963984540054e0*pred_std AS covered, 2*1.959963984540054e0*pred_std AS width FROM sc)"""
+
+
+@query("M12_flagship_evaluation", with_views(_three_sql() + BY_SUPPORT, "obs"))
+def _(spark, sf):
+    return flagship(spark, sf).drop("bin_idx")
+
+
+@query(
+    "M12_evaluation_by_support",
+    with_views(
+        SCORE + BY_SUPPORT,
         "obs",
     ),
 )
