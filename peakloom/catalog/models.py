@@ -351,7 +351,8 @@ def _(spark, sf):
     with_views(
         SCORE + f""", mp AS (SELECT species, comp_id, CASE WHEN n <= 20 THEN 4 WHEN n <= 50 THEN 5 WHEN n <= 100 THEN 6 ELSE 7 END AS bin_idx FROM m WHERE n > 10 AND n <= 50)
         SELECT mp.bin_idx, count(DISTINCT (mp.species, mp.comp_id)) AS n_groups_with_test, count(*) AS n_obs_test, {RATIOS}
-        FROM flagged f JOIN mp ON f.species = mp.species AND f.comp_id = mp.comp_id GROUP BY 1""",
+        FROM flagged f JOIN mp ON f.species = mp.species AND f.comp_id = mp.comp_id GROUP BY 1
+        UNION ALL SELECT -1, NULL, count(*), NULL, NULL, NULL, NULL, NULL FROM flagged f LEFT JOIN mp ON f.species = mp.species AND f.comp_id = mp.comp_id WHERE mp.comp_id IS NULL""",
         "obs",
     ),
 )
@@ -361,7 +362,9 @@ def _(spark, sf):
     mapping = coef.where((n > 10) & (n <= 50)).select(
         F.col("species").alias("species_cluster"), "comp_id", V.support_bin("n").alias("support_bin"), V.support_bin_index("n").alias("bin_idx")
     )
-    out, _missing = M.by_common_support(scored, mapping, "species")
+    out, missing = M.by_common_support(scored, mapping, "species")
+    # rows that the map does not cover are reported under -1
+    out = out.unionByName(missing.select(F.lit(-1).alias("bin_idx"), F.col("n_missing").alias("n_obs_test")), allowMissingColumns=True)
     return rounded(out.select("bin_idx", "n_groups_with_test", "n_obs_test", "rmse", "mae", "coverage_95", "pred_std_mean", "interval_width_mean"))
 
 

@@ -205,16 +205,18 @@ def _(spark, sf):
 @query(
     "P16_species_source_column",
     with_views(
-        """SELECT species_cluster, CASE species_cluster WHEN 0 THEN species_raw WHEN 1 THEN species_group_raw END AS species_text,
-        count(*) AS n_sets FROM species_map WHERE species_cluster < 2 GROUP BY 1, 2""",
+        """SELECT species_cluster, CASE WHEN species_cluster % 2 = 0 THEN species_raw ELSE species_group_raw END AS species_text,
+        count(*) AS n_sets FROM species_map GROUP BY 1, 2""",
         "species_map",
     ),
 )
 def _(spark, sf):
     m = view(spark, sf, "species_map").withColumn("species_name", F.col("species_raw"))
-    source = {0: "Species Name", 1: "species_group_raw"}
+    source = {lib: "species_group_raw" if lib % 2 else "Species Name" for lib in range(5)}
     parts = [P.raw_species(m.where(F.col("species_cluster") == lib), lib, source) for lib in source]
-    both = parts[0].unionByName(parts[1])
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
     return both.groupBy("species_cluster", F.col("species_raw").alias("species_text")).agg(
         F.count(F.lit(1)).alias("n_sets")
     )
