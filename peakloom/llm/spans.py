@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import join_on_key, row_key, table
 from peakloom.plans.durable import stored
 
-SPAN = 3
+SPAN = 2
 #: Runs with fewer words are common phrases, not copied passages.
 LEAST_WORDS = 10
 #: A sentence with the marks or line ends behind it; the pieces tile the text.
