@@ -11,7 +11,7 @@
    beyond a bound, so a shard may be far larger than memory. Windows whose common prefix with a
    neighbour reaches ``length`` are repeated.
 3. An anchor with very many different stretches is not given to one shard: its windows are counted
-   by hash over the cluster.
+   by hash over the cluster, whole blocks of them first.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ LENGTH = 200
 GRAM = 100
 #: Different stretches of an anchor beyond which its windows are counted over the cluster.
 CROWDED = 256
+#: Window starts of a crowded stretch that are compared together first.
+BLOCK = 8
 #: Window starts of a text looked at together.
 CHUNK = 1 << 20
 #: Tuples a queue holds in memory, and bytes of text columns, before they go to disk.
@@ -370,9 +372,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     calm = cut.join(many, "anchor", "left_anti").repartition("anchor").select("doc_id", "__h", "start", "offset", "n", "data")
     spans = f"doc_id {kind}, __h bigint, start bigint, end bigint"
     sorted_ = calm.mapInArrow(_sort_shard(length, gram, queue_tuples, column_bytes), spans)
-    windows = cut.join(many, "anchor", "left_semi").mapInArrow(_windows(length), f"doc_id {kind}, __h bigint, start bigint, n bigint, w1 bigint, w2 bigint")
-    places = windows.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
-    counted = windows.where("n = 1").join(places, ["w1", "w2"], "left_semi").select("doc_id", "__h", "start", (F.col("start") + length).alias("end"))
+    counted = _crowded(cut.join(many, "anchor", "left_semi"), kind, length)
     out = known.unionAll(copied).unionAll(sorted_)
     return out if many.isEmpty() else out.unionAll(counted)
 
@@ -399,25 +399,64 @@ def _cut_out(text: DataFrame, kind: str) -> DataFrame:
     return text.select("doc_id", "__h", "text", "__w").mapInArrow(run, f"doc_id {kind}, __h bigint, anchor bigint, n bigint, start bigint, offset bigint, data binary")
 
 
-def _windows(length: int):
-    """Every window of crowded stretches, by two hashes."""
+def _crowded(cut: DataFrame, kind: str, length: int, block: int = BLOCK) -> DataFrame:
+    """(doc_id, __h, start, end) of the repeated windows of crowded stretches, counted by hash.
+
+    Windows are taken ``block`` starts at a time. A block that occurs again as a whole is repeated
+    throughout. Only blocks of other contents whose common bytes, shared by all their windows, occur
+    in several contents are looked at window by window, once per content.
+    """
+    blocks = cut.mapInArrow(
+        _blocks(length, block),
+        f"doc_id {kind}, __h bigint, anchor bigint, start bigint, n bigint, j bigint, c1 bigint, c2 bigint, w array<struct<a:bigint,b:bigint>>",
+    ).withColumns({"b1": F.xxhash64("w"), "b2": F.xxhash64(F.lit(1), "w")})
+    blocks = stored(blocks)
+    at = ["anchor", "j", "c1", "c2"]
+    contents = stored(blocks.groupBy(*at, "b1", "b2").agg(F.sum("n").alias("m"), F.first("w").alias("w")))
+    shared = contents.groupBy(*at).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*at)
+    near = stored(contents.join(shared, at, "left_semi"))
+    windows = near.select("m", F.explode("w").alias("w")).groupBy("w").agg(F.sum("m").alias("m")).where("m > 1").select("w")
+    single = blocks.where("n = 1").select("doc_id", "__h", "start", *at, "b1", "b2", F.size("w").alias("size"))
+    key = [*at, "b1", "b2"]
+    whole = single.join(contents.where("m > 1").select(*key), key, "left_semi")
+    parts = single.join(near.where("m = 1").select(*key, "w"), key).select("doc_id", "__h", "start", F.posexplode("w").alias("i", "w"))
+    parts = parts.join(windows, "w", "left_semi")
+    return whole.select("doc_id", "__h", "start", (F.col("start") + F.col("size") - 1 + length).alias("end")).unionAll(
+        parts.select("doc_id", "__h", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + length).alias("end"))
+    )
+
+
+def _blocks(length: int, block: int):
+    """Blocks of window starts, aligned on the anchor: hashes of the bytes that all windows of the
+    full block share, and of every window."""
 
     def run(batches):
         for batch in batches:
-            who, start, w1, w2 = [], [], [], []
-            for i, (data, s) in enumerate(zip(batch.column("data").to_pylist(), batch.column("start").to_pylist())):
+            who, cols = [], {c: [] for c in ("start", "j", "c1", "c2", "w")}
+            for i, (data, s, offset) in enumerate(zip(batch.column("data").to_pylist(), batch.column("start").to_pylist(), batch.column("offset").to_pylist())):
                 raw = np.frombuffer(data, dtype=np.uint8)
+                one, two = _sums(raw), _sums(raw ^ np.uint8(0xA5))
                 at = np.arange(len(raw) - length + 1)
-                who.append(np.full(len(at), i))
-                start.append(s + at)
-                w1.append(_hash(_sums(raw), at, at + length))
-                w2.append(_hash(_sums(raw ^ np.uint8(0xA5)), at, at + length))
-            if who:
-                take = pa.array(np.concatenate(who))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("__h").take(take), pa.array(np.concatenate(start)), batch.column("n").take(take), pa.array(np.concatenate(w1).astype(np.int64)), pa.array(np.concatenate(w2).astype(np.int64))],
-                    names=["doc_id", "__h", "start", "n", "w1", "w2"],
-                )
+                j = (at - offset) // block
+                first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
+                # from the last possible start of the block to the end of its first one
+                lo, hi = j[first] * block + block - 1 + offset, j[first] * block + length + offset
+                lo = np.minimum(lo, len(raw))
+                a, b = _hash(one, at, at + length).astype(np.int64).tolist(), _hash(two, at, at + length).astype(np.int64).tolist()
+                ends = [*first[1:].tolist(), len(at)]
+                who.extend([i] * len(first))
+                cols["start"].extend((s + first).tolist())
+                cols["j"].extend(j[first].tolist())
+                cols["c1"].extend(_hash(one, lo, hi).astype(np.int64).tolist())
+                cols["c2"].extend(_hash(two, lo, hi).astype(np.int64).tolist())
+                cols["w"].extend([{"a": x, "b": y} for x, y in zip(a[f:e], b[f:e])] for f, e in zip(first.tolist(), ends))
+            take = pa.array(who, pa.int64())
+            wide = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(take) for c in ("doc_id", "__h", "anchor")] + [pa.array(cols["start"], pa.int64()), batch.column("n").take(take)]
+                + [pa.array(cols[c], pa.int64()) for c in ("j", "c1", "c2")] + [pa.array(cols["w"], wide)],
+                names=["doc_id", "__h", "anchor", "start", "n", "j", "c1", "c2", "w"],
+            )
 
     return run
 
