@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import annotate, components, join_on_key, row_key, table
+from peakloom.llm.minhash import near_copies
 from peakloom.plans.durable import discard, stored
 
 WORDS = 3
@@ -196,8 +197,9 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    found = near_duplicates(docs)
+    """One document of each group of near-copies (5-word shingles, similarity 0.8): the one with the
+    smallest id. The 2 bits of :func:`op9` would find few pairs of that similarity."""
+    found = near_copies(docs)
     rows = found.groupBy("doc_id", "__h", "root").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__h", "n")).alias("r"))
     first = stored(first.select("r.doc_id", "r.__h", "r.n"))
