@@ -6,8 +6,8 @@ the corpus; c is disclosed when it reaches ``alpha`` times the information conte
 
     log2( n(c,t) N / (n(c) n(t)) ) >= alpha log2( N / n(c) )
 
-N and n(t) count documents, n(c) and n(c,t) distinct surroundings of the entity, so that copies of
-a page count once. Only entities and pairs seen in ``support`` surroundings are judged. Disclosing
+All four count distinct texts, so that copies of a page count once on either side. Only entities and
+pairs seen in ``support`` distinct surroundings are judged. Disclosing
 terms are generalised to a class or, when they tell everything (alpha 1), removed.
 """
 
@@ -122,11 +122,22 @@ def disclosing_terms(docs: DataFrame, reach: int = REACH, alpha: float = ALPHA,
     seen = found.select("doc_id", "__h", entity.alias("entity"), low.alias("low"), (high == length).alias("whole"), around.alias("around"))
     seen = stored(seen.select("doc_id", "__h", "entity", "low", F.xxhash64("around").alias("place"), F.transform(words, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end"))).alias("words")))
     places = seen.groupBy("entity", "place").agg(F.first("words").alias("words"))
-    entities = places.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    shared = places.select("entity", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
-    joint = shared.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support)
-    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n_docs")))  # one row
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(term), F.lit(0)))).alias("term"))
+    judged_entities = places.groupBy("entity").agg(F.count(F.lit(1)).alias("n_places")).where(F.col("n_places") >= support).select("entity")
+    terms_of = F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")
+    shared = places.select("entity", terms_of).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_places")).where(F.col("n_places") >= support)
+    # in distinct texts: __h is the hash of the text
+    entities = seen.select("entity", "__h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).join(judged_entities, "entity")
+    joint = seen.select("entity", "__h", terms_of).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"))
+    joint = joint.join(shared.select("entity", "term"), ["entity", "term"])
+    copies = source.groupBy("__h").agg(F.count(F.lit(1)).alias("n"))
+    total = F.broadcast(copies.agg(F.count(F.lit(1)).alias("n_docs")))  # one row
+    repeated = stored(copies.where("n > 1").select(F.col("__h").alias("__again")))
+    again = F.col("__h") == F.col("__again")
+    worded = lambda rows: rows.select("__h", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(term), F.lit(0))).alias("terms"))
+    once = worded(source).join(repeated, again, "left_anti")
+    # copies have the same terms, and are merged before rows are dealt
+    merged = worded(source.join(repeated, again, "left_semi")).dropDuplicates(["__h"])
+    terms = once.unionAll(merged).select(F.explode("terms").alias("term"))
     frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     judged = joint.join(entities, "entity").join(frequency, "term").join(total)
     told = F.log2(F.col("n_joint") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
