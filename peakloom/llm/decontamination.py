@@ -4,12 +4,15 @@ A seed is a fixed mask over consecutive words; positions marked 0 are ignored, s
 word under a 0 does not break the hit. Seeds of the benchmark items are joined with seeds of the
 documents. Around each hit document and item are compared word by word on the hit's diagonal: the
 overlap is every window of ``window`` words (the whole item, if it is shorter) with at least
-``similarity`` of its words equal.
+``similarity`` of its words equal. Items shorter than the window have masks of their own length, which
+hit every pattern of substitutions that ``similarity`` allows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +25,8 @@ WINDOW = 13
 SIMILARITY = 0.8
 #: Items with fewer words can't tell a leak from a common phrase and are left out.
 LEAST_WORDS = 5
+#: Words that agree in a seed of a short item at least, if its length allows.
+LEAST_WEIGHT = 4
 #: Words of benchmark text that are sent to every task; a larger benchmark is joined by shuffle.
 BROADCAST_WORDS = 2_000_000
 _ODD = np.array([2 * i * 0x9E3779B1 + 0x85EBCA77 | 1 for i in range(64)], dtype=np.uint64)
@@ -40,10 +45,34 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(total)
 
 
-def masks_for(lengths: Sequence[int], masks: Sequence[str] = MASKS) -> list[str]:
-    """The given masks and, for items that are too short for one of them, their whole length."""
-    shortest = min(map(len, masks))
-    return [*masks, *("1" * n for n in sorted(set(lengths)) if LEAST_WORDS <= n < shortest)]
+def short_masks(n: int, similarity: float) -> list[str]:
+    """Masks over all ``n`` words of a short item, one of which avoids any substitutions that are allowed.
+
+    The words are cut into blocks and as many blocks ignored as words may differ; the blocks are the
+    fewest that leave LEAST_WEIGHT words to agree.
+    """
+    free = n - max(0, math.ceil(similarity * n - 1e-9))
+    if free <= 0:
+        return ["1" * n]
+    for blocks in range(min(free + 2, n), n + 1):
+        edges = [n * i // blocks for i in range(blocks + 1)]
+        masks = []
+        for gone in combinations(range(blocks), min(free, blocks)):
+            masks.append("".join(("0" if i in gone else "1") * (edges[i + 1] - edges[i]) for i in range(blocks)))
+        if min(m.count("1") for m in masks) >= LEAST_WEIGHT:
+            break
+    return masks
+
+
+def masks_for(lengths: Sequence[int], masks: Sequence[str] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY) -> list[tuple[str, int]]:
+    """(mask, length of the items it is for): the given masks for items of ``window`` words or more,
+    which are length 0 here, and those of every shorter length that occurs."""
+    short = sorted({n for n in lengths if LEAST_WORDS <= n < max(window, min(map(len, masks)))})
+    return [*((m, 0) for m in masks), *((m, n) for n in short for m in (short_masks(n, similarity) if n < window else ["1" * n]))]
+
+
+def _meant(mask: tuple[str, int], n: int, window: int) -> bool:
+    return mask[1] == n or (mask[1] == 0 and n >= window)
 
 
 def overlaps(words: np.ndarray, item: np.ndarray, diagonal: int, window: int, similarity: float) -> list[tuple[int, int, int]]:
@@ -93,30 +122,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MAS
     rows = items.collect()
     ids = [r["item_id"] for r in rows]
     words = [np.array(r["words"], dtype=np.int64).astype(np.uint64) for r in rows]
-    used = masks_for([len(w) for w in words], masks)
+    used = masks_for([len(w) for w in words], masks, window, similarity)
     shipped = docs.sparkSession.sparkContext.broadcast((ids, words, used))
     ready: list = []
 
     def run(texts):
         if not ready:
-            ready.append(_index(shipped.value[1], shipped.value[2]))
+            ready.append(_index(shipped.value[1], shipped.value[2], window))
         return {"leaks": _scan(texts, shipped.value, ready[0], window, similarity)}
 
     return annotate(docs, [("leaks", LEAK.format(kind))], run, keep=docs.columns)
 
 
-def _index(words: list[np.ndarray], masks: Sequence[str]):
+def _index(words: list[np.ndarray], masks: Sequence[tuple[str, int]], window: int):
     """Per mask: sorted seeds, their items and positions, and a bitmap that most misses fail."""
     out = []
     for mask in masks:
-        per = [seed_hashes(w, mask) if len(mask) >= min(map(len, MASKS)) or len(w) == len(mask) else np.zeros(0, np.uint64) for w in words]
+        per = [seed_hashes(w, mask[0]) if _meant(mask, len(w), window) else np.zeros(0, np.uint64) for w in words]
         seeds = np.concatenate([*per, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(words)), [len(p) for p in per])
         at = np.concatenate([*(np.arange(len(p)) for p in per), np.zeros(0, np.int64)])
         order = np.argsort(seeds, kind="stable")
         bitmap = np.zeros(1 << 20, dtype=bool)
         bitmap[(seeds >> np.uint64(44)).astype(np.int64)] = True
-        out.append((mask, seeds[order], item[order], at[order].astype(np.int64), bitmap))
+        out.append((mask[0], seeds[order], item[order], at[order].astype(np.int64), bitmap))
     return out
 
 
@@ -149,18 +178,17 @@ def _scan(texts, benchmark, index, window, similarity):
 
 def _by_shuffle(docs, items, kind, masks, window, similarity) -> DataFrame:
     """The same for a benchmark of any size: seeds of both sides meet in a join."""
-    lengths = [r[0] for r in items.where(F.size("words") < min(map(len, masks))).select(F.size("words")).distinct().collect()]
-    used = masks_for(lengths, masks)
-    shortest = min(map(len, masks))
+    lengths = [r[0] for r in items.where(F.size("words") < max(window, min(map(len, masks)))).select(F.size("words")).distinct().collect()]
+    used = masks_for(lengths, masks, window, similarity)
 
     def of_words(words):
-        return [(h, p) for m in used if len(m) >= shortest or len(words) == len(m) for p, h in enumerate(seed_hashes(words, m).astype(np.int64).tolist())]
+        return [(h, p) for m in used if _meant(m, len(words), window) for p, h in enumerate(seed_hashes(words, m[0]).astype(np.int64).tolist())]
 
     def of_texts(texts):
         words, bounds = word_hashes(texts)
         out = []
         for a, b in zip(bounds, bounds[1:]):
-            out.append([{"seed": h, "p": p} for m in used for p, h in enumerate(seed_hashes(words[a:b], m).astype(np.int64).tolist())])
+            out.append([{"seed": h, "p": p} for m in used for p, h in enumerate(seed_hashes(words[a:b], m[0]).astype(np.int64).tolist())])
         return {"seeds": out}
 
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
