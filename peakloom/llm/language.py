@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,8 +23,10 @@ from peakloom.llm.common import annotate, table
 ROWS_PER_LANGUAGE = 64
 CHARS_PER_ROW = 2_000
 CHARS_PER_LANGUAGE = 24_000
-# Characters told apart; rarer ones never match.
-ALPHABET = 64
+# Code points; every letter of a language's training text has a code there.
+ALPHABET = 0x110000
+# Codes of a language whose transitions are in a table; those of its rarer letters are searched.
+DENSE = 64
 # No piece crosses a multiple of this position, so that blocks of all texts advance together.
 BLOCK = 1_024
 UNKNOWN = "und"
@@ -63,9 +66,8 @@ def fold(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions [state, code] of the suffix automaton of ``codes``; state 0 is the start and
-    stands for "no transition" as a target."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of every state of the suffix automaton of ``codes``; state 0 is the start."""
     nxt, link, length = [{}], [-1], [0]
     last = 0
     for c in codes:
@@ -91,46 +93,65 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table_ = np.zeros((len(nxt), width), dtype=np.int32)
-    for state, moves in enumerate(nxt):
-        for c, to in moves.items():
-            table_[state, c] = to
-    return table_
+    return nxt
 
 
 def build(training: dict[str, str]) -> tuple:
-    """(languages, code of every character, stacked automata, start of each, bits per piece).
+    """(languages, number of every letter, automaton of each language, bits per piece).
 
-    Code 0 is a character outside the alphabet and has no transition, code 1 is the blank.
+    Number 0 is a character in no training text, number 1 the blank. An automaton is (own code of
+    every number, table of the transitions of codes under DENSE, sorted keys and targets of the
+    others). Codes go by frequency in the language; code 0 has no transition, code 1 is the blank.
     """
     languages = sorted(training)
-    seen: dict[str, int] = {}
-    for text in training.values():
-        for c in text:
-            seen[c] = seen.get(c, 0) + 1
-    seen.pop(" ", None)
-    chosen = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 2]
-    codes = np.zeros(0x110000, dtype=np.uint8)
-    codes[ord(" ")] = 1
-    for i, c in enumerate(chosen):
-        codes[ord(c)] = i + 2
-    tables, starts, bits = [], [], []
-    at = 0
+    letters = sorted({c for text in training.values() for c in text} - {" "})
+    numbers = np.zeros(ALPHABET, dtype=np.int32)
+    numbers[ord(" ")] = 1
+    for i, c in enumerate(letters):
+        numbers[ord(c)] = i + 2
+    machines, bits = [], []
     for lang in languages:
         text = training[lang]
-        t = automaton([int(codes[ord(c)]) for c in text if codes[ord(c)]], ALPHABET)
-        tables.append(np.where(t > 0, t + at, 0))
-        starts.append(at)
+        seen = Counter(text)
+        seen.pop(" ", None)
+        code = {" ": 1} | {c: i + 2 for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c)))}
+        own = np.zeros(len(letters) + 2, dtype=np.int64)
+        for c, i in code.items():
+            own[numbers[ord(c)]] = i
+        states = automaton([code[c] for c in text])
+        table_ = np.zeros((len(states), DENSE), dtype=np.int32)
+        rare = []
+        for state, moves in enumerate(states):
+            for c, to in moves.items():
+                if c < DENSE:
+                    table_[state, c] = to
+                else:
+                    rare.append((state * ALPHABET + c, to))
+        rare = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2)
+        # target 0 means "none": no transition leads back to the start
+        machines.append((own, table_.reshape(-1), rare[:, 0].copy(), rare[:, 1].astype(np.int32)))
         bits.append(math.log2(max(2, len(text))))
-        at += len(t)
-    # target 0 means "none" for every language: no transition leads back to a start
-    return languages, codes, np.concatenate([np.zeros((0, ALPHABET), np.int32), *tables]).astype(np.int32).reshape(-1), np.array(starts, np.int64), np.array(bits)
+    return languages, numbers, machines, np.array(bits)
 
 
-def count_pieces(blocks: list[np.ndarray], flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _targets(machine: tuple, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    _, flat, keys, targets = machine
+    if not len(keys):
+        return flat[state * np.int64(DENSE) + code]
+    common = code < DENSE
+    to = np.where(common, flat[state * np.int64(DENSE) + np.where(common, code, 0)], 0)
+    rare = np.flatnonzero(~common)
+    if len(rare):
+        wanted = state[rare] * np.int64(ALPHABET) + code[rare]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        to[rare] = np.where(keys[at] == wanted, targets[at], 0)
+    return to
+
+
+def count_pieces(blocks: list[np.ndarray], machines: list[tuple]) -> np.ndarray:
     """Pieces [block, language] of greedy longest-match parsing; all blocks advance one character
     at a time, the longest first so that finished ones drop off the end."""
-    out = np.zeros((len(blocks), len(starts)), dtype=np.int64)
+    out = np.zeros((len(blocks), len(machines)), dtype=np.int64)
     if not blocks:
         return out
     sizes = np.array([len(b) for b in blocks])
@@ -141,25 +162,25 @@ def count_pieces(blocks: list[np.ndarray], flat: np.ndarray, starts: np.ndarray)
     for column, i in enumerate(order):
         grid[: sizes[column], column] = blocks[i]
     alive = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    for k, start in enumerate(starts):
+    for k, machine in enumerate(machines):
+        coded = machine[0][grid]
         state = np.zeros(len(blocks), dtype=np.int32)  # 0: no piece is open
         count = np.zeros(len(blocks), dtype=np.int64)
-        root = flat[start * ALPHABET : (start + 1) * ALPHABET]
         for step in range(longest):
             n = alive[step]
-            c = grid[step, :n]
+            c = coded[step, :n]
             s = state[:n]
-            to = np.where(s > 0, flat[s * np.int64(ALPHABET) + c], 0)
+            to = np.where(s > 0, _targets(machine, s, c), 0)
             fresh = to == 0
             count[:n] += fresh
-            state[:n] = np.where(fresh, root[c], to)
+            state[:n] = np.where(fresh, _targets(machine, np.zeros(n, np.int32), c), to)
         out[order, k] = count
     return out
 
 
 def predict(texts: list[str | None], model: tuple) -> tuple[list[str], list[float]]:
     """Language and score of every text; score is 1 - best / (best + second), 0.5 for a tie."""
-    languages, codes, flat, starts, bits = model
+    languages, numbers, machines, bits = model
     blocks: list[np.ndarray] = []
     owner: list[int] = []
     lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
@@ -167,15 +188,15 @@ def predict(texts: list[str | None], model: tuple) -> tuple[list[str], list[floa
         if not lettered[i] or not languages:
             continue
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        c = codes[points]
+        c = numbers[points]
         blank = ~_letters()[points]
-        c = np.where(blank, np.uint8(1), c)
+        c = np.where(blank, np.int32(1), c)
         c = c[~(blank & np.concatenate([[True], blank[:-1]]))]
         for at in range(0, len(c), BLOCK):
             blocks.append(c[at : at + BLOCK])
             owner.append(i)
-    counts = count_pieces(blocks, flat, starts)
-    per_text = np.zeros((len(texts), len(starts)))
+    counts = count_pieces(blocks, machines)
+    per_text = np.zeros((len(texts), len(machines)))
     np.add.at(per_text, np.array(owner, dtype=np.int64), counts)
     cost = per_text * bits
     names, scores = [], []
