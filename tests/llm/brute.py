@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -215,3 +216,97 @@ def sanitise(text, base, added):
             out += [text[at:s], "" if kind == "removed" else f"<{kind.upper()}>"]
         at = max(at, e)
     return "".join(out) + text[at:] if spans else text
+
+
+# -- quality rules ----------------------------------------------------------------------------
+
+
+def rule_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    runs = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if runs[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def trusted(votes, start_good, start_right, pseudo, rounds):
+    """(share of good rows, right on good, right on bad, posterior of every row) of vote lists."""
+    good, right = start_good, [start_right] * len(votes[0])
+    for _ in range(rounds + 1):
+        q = []
+        for row in votes:
+            yes, no = good, 1 - good
+            for v, (a, b) in zip(row, right):
+                yes *= {1: a, -1: 1 - a, 0: 1}[v]
+                no *= {1: 1 - b, -1: b, 0: 1}[v]
+            q.append(yes / (yes + no))
+        last = good, right, q
+        good = (sum(q) + pseudo * start_good) / (len(q) + pseudo)
+        right = []
+        for j in range(len(votes[0])):
+            a = (sum(p for p, r in zip(q, votes) if r[j] == 1) + pseudo * start_right[0]) / (sum(p for p, r in zip(q, votes) if r[j]) + pseudo)
+            b = (sum(1 - p for p, r in zip(q, votes) if r[j] == -1) + pseudo * start_right[1]) / (sum(1 - p for p, r in zip(q, votes) if r[j]) + pseudo)
+            lift = max(0, 1 - a - b) / 2
+            right.append((a + lift, b + lift))
+    return last
+
+
+# -- conversations ----------------------------------------------------------------------------
+
+
+def rebuilt(rows):
+    """conv_id -> list of (role, text); rows are (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            name = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()[:16]
+            own[c].append((turn is not None, turn or 0, role, name, text))
+    own = {c: [(t[2], t[4]) for t in sorted(ts)] for c, ts in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - c % 100, [])[:h] + turns[h:]
+    return out
+
+
+def trie(rows):
+    """Sorted (conv_id, depth, parent, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)."""
+    members = defaultdict(list)
+    for c, turns in rebuilt(rows).items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append((c, len(turns)))
+    kids = defaultdict(list)
+    for p in members:
+        if p:
+            kids[p[:-1]].append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in kids[p]) if kids[p] else 1
+        saved[p] = sum(saved[k] for k in kids[p]) + ((len(members[p]) - 1) * len(p[-1][1]) if p else 0)
+    out = []
+    for p, ms in members.items():
+        ends = ",".join(map(str, sorted(c for c, n in ms if n == len(p))))
+        parent = min(c for c, _ in members[p[:-1]]) if p else None
+        out.append((min(c for c, _ in ms), len(p), parent, len(ms), len(kids[p]), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+# -- fill in the middle -----------------------------------------------------------------------
+
+
+def fill_middle(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output) with the given marks and shares."""
+    text = text or ""
+    d = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(d[8 * i : 8 * i + 8], 16) for i in range(4))
+    n = len(text)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    lo, hi = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = text[:lo], text[lo:hi], text[hi:]
+    if h4 % 100 < 20:
+        return n, "spm", lo, hi - lo, f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", lo, hi - lo, f"<P>{p}<S>{s}<M>{m}"
