@@ -13,8 +13,8 @@ from peakloom.llm.common import join_on_key, row_key, table
 from peakloom.plans.durable import stored
 
 SPAN = 2
-#: Runs with fewer words are common phrases, not copied passages.
-LEAST_WORDS = 10
+#: Every run with a word counts.
+LEAST_WORDS = 1
 #: A sentence with the marks or line ends behind it; the pieces tile the text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 _BLANKS = r"[ \t\r\n]+"
@@ -27,7 +27,8 @@ def pieces(text: Column) -> Column:
 def _runs(docs: DataFrame, span: int, least_words: int) -> DataFrame:
     """(doc_id, __h, i, place, h1, h2): the run of sentences from i on, with two hashes of it.
 
-    A document with fewer sentences than ``span`` is one run. ``place`` orders runs by doc_id and i.
+    A document with fewer sentences than ``span`` is one run. ``place`` orders runs by doc_id and i;
+    a null id comes before all others, by the hash of its text.
     """
     key = lambda s: F.trim(F.regexp_replace(F.lower(s), _BLANKS, " "))
     sentences = docs.select(*row_key(), F.transform(pieces(F.col("text")), key).alias("s")).where(F.size("s") > 0)
@@ -41,7 +42,8 @@ def _runs(docs: DataFrame, span: int, least_words: int) -> DataFrame:
 
     each = F.transform(F.sequence(F.lit(0), F.greatest(n - span, F.lit(0))), run)
     rows = sentences.select("doc_id", "__h", F.explode(each).alias("r")).where(F.col("r.words") >= least_words)
-    place = F.coalesce(F.col("doc_id"), F.lit(-1)).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("r.i")
+    nobody = F.col("__h").cast("decimal(20,0)") - F.lit(str(3 << 63)).cast("decimal(20,0)")
+    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), nobody).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("r.i")
     return rows.select("doc_id", "__h", "r.i", place.cast("decimal(38,0)").alias("place"), "r.h1", "r.h2")
 
 
@@ -60,8 +62,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
     ``n_removed``.
 
     A null text has no sentences and stays null in ``kept``. Rows with the same doc_id and place are
-    the same occurrence, so repeated rows do not remove each other; null ids come first. Columns of
-    the new names are replaced.
+    the same occurrence, so repeated rows do not remove each other, nor do different texts under one id
+    at the same place. Null ids come first; two different texts without an id are two documents.
+    Columns of the new names are replaced.
     """
     docs = docs.drop("kept", "n_sentences", "n_removed")
     found = stored(repeated_runs(docs, span, least_words))
