@@ -23,8 +23,10 @@ from peakloom.llm.common import annotate, join_on_key, mix, row_key, table, word
 MASKS = ("11011011", "110100111", "1110010101")
 WINDOW = 13
 SIMILARITY = 0.8
-#: Items with fewer words can't tell a leak from a common phrase and are left out.
-LEAST_WORDS = 5
+#: Overlaps of fewer words can't tell a leak from a common phrase: they are found, but remove no document.
+TELLING_WORDS = 5
+#: Text scanned at once inside a task; a longer text is a piece of its own.
+PIECE_BYTES = 256_000
 #: Words that agree in a seed of a short item at least, if its length allows.
 LEAST_WEIGHT = 4
 #: Words of benchmark text that are sent to every task; a larger benchmark is joined by shuffle.
@@ -67,7 +69,7 @@ def short_masks(n: int, similarity: float) -> list[str]:
 def masks_for(lengths: Sequence[int], masks: Sequence[str] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY) -> list[tuple[str, int]]:
     """(mask, length of the items it is for): the given masks for items of ``window`` words or more,
     which are length 0 here, and those of every shorter length that occurs."""
-    short = sorted({n for n in lengths if LEAST_WORDS <= n < max(window, min(map(len, masks)))})
+    short = sorted({n for n in lengths if 0 < n < max(window, min(map(len, masks)))})
     return [*((m, 0) for m in masks), *((m, n) for n in short for m in (short_masks(n, similarity) if n < window else ["1" * n]))]
 
 
@@ -99,7 +101,7 @@ def _item_words(benchmark: DataFrame) -> DataFrame:
         return {"words": [signed[a:b].tolist() for a, b in zip(bounds, bounds[1:])]}
 
     items = annotate(benchmark.select("item_id", "text"), [("words", "array<bigint>")], run, keep=["item_id"])
-    return items.where(F.size("words") >= LEAST_WORDS)
+    return items.where(F.size("words") > 0)
 
 
 LEAK = "array<struct<item_id:{0},start:int,end:int,equal:int>>"
@@ -109,9 +111,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MAS
     """All columns of ``docs`` plus ``leaks``: the benchmark items found in the text, with the range
     of words (from 0, end exclusive) and how many of them are equal.
 
-    Null and empty texts and an empty benchmark give empty lists; null items and items under
-    ``LEAST_WORDS`` words are left out; items that repeat are all reported. A column named leaks
-    is replaced.
+    Null and empty texts and an empty benchmark give empty lists; items without words, null
+    ones too, are never found; items under 5 words only as a whole, word by word. Items that repeat are
+    reported once for each of their rows, whatever the size of the benchmark. A column named leaks is
+    replaced.
     """
     docs = docs.drop("leaks")
     items = _item_words(benchmark)
@@ -131,7 +134,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MAS
             ready.append(_index(shipped.value[1], shipped.value[2], window))
         return {"leaks": _scan(texts, shipped.value, ready[0], window, similarity)}
 
-    return annotate(docs, [("leaks", LEAK.format(kind))], run, keep=docs.columns)
+    return annotate(docs, [("leaks", LEAK.format(kind))], run, keep=docs.columns, most=PIECE_BYTES)
 
 
 def _index(words: list[np.ndarray], masks: Sequence[tuple[str, int]], window: int):
@@ -191,7 +194,7 @@ def _by_shuffle(docs, items, kind, masks, window, similarity) -> DataFrame:
             out.append([{"seed": h, "p": p} for m in used for p, h in enumerate(seed_hashes(words[a:b], m[0]).astype(np.int64).tolist())])
         return {"seeds": out}
 
-    items = items.withColumn("item", F.xxhash64("item_id", "words"))
+    items = items.groupBy("item_id", "words").agg(F.count(F.lit(1)).alias("copies")).withColumn("item", F.xxhash64("item_id", "words"))
 
     def item_seeds(batches):
         import pyarrow as pa
@@ -207,7 +210,7 @@ def _by_shuffle(docs, items, kind, masks, window, similarity) -> DataFrame:
     left = left.select("doc_id", "__h", F.explode("seeds").alias("s")).select("doc_id", "__h", "s.seed", "s.p")
     hits = left.join(right, "seed").select("doc_id", "__h", "item", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
     per = hits.groupBy("doc_id", "__h", "item").agg(F.collect_list("diagonal").alias("diagonals")).join(items, "item")
-    per = per.groupBy("doc_id", "__h").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("__items"))
+    per = per.groupBy("doc_id", "__h").agg(F.collect_list(F.struct("item_id", "words", "copies", "diagonals")).alias("__items"))
     joined = join_on_key(keyed, per, "left")
     spans = _verified(window, similarity, LEAK.format(kind))
     return joined.withColumn("leaks", spans("text", "__items")).drop("__h", "__items")
@@ -217,10 +220,10 @@ def _verified(window, similarity, returns):
     @F.udf(returnType=returns, useArrow=True)
     def spans(text, items):
         words, _ = word_hashes([text])
-        out = set()
+        out: list = []
         for r in items or ():
             item = np.array(r["words"], dtype=np.int64).astype(np.uint64)
-            out |= {(r["item_id"], *o) for d in r["diagonals"] for o in overlaps(words, item, d, window, similarity)}
+            out += [(r["item_id"], *o) for o in {o for d in r["diagonals"] for o in overlaps(words, item, d, window, similarity)}] * r["copies"]
         return [dict(zip(("item_id", "start", "end", "equal"), o)) for o in sorted(out, key=repr)]
 
     return spans
@@ -234,7 +237,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark of TELLING_WORDS words or more."""
     renamed = docs.withColumnRenamed("leaks", "__in_leaks")
-    kept = find_leaks(renamed, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).drop("leaks")
+    telling = F.exists("leaks", lambda l: l["end"] - l["start"] >= TELLING_WORDS)
+    kept = find_leaks(renamed, table(spark, sf_dir, "benchmark")).where(~telling).drop("leaks")
     return kept.withColumnRenamed("__in_leaks", "leaks").select(*[F.col(f"`{c}`") for c in docs.columns])
