@@ -23,7 +23,8 @@ from peakloom.llm.common import annotate, append_columns, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A vocabulary file beyond this size is refused; it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64_000_000
-_loaded: dict[str, tuple] = {}
+# Text encoded at once inside a task, with some hundred bytes per token; a longer text is a piece of its own.
+PIECE_BYTES = 256_000
 
 
 def byte_table() -> dict[int, str]:
@@ -74,7 +75,7 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; loaded once per Python worker from what was sent."""
+    """Encoder and decoder of one vocabulary."""
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
@@ -97,6 +98,17 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Packed:
+    """A codec on its way: unpickled, it is the loaded codec. As the value of a broadcast it is loaded
+    once per Python worker and dropped when the worker goes on to jobs without it."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return Codec, (self.data,)
+
+
 def clean(text: str | None) -> str:
     """Null as the empty text; lone surrogates, which UTF-8 can't hold, as the replacement mark."""
     return (text or "").encode("utf-8", "replace").decode("utf-8")
@@ -106,7 +118,7 @@ _json: dict[str, bytes] = {}
 
 
 def load(spark: SparkSession, path: str, pattern: str):
-    """(mark, broadcast) of the tokenizer for the vocabulary file at ``path`` on the driver."""
+    """Broadcast codec for the vocabulary file at ``path`` on the driver."""
     if os.path.getsize(path) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path} is larger than {MAX_VOCABULARY_BYTES} bytes")
     with open(path, "rb") as f:
@@ -114,14 +126,7 @@ def load(spark: SparkSession, path: str, pattern: str):
     mark = hashlib.md5(data + pattern.encode()).hexdigest()
     if mark not in _json:
         _json[mark] = tokenizer_json(read_ranks(data), pattern).encode("utf-8")
-    return mark, spark.sparkContext.broadcast(_json[mark])
-
-
-def codec(mark: str, shipped) -> Codec:
-    if mark not in _loaded:
-        _loaded.clear()
-        _loaded[mark] = Codec(shipped.value)
-    return _loaded[mark]
+    return spark.sparkContext.broadcast(Packed(_json[mark]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
@@ -131,10 +136,10 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
     Null texts are encoded as the empty text, which has no tokens. Columns of the same names are
     replaced.
     """
-    mark, shipped = load(docs.sparkSession, path, pattern)
+    shipped = load(docs.sparkSession, path, pattern)
 
     def run(texts):
-        c = codec(mark, shipped)
+        c = shipped.value
         texts = [clean(t) for t in texts]
         if not offsets:
             return {"ids": [e.ids for e in c.encode(texts)]}
@@ -142,7 +147,7 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
         return {"ids": [e.ids for e in got], "starts": [[o[0] for o in e.offsets] for e in got], "ends": [[o[1] for o in e.offsets] for e in got]}
 
     fields = [("ids", "array<int>")] + [("starts", "array<int>"), ("ends", "array<int>")] * offsets
-    return annotate(docs, fields, run)
+    return annotate(docs, fields, run, most=PIECE_BYTES)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -151,33 +156,33 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     Null ids give null. Bytes that are no UTF-8, as when the ids end inside a character, become the
     replacement mark in ``decoded``; ``decoded_bytes`` always has them as they are.
     """
-    mark, shipped = load(tokens.sparkSession, path, pattern)
+    shipped = load(tokens.sparkSession, path, pattern)
     tokens = tokens.drop("decoded_bytes", "decoded")
 
     def run(batch):
-        c = codec(mark, shipped)
+        c = shipped.value
         raw = [None if i is None else c.decode(i) for i in batch.column("__ids").to_pylist()]
         return [pa.array(raw, pa.binary()), pa.array([None if r is None else r.decode("utf-8", "replace") for r in raw], pa.string())]
 
     added = T.StructType([T.StructField("decoded_bytes", T.BinaryType()), T.StructField("decoded", T.StringType())])
     # batches are cut by the size of the written ids
     inputs = {"__size": F.col("ids").cast("string"), "__ids": F.col("ids")}
-    return append_columns(tokens, tokens.columns, inputs, added, run)
+    return append_columns(tokens, tokens.columns, inputs, added, run, PIECE_BYTES)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep=None) -> DataFrame:
     """The kept columns plus ``n_tokens``, ``packed_ids`` (little-endian unsigned 32-bit) and
     ``decoded_bytes``: encoding and decoding in one pass over the texts."""
-    mark, shipped = load(docs.sparkSession, path, pattern)
+    shipped = load(docs.sparkSession, path, pattern)
 
     def run(texts):
-        c = codec(mark, shipped)
+        c = shipped.value
         ids = [e.ids for e in c.encode([clean(t) for t in texts])]
         packed = [np.array(i, dtype="<u4").tobytes() for i in ids]
         return {"n_tokens": [len(i) for i in ids], "packed_ids": packed, "decoded_bytes": [c.decode(i) for i in ids]}
 
     fields = [("n_tokens", "bigint"), ("packed_ids", "binary"), ("decoded_bytes", "binary")]
-    return annotate(docs, fields, run, keep=keep)
+    return annotate(docs, fields, run, keep=keep, most=PIECE_BYTES)
 
 
 def vocabulary() -> tuple[str, str]:

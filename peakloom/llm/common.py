@@ -50,11 +50,12 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             start = stop
 
 
-def annotate(df: DataFrame, fields: Sequence[tuple[str, str]], fn: Callable[[list], dict[str, list]], keep: Sequence[str] | None = None) -> DataFrame:
+def annotate(df: DataFrame, fields: Sequence[tuple[str, str]], fn: Callable[[list], dict[str, list]], keep: Sequence[str] | None = None, most: int = PIECE_BYTES) -> DataFrame:
     """Append columns computed from whole texts, batch by batch, without a shuffle.
 
-    ``fn`` gets a list of texts (None for null) and returns one list per field. ``keep`` names the
-    columns that travel along (all by default); a column that has the name of a new one is replaced.
+    ``fn`` gets a list of texts (None for null), about ``most`` bytes of them, and returns one list per
+    field. ``keep`` names the columns that travel along (all by default); a column that has the name of
+    a new one is replaced.
     """
     names = [n for n, _ in fields]
     carried = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -65,12 +66,13 @@ def annotate(df: DataFrame, fields: Sequence[tuple[str, str]], fn: Callable[[lis
         got = fn(batch.column("__text").to_pylist())
         return [pa.array(got[n], type=t) for n, t in zip(names, kinds)]
 
-    return append_columns(df, carried, {"__text": F.col("text")}, added, run)
+    return append_columns(df, carried, {"__text": F.col("text")}, added, run, most)
 
 
-def append_columns(df: DataFrame, carried: Sequence[str], inputs: dict[str, Column], added: T.StructType, run: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+def append_columns(df: DataFrame, carried: Sequence[str], inputs: dict[str, Column], added: T.StructType, run: Callable[[pa.RecordBatch], list[pa.Array]], most: int = PIECE_BYTES) -> DataFrame:
     """The carried columns plus those that ``run`` returns for batches of the input columns, the
-    first of which is the text. Inside, columns go by number, so that any name will do."""
+    first of which is the text. Inside, columns go by number, so that any name will do. Workers serve
+    other tasks later: what Arrow has set aside for a partition is given back at its end."""
     numbered = [f"_{i}" for i in range(len(carried))]
     source = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, numbered)], *[c.alias(n) for n, c in inputs.items()])
     schema = T.StructType([f for f in source.schema.fields if f.name not in inputs] + added.fields)
@@ -78,8 +80,9 @@ def append_columns(df: DataFrame, carried: Sequence[str], inputs: dict[str, Colu
     by = next(iter(inputs))
 
     def batches_of(batches):
-        for batch in pieces(batches, by):
+        for batch in pieces(batches, by, most):
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in numbered] + run(batch), names=numbered + new)
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(batches_of, schema).toDF(*carried, *new)
 
@@ -91,10 +94,12 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = np.zeros(256, dtype=bool)
 for _range in ((48, 58), (97, 123), (65, 91), (128, 256)):
     _WORD[slice(*_range)] = True
+KEPT_POWERS = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``; up to KEPT_POWERS of them are kept for the next call."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -106,7 +111,8 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
                 step = min(done, size - done)
                 have[done : done + step] = have[:step] * (have[done - 1] * base)
                 done += step
-        _powers[int(base)] = have
+        if size <= KEPT_POWERS:
+            _powers[int(base)] = have
     return have[:n]
 
 

@@ -8,7 +8,6 @@ suffix automaton of the labelled text.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 
@@ -18,11 +17,14 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.common import annotate, table
 
-# Labelled rows looked at per language, characters taken from each, and characters used in all.
-# These bound the model, not the texts it is applied to.
+# Distinct labelled texts sampled per language, the longest window taken from each, and characters
+# used in all; every sampled text gives an equal share. These bound the model, not the texts it is
+# applied to.
 ROWS_PER_LANGUAGE = 64
 CHARS_PER_ROW = 2_000
 CHARS_PER_LANGUAGE = 24_000
+# Text parsed at once inside a task; a longer text is a piece of its own.
+PIECE_BYTES = 1_000_000
 # Code points; every letter of a language's training text has a code there.
 ALPHABET = 0x110000
 # Codes of a language whose transitions are in a table; those of its rarer letters are searched.
@@ -31,8 +33,6 @@ DENSE = 64
 BLOCK = 1_024
 UNKNOWN = "und"
 
-_models: dict[str, tuple] = {}
-
 
 def held_out(doc_id):
     """Rows that are kept away from learning: crc32 of the id as text, modulo 3, is 1."""
@@ -42,23 +42,36 @@ def held_out(doc_id):
 def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> dict[str, str]:
     """Normalised labelled text per language, from a sample bounded by ``rows`` and ``chars``.
 
-    Uses text and lang of the rows that are not held out. Which rows are sampled depends on a hash
-    of the id; languages with few rows give all of them. Without labelled rows the result is empty.
+    Uses text and lang of the rows that are not held out. Which texts are sampled depends on a hash of
+    the text, copies count once; languages with few texts give all of them. From each comes a window at
+    a hashed position, so that beginnings count no more than other parts. Without labelled rows the
+    result is empty.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mark = F.xxhash64("text", F.lit("language sample"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", mark)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return {}
-    # rows whose hash falls below a share that holds twice the wanted rows; then the first of them
-    ticket = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
+    # texts whose hash falls below a share that holds twice the wanted number; then the first of them
+    ticket = F.pmod("h", F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * rows / n + 8.0 / n)))])
-    picked = known.select("lang", ticket.alias("t"), F.substring("text", 1, CHARS_PER_ROW).alias("text")).where(F.col("t") < share[F.col("lang")])
+    start = F.pmod(F.xxhash64("h", F.lit("start")), F.greatest(F.length("text") - F.lit(CHARS_PER_ROW), F.lit(0)) + 1)
+    picked = known.where(ticket < share[F.col("lang")]).select("lang", "h", ticket.alias("t"), F.substring("text", start.cast("int") + 1, F.lit(CHARS_PER_ROW)).alias("text"))
     texts: dict[str, list] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["t"], r["text"])):
+    for r in sorted(picked.groupBy("lang", "h").agg(F.min("t").alias("t"), F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["t"], r["h"])):
         have = texts.setdefault(r["lang"], [])
-        if len(have) < rows:
-            have.append(r["text"])
-    return {lang: fold(" ".join(have))[:chars] for lang, have in texts.items() if any(c.isalpha() for c in " ".join(have))}
+        if len(have) < rows and any(c.isalpha() for c in r["text"]):
+            have.append(fold(r["text"]))
+    return {lang: " ".join(_shares(have, chars)) for lang, have in texts.items() if have}
+
+
+def _shares(texts: list[str], chars: int) -> list[str]:
+    """The texts, each cut to an equal share of ``chars``; what short ones leave goes to the others."""
+    out, left = {}, chars
+    for at, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        out[i] = texts[i][: max(0, left // (len(texts) - at) - 1)]
+        left -= len(out[i]) + 1
+    return [out[i] for i in range(len(texts)) if out[i]]
 
 
 def fold(text: str) -> str:
@@ -97,16 +110,16 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def build(training: dict[str, str]) -> tuple:
-    """(languages, number of every letter, automaton of each language, bits per piece).
+    """(languages, number of every code point, automaton of each language, bits per piece), all arrays.
 
-    Number 0 is a character in no training text, number 1 the blank. An automaton is (own code of
-    every number, table of the transitions of codes under DENSE, sorted keys and targets of the
-    others). Codes go by frequency in the language; code 0 has no transition, code 1 is the blank.
+    Number 0 is a letter in no training text, 1 the blank and everything that is no letter. An automaton
+    is (own code of every number, table of the transitions of codes under DENSE, sorted keys and targets
+    of the others). Codes go by frequency in the language; code 0 has no transition, 1 is the blank.
     """
     languages = sorted(training)
     letters = sorted({c for text in training.values() for c in text} - {" "})
-    numbers = np.zeros(ALPHABET, dtype=np.int32)
-    numbers[ord(" ")] = 1
+    numbers = np.ones(ALPHABET, dtype=np.int32)
+    numbers[np.fromiter((chr(i).isalpha() for i in range(ALPHABET)), bool, ALPHABET)] = 0
     for i, c in enumerate(letters):
         numbers[ord(c)] = i + 2
     machines, bits = [], []
@@ -115,11 +128,11 @@ def build(training: dict[str, str]) -> tuple:
         seen = Counter(text)
         seen.pop(" ", None)
         code = {" ": 1} | {c: i + 2 for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c)))}
-        own = np.zeros(len(letters) + 2, dtype=np.int64)
+        own = np.zeros(len(letters) + 2, dtype=np.int32)
         for c, i in code.items():
             own[numbers[ord(c)]] = i
         states = automaton([code[c] for c in text])
-        table_ = np.zeros((len(states), DENSE), dtype=np.int32)
+        table_ = np.zeros((len(states), DENSE), dtype=np.min_scalar_type(len(states)))
         rare = []
         for state, moves in enumerate(states):
             for c, to in moves.items():
@@ -129,7 +142,7 @@ def build(training: dict[str, str]) -> tuple:
                     rare.append((state * ALPHABET + c, to))
         rare = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2)
         # target 0 means "none": no transition leads back to the start
-        machines.append((own, table_.reshape(-1), rare[:, 0].copy(), rare[:, 1].astype(np.int32)))
+        machines.append((own, table_.reshape(-1), rare[:, 0].copy(), rare[:, 1].astype(table_.dtype)))
         bits.append(math.log2(max(2, len(text))))
     return languages, numbers, machines, np.array(bits)
 
@@ -158,22 +171,22 @@ def count_pieces(blocks: list[np.ndarray], machines: list[tuple]) -> np.ndarray:
     order = np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
     longest = int(sizes[0])
-    grid = np.zeros((longest, len(blocks)), dtype=np.int64)
+    grid = np.zeros((longest, len(blocks)), dtype=np.int32)
     for column, i in enumerate(order):
         grid[: sizes[column], column] = blocks[i]
     alive = np.searchsorted(-sizes, -np.arange(longest), side="left")
     for k, machine in enumerate(machines):
-        coded = machine[0][grid]
         state = np.zeros(len(blocks), dtype=np.int32)  # 0: no piece is open
         count = np.zeros(len(blocks), dtype=np.int64)
+        nowhere = np.zeros(len(blocks), dtype=np.int32)
         for step in range(longest):
             n = alive[step]
-            c = coded[step, :n]
+            c = machine[0][grid[step, :n]]
             s = state[:n]
             to = np.where(s > 0, _targets(machine, s, c), 0)
             fresh = to == 0
             count[:n] += fresh
-            state[:n] = np.where(fresh, _targets(machine, np.zeros(n, np.int32), c), to)
+            state[:n] = np.where(fresh, _targets(machine, nowhere[:n], c), to)
         out[order, k] = count
     return out
 
@@ -189,8 +202,7 @@ def predict(texts: list[str | None], model: tuple) -> tuple[list[str], list[floa
             continue
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         c = numbers[points]
-        blank = ~_letters()[points]
-        c = np.where(blank, np.int32(1), c)
+        blank = c == 1
         c = c[~(blank & np.concatenate([[True], blank[:-1]]))]
         for at in range(0, len(c), BLOCK):
             blocks.append(c[at : at + BLOCK])
@@ -213,15 +225,6 @@ def predict(texts: list[str | None], model: tuple) -> tuple[list[str], list[floa
     return names, scores
 
 
-_letter_table: list[np.ndarray] = []
-
-
-def _letters() -> np.ndarray:
-    if not _letter_table:
-        _letter_table.append(np.array([chr(i).isalpha() for i in range(0x110000)], dtype=bool))
-    return _letter_table[0]
-
-
 def identify(docs: DataFrame, training: dict[str, str]) -> DataFrame:
     """All columns of ``docs`` plus lang_pred and score.
 
@@ -229,17 +232,13 @@ def identify(docs: DataFrame, training: dict[str, str]) -> DataFrame:
     when nothing was learned. Equal costs go to the first language in alphabetical order. Rows are
     judged one by one by their text alone; columns named lang_pred or score are replaced.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(training)  # at most languages x CHARS_PER_LANGUAGE
-    mark = hashlib.md5(repr(sorted(training.items())).encode("utf-8", "surrogatepass")).hexdigest()
+    shipped = docs.sparkSession.sparkContext.broadcast(build(training))  # grows with languages x CHARS_PER_LANGUAGE alone
 
     def run(texts):
-        if mark not in _models:  # built once per Python worker
-            _models.clear()
-            _models[mark] = build(shipped.value)
-        names, scores = predict(texts, _models[mark])
+        names, scores = predict(texts, shipped.value)
         return {"lang_pred": names, "score": scores}
 
-    return annotate(docs, [("lang_pred", "string"), ("score", "double")], run)
+    return annotate(docs, [("lang_pred", "string"), ("score", "double")], run, most=PIECE_BYTES)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

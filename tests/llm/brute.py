@@ -85,6 +85,24 @@ def linked(values, far):
     return [root(i) for i in range(len(values))]
 
 
+def near_copies(texts, size=5, similarity=0.8):
+    """Number of the group of every text: texts are linked when they share enough of their runs of words."""
+    sets = []
+    for t in texts:
+        parts = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets.append(frozenset(tuple(parts[i : i + size]) for i in range(len(parts) - size + 1)) or frozenset([tuple(parts)]))
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if group[i] != group[j] and min(len(a), len(b)) >= similarity * max(len(a), len(b)):
+                both = len(a & b)
+                if both >= similarity * (len(a) + len(b) - both):
+                    old, new = group[i], group[j]
+                    group = [new if g == old else g for g in group]
+    return group
+
+
 # -- decontamination --------------------------------------------------------------------------
 
 
@@ -94,16 +112,16 @@ def words(text):
 
 
 def leaks(text, items, masks, window, similarity):
-    """{(item, start, end, equal)}: windows on a diagonal that holds a seed, enough words equal."""
-    own, out = words(text), set()
-    shortest = min(map(len, masks))
+    """[(item, start, end, equal)]: windows with enough words equal, on a diagonal that holds a seed;
+    for an item shorter than a window on any diagonal. Items that repeat give repeated rows."""
+    own, every = words(text), []
     for key, item in items:
-        it = words(item)
-        if len(it) < 5:
+        it, out = words(item), set()
+        if not it:
             continue
         size = min(window, len(it))
-        diagonals = set()
-        for m in [m for m in masks if len(m) <= len(it)] + (["1" * len(it)] if len(it) < shortest else []):
+        diagonals = set(range(-len(it), len(own) + 1)) if len(it) < window else set()
+        for m in masks if len(it) >= window else ():
             ones = [p for p in range(len(m)) if m[p] == "1"]
             seeds = {}
             for q in range(len(it) - len(m) + 1):
@@ -123,7 +141,8 @@ def leaks(text, items, masks, window, similarity):
                 else:
                     spans.append([q, q + size])
             out |= {(key, d + a, d + b, len(same & set(range(a, b)))) for a, b in spans}
-    return out
+        every += out
+    return every
 
 
 # -- repeated bytes ---------------------------------------------------------------------------
@@ -174,9 +193,10 @@ def base_spans(text):
 
 
 def term_spans(texts, reach, alpha, support):
-    """Spans (start, end, kind) of disclosing terms for every text."""
+    """Spans (start, end, kind) of disclosing terms for every text. Counts are of distinct texts; an
+    entity or pair is judged when it is seen in ``support`` distinct surroundings."""
     term = re.compile(r"[^\W\d_]{3,}")
-    seen, places = [], defaultdict(dict)
+    seen, places, holders, pairs = [], defaultdict(dict), defaultdict(set), defaultdict(set)
     for k, text in enumerate(texts):
         for start, _, kind, end in base_spans(text):
             low, high = max(0, start - reach), min(len(text), end + reach)
@@ -187,17 +207,21 @@ def term_spans(texts, reach, alpha, support):
                     found.append((m.group().lower(), low + m.start(), low + m.end()))
             entity = (kind, text[start:end].lower())
             places[entity][around] = {t for t, _, _ in found}
+            holders[entity].add(text)
+            for t, _, _ in found:
+                pairs[entity, t].add(text)
             seen.append((k, entity, found))
-    frequency = Counter(t for text in texts for t in set(term.findall((text or "").lower())))
-    n, guilty = len(texts), {}
+    distinct = set(texts)
+    frequency = Counter(t for text in distinct for t in set(term.findall((text or "").lower())))
+    n, guilty = len(distinct), {}
     for entity, around in places.items():
         if len(around) < support:
             continue
-        for t, joint in Counter(t for ts in around.values() for t in ts).items():
-            if joint < support:
+        for t, often in Counter(t for ts in around.values() for t in ts).items():
+            if often < support:
                 continue
-            told = math.log2(joint * n / (len(around) * frequency[t]))
-            content = math.log2(n / len(around))
+            told = math.log2(len(pairs[entity, t]) * n / (len(holders[entity]) * frequency[t]))
+            content = math.log2(n / len(holders[entity]))
             if told >= alpha * content:
                 guilty[entity, t] = told >= content
     out = [{} for _ in texts]
