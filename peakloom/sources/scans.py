@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from peakloom.functions.values import (
     unpack_compound,
     unpack_group,
 )
+from peakloom.plans.joins import lookup_join
 
 # -- peak tables -----------------------------------------------------------------------------
 
@@ -235,43 +237,52 @@ def experiment_table(summaries: DataFrame) -> DataFrame:
 BUNDLE_LAYOUT = r"/supercategory_(\d+)_[^/]*/regression_(\d+)\.csv"
 # Columns of a bundle file that are not features.
 BUNDLE_RESERVED = ("comp_id", "b", "window", "name", "lib_id")
+BUNDLE_REQUIRED = ("comp_id", "b", "window")
+
+
+# One field behind its comma, in quotes or without.
+_FIELD = r',("(?:[^"]|"")*"|[^,"]*)'
+
+
+def csv_fields(line: Column) -> Column:
+    """The fields of one CSV record as an array of strings; doubled quotes inside quotes are one."""
+    inner = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
+    return F.transform(raw, lambda x: F.when(x.startswith('"'), inner(x)).otherwise(x))
 
 
 def scan_bundle(spark: SparkSession, root: str, lib_id: int) -> DataFrame:
     """Fixed-window models as (supercategory, comp_id, b, window, feature, coef) rows.
 
-    Feature columns differ between files, so every file is read with its own header; only the
-    handful of file names passes through the driver. Rows without comp_id, b or window are dropped.
+    Feature columns differ between files. All files are one scan of lines: the line that names comp_id,
+    b and window is the header of its file, joined to the other lines by path, and values are paired
+    with names by position. A feature is a column that is not reserved and holds nothing but numbers in
+    its file; empty fields are null coefficients. Files without the three names, and rows where one of
+    them is empty, are left out; a feature that a file lacks has no rows for it.
     """
-    names = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select(F.regexp_extract("path", rf"^(.*{BUNDLE_LAYOUT[1:]})", 1).alias("p"))
-        .where(F.col("p").endswith(f"/regression_{lib_id}.csv"))
-        .distinct()
-    )
-    parts = []
-    for (path,) in sorted(names.collect()):
-        df = spark.read.csv(path, header=True, inferSchema=True)
-        if not {"comp_id", "b", "window"} <= set(df.columns):
-            continue
-        numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-        features = sorted(c for c in numeric if c not in BUNDLE_RESERVED)
-        if not features:
-            continue
-        rows = df.where("comp_id IS NOT NULL AND b IS NOT NULL AND window IS NOT NULL").select(
-            F.regexp_extract(F.lit(path), BUNDLE_LAYOUT, 1).cast("long").alias("supercategory"),
-            F.col("comp_id").cast("long").alias("comp_id"),
-            F.col("b").cast("double").alias("b"),
-            F.col("window").cast("double").alias("window"),
-            *[F.col(c).cast("double").alias(c) for c in features],
-        )
-        parts.append(rows.unpivot(["supercategory", "comp_id", "b", "window"], features, "feature", "coef"))
-    if not parts:
+    try:
+        text = spark.read.text(f"{root.rstrip('/')}/supercategory_*_*/regression_{lib_id}.csv")
+    except AnalysisException as error:
+        raise ValueError(f"no model files for library {lib_id} below {root}") from error
+    lines = text.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), csv_fields(F.col("value")).alias("fields"))
+    named = F.lit(True)
+    for name in BUNDLE_REQUIRED:
+        named = named & F.array_contains("fields", name)
+    headers = lines.where(named).groupBy("file").agg(F.min("fields").alias("names"))  # one row per file
+    if headers.isEmpty():
         raise ValueError(f"no model files for library {lib_id} below {root}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = lookup_join(lines, headers, ["file"], "inner").where(F.col("fields") != F.col("names"))
+    number = lambda name: F.get("fields", (F.array_position("names", name) - 1).cast("int")).try_cast("double")
+    pair = F.explode(F.arrays_zip("names", "fields")).alias("pair")
+    cells = rows.select(
+        F.regexp_extract("file", BUNDLE_LAYOUT, 1).cast("long").alias("supercategory"), number("comp_id").cast("long").alias("comp_id"),
+        number("b").alias("b"), number("window").alias("window"), pair,
+    ).where(F.col("pair.names").isNotNull() & ~F.col("pair.names").isin(*BUNDLE_RESERVED))
+    value = F.nullif(F.trim("pair.fields"), F.lit(""))
+    cells = cells.select("supercategory", "comp_id", "b", "window", F.col("pair.names").alias("feature"), value.alias("value"), value.try_cast("double").alias("coef"))
+    numeric = cells.groupBy("supercategory", "feature").agg(F.bool_and(F.col("value").isNull() | F.col("coef").isNotNull()).alias("ok")).where("ok")
+    kept = cells.where("comp_id IS NOT NULL AND b IS NOT NULL AND window IS NOT NULL").drop("value")
+    return lookup_join(kept, numeric.select("supercategory", "feature"), ["supercategory", "feature"], "left_semi")
 
 
 def bundle_models(long: DataFrame) -> DataFrame:

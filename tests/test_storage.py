@@ -167,3 +167,43 @@ def test_shared_dir_comes_from_the_session(spark):
 
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(shared_dir(spark)) and scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def _bundle(root, name, lines, lib=7):
+    folder = root / name
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / f"regression_{lib}.csv").write_text("\n".join(lines) + "\n")
+
+
+def test_bundles_with_different_headers_are_one_scan(spark, tmp_path):
+    root = tmp_path / "models"
+    _bundle(root, "supercategory_1_blood", ['comp_id,b,window,IS1,"RS 1, late",name', "3,1.5,0.2,0.1,0.5,x", '4,2.5,,0.2,0.6,"y, z"', "5,3.5,0.4,,0.7,", ""])
+    _bundle(root, "supercategory_2_cells", ["window,ES_1,note,comp_id,b,empty", "0.1,7e-1,good,3,1.0,", "0.3,0.9,12,9,2.0,"])
+    _bundle(root, "supercategory_3_other", ["comp_id,b,IS1", "1,2,3"])  # no window
+    _bundle(root, "supercategory_4_other", ["comp_id,b,window,IS1", "1,2,3,4"], lib=8)
+    got = sorted(map(tuple, scans.scan_bundle(spark, str(root), 7).collect()), key=repr)
+    want = [
+        (1, 3, 1.5, 0.2, "IS1", 0.1), (1, 3, 1.5, 0.2, "RS 1, late", 0.5), (1, 5, 3.5, 0.4, "IS1", None), (1, 5, 3.5, 0.4, "RS 1, late", 0.7),
+        (2, 3, 1.0, 0.1, "ES_1", 0.7), (2, 9, 2.0, 0.3, "ES_1", 0.9), (2, 3, 1.0, 0.1, "empty", None), (2, 9, 2.0, 0.3, "empty", None),
+    ]
+    assert sorted(((r[0], r[1], r[2], r[3], r[4], r[5]) for r in scans.scan_bundle(spark, str(root), 7).select("supercategory", "comp_id", "b", "window", "feature", "coef").collect()), key=repr) == sorted(want, key=repr) and len(got) == 8
+    models = {(r["supercategory"], r["comp_id"]): r["coefs"] for r in scans.bundle_models(scans.scan_bundle(spark, str(root), 7)).collect()}
+    assert models[1, 3].get("ES_1") is None and models[2, 9]["ES_1"] == 0.9
+    for lib in (9, 70):
+        with pytest.raises(ValueError):
+            scans.scan_bundle(spark, str(root), lib)
+
+
+def test_bundle_scan_takes_as_many_jobs_for_many_files(spark, tmp_path):
+    def jobs(n):
+        root = tmp_path / f"m{n}"
+        for i in range(n):
+            _bundle(root, f"supercategory_{i}_x", [f"comp_id,b,window,F{i}", f"{i},1,2,3"])
+        group = f"bundle {n}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert scans.scan_bundle(spark, str(root), 7).count() == n
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    assert jobs(2) == jobs(20) > 0
