@@ -76,6 +76,41 @@ def mass_matches(peaks: DataFrame, library: DataFrame, ppm: float = 10.0) -> Dat
     )
 
 
+# Width of the time bins of window_matches, in minutes; windows up to this width touch two bins.
+RT_BIN = 0.5
+
+
+def window_matches(
+    peaks: DataFrame, library: DataFrame, rt_pred: DataFrame, ppm: float = 10.0, k: float = 1.5, floor: float = 0.05, rt_bin: float = RT_BIN
+) -> DataFrame:
+    """What :func:`rt_matches` keeps of :func:`mass_matches`, from one join on mass bin and time bin.
+
+    The time window belongs to the compound, not to the ion, so it may be applied before the closest
+    ion is chosen. Predictions carry the ions of their compound and are entered into every cell their
+    window touches, a peak has one cell: only peaks inside both windows are ever grouped.
+    """
+    width = 4.0 * ppm * 1e-6
+    tol = mass_tolerance("theoretical", ppm)
+    pad = tol * F.lit(1e-6) + F.lit(1e-12)
+    half = F.lit(k) * F.greatest(F.col("rt_std"), F.lit(floor)) + F.lit(1e-9)
+    rt_bins = F.sequence(F.floor((F.col("rt_mean") - half) / rt_bin), F.floor((F.col("rt_mean") + half) / rt_bin))
+    mass_bins = F.sequence(_log_bin(F.col("theoretical") - tol - pad, width), _log_bin(F.col("theoretical") + tol + pad, width))
+    timed = rt_pred.where("rt_mean IS NOT NULL AND rt_std IS NOT NULL").select("species", "compound_id", "rt_mean", "rt_std", F.explode(rt_bins).alias("_rb"))
+    targets = lookup_join(timed, ion_library(library).withColumn("_mb", F.explode(mass_bins)), ["compound_id"], "inner")
+    binned = peaks.withColumns({"_mb": _log_bin(F.col("mass"), width), "_rb": F.floor(F.col("rt") / rt_bin)})
+    near = lookup_join(binned, targets, ["species", "_mb", "_rb"], "inner")
+    error = F.abs(F.col("mass") - F.col("theoretical"))
+    hits = near.withColumn("rt_z", rt_z("rt", "rt_mean", "rt_std", floor)).where((error <= tol) & (F.abs("rt_z") <= k))
+    rest = [c for c in peaks.columns if c != "peak_id"]
+    best = F.min(F.struct(error.alias("e"), "ion_idx", "theoretical")).alias("_b")
+    out = hits.groupBy("peak_id", "compound_id").agg(best, F.any_value(F.struct(*rest, "rt_mean", "rt_std", "rt_z")).alias("_p"))
+    return out.select(
+        "peak_id", *[F.col(f"_p.{c}").alias(c) for c in rest], "compound_id",
+        F.get(F.array(*[F.lit(n) for n in _IONS]), F.col("_b.ion_idx")).alias("ion"), F.col("_b.theoretical").alias("theoretical"),
+        *[F.col(f"_p.{c}").alias(c) for c in ("rt_mean", "rt_std", "rt_z")],
+    )
+
+
 def rt_matches(matches: DataFrame, rt_pred: DataFrame, k: float = 1.5, floor: float = 0.05) -> DataFrame:
     """Keep matches within ``k`` predicted standard deviations; adds rt_mean, rt_std, rt_z."""
     joined = lookup_join(matches, rt_pred, ["species", "compound_id"], "inner")
@@ -99,11 +134,16 @@ def generate(
     k: float = 1.5, floor: float = 0.05,
 ) -> DataFrame:
     """Long candidate table; decoys are flagged, training uses the rows without the flag."""
-    found = rt_matches(mass_matches(peaks, library, ppm), rt_pred, k, floor)
+    found = window_matches(peaks, library, rt_pred, ppm, k, floor)
     flags = library.select("compound_id", F.coalesce("is_decoy", F.lit(False)).alias("is_decoy"))
     return lookup_join(with_features(found, context), flags, ["compound_id"], "left")
 
 
+def training_rows(candidates: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """(peak_id, species, compound_id, features) of the candidates the weights may learn from: no decoys."""
+    return candidates.where(~F.col("is_decoy")).select("peak_id", "species", "compound_id", *features)
+
+
 def number_slots(candidates: DataFrame, peaks: DataFrame) -> DataFrame:
     """Slots 1..K in compound order after the null slot 0, which every peak has.
 
