@@ -84,7 +84,7 @@ def _matches(spark, sf):
 
 
 def _in_window(spark, sf):
-    return C.rt_matches(_matches(spark, sf), view(spark, sf, "rt_pred"))
+    return C.window_matches(_peaks(spark, sf), _library(spark, sf), view(spark, sf, "rt_pred"))
 
 
 def _candidates(spark, sf):
@@ -138,6 +138,29 @@ def _(spark, sf):
     return rounded(c.select("peak_id", "species", "compound_id", "is_decoy", "ion", "mass_err_ppm", "rt_z", *C.CONTEXT), 5)
 
 
+ION_FLAGS = (("is_MH", "M+H"), ("is_M13C", "M+13C"), ("is_MNa", "M+Na"), ("is_MK", "M+K"), ("is_MNH4", "M+NH4"), ("is_MH2O_loss", "M-H2O+H"), ("is_MCO2_loss", "M-CO2+H"))
+FLAG_SQL = ", ".join(f"CASE WHEN ion = '{ion}' THEN 1e0 ELSE 0e0 END AS {name}" for name, ion in ION_FLAGS)
+
+
+@query("C2_ion_indicators", with_views(f", {CAND_SQL} SELECT peak_id, compound_id, {FLAG_SQL} FROM ca", *CVIEWS))
+def _(spark, sf):
+    return _candidates(spark, sf).select("peak_id", "compound_id", *[name for name, _ in ION_FLAGS])
+
+
+@query(
+    "C2_training_rows",
+    with_views(
+        f""", {CAND_SQL}, {PARTNER_SQL}, {CO_SQL} SELECT ca.peak_id, ca.species, ca.compound_id, round((mass - theo)/theo*1e6, 5) AS mass_err_ppm, round(rt_z, 5) AS rt_z,
+        round(ln(1 + intensity), 5) AS log_intensity, round(ln(rt_std + 1e-6), 5) AS log_rt_uncertainty, has_isotope, isotope_score, n_adducts, rt_cluster_size, n_correlated, {FLAG_SQL}
+        FROM ca JOIN part_ ON ca.peak_id = part_.peak_id JOIN co ON ca.peak_id = co.peak_id JOIN cr ON ca.peak_id = cr.peak_id WHERE NOT is_decoy""",
+        *CVIEWS,
+    ),
+)
+def _(spark, sf):
+    """All 16 features of the candidates that take part in training."""
+    return rounded(C.training_rows(_candidates(spark, sf)), 5)
+
+
 SLOT_SQL = CAND_SQL + """, nu AS (SELECT peak_id, species, true_compound, compound_id, is_decoy, mass, theo, rt_z, intensity, rt_std, ion,
       CAST(row_number() OVER (PARTITION BY peak_id ORDER BY compound_id) AS INTEGER) AS slot FROM ca),
   sl0 AS (SELECT peak_id, species, true_compound, compound_id, is_decoy, slot, (mass - theo)/theo*1e6 AS me, rt_z FROM nu

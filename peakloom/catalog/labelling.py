@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from peakloom.catalog.assignment import (
-    CVIEWS, DRAW_SQL, PROB_SQL, _candidates, _peaks, _probs, _samples, _slots, _truth,
+    CVIEWS, DRAW_SQL, PROB_SQL, _candidates, _labelled, _peaks, _probs, _samples, _slots, _truth,
 )
 from peakloom.catalog.inputs import kept, table, view, with_views
 from peakloom.catalog.models import FEATURES, FIT, _fold
+from peakloom.catalog.preparation import _unseen_sql
 from peakloom.catalog.registry import query, rounded
 from peakloom.operators import candidates as C
 from peakloom.operators import curation as U
@@ -17,6 +18,8 @@ from peakloom.operators import labelling as L
 from peakloom.operators import lasso as LA
 from peakloom.operators import metrics as M
 from peakloom.operators import pooling as PO
+from peakloom.operators import preparation as P
+from peakloom.operators import presence as PR
 from peakloom.operators import ridge as R
 from peakloom.operators import scoring as SC
 from peakloom.operators import sums as S
@@ -153,15 +156,81 @@ def _(spark, sf):
     return rounded(L.threshold_sweep(_probs(spark, sf), labels))
 
 
-@query("L4_round_metrics")
-def _(spark, sf):
-    """Uncertainty and accuracy before and after the weights move."""
-    from peakloom.catalog.assignment import _prior_slots
+L4_BATCH = 20
+
+
+def _answers(slots):
+    """What an annotator who knows the truth says: the slot of the true compound, 0 where it is not
+    among the candidates, is a decoy or there is none."""
+    own = (F.col("slot") > 0) & (F.col("slot") == F.col("label")) & ~F.col("is_decoy")
+    return slots.groupBy("peak_id").agg(
+        F.first("species").alias("species"), F.coalesce(F.max(F.when(own, F.col("slot"))), F.lit(0)).alias("label"), F.max(F.when(own, F.col("compound_id"))).alias("compound_id")
+    )
+
+
+def _largest_gradient(state):
+    """Largest derivative of the posterior at the fitted weights, worked out from the rows again."""
     from peakloom.operators import assignment as A
 
+    fit = state.fit
+    p = A.probabilities(state.train, fit["theta"], fit["theta0"], fit["theta_null"])
+    off = F.when(F.col("slot") == F.col("label"), 1.0).otherwise(0.0) - F.col("p")
+    own = F.col("slot") > 0
+    total = lambda c, w: F.abs(F.coalesce(F.sum(c), F.lit(0.0)) - F.lit(w))
+    sums = [total(F.when(~own, off), fit["theta_null"]), total(F.when(own, off), fit["theta0"])]
+    sums += [total(F.when(own, off * F.col(f)), w) for f, w in fit["theta"].items()]
+    return p.agg(F.round(F.greatest(*sums), 3).alias("gradient")).first()["gradient"]
+
+
+def _plain_metrics(probs, truth, labelled, threshold):
+    """Entropy, expected false assignments, precision, recall and F1 straight from their definitions."""
+    top = probs.groupBy("peak_id").agg(
+        F.sum(-F.greatest("p", F.lit(1e-12)) * F.log(F.greatest("p", F.lit(1e-12)))).alias("h"), F.max("p").alias("p"), F.max_by("slot", F.struct("p", -F.col("slot"))).alias("slot")
+    )
+    totals = top.agg(F.sum("h").alias("entropy"), F.sum(F.when((F.col("slot") > 0) & (F.col("p") >= threshold), 1 - F.col("p")).otherwise(0.0)).alias("expected_fp")).first()
+    judged = truth.join(labelled.select("peak_id"), ["peak_id"], "left_anti")
+    chosen = probs.where((F.col("slot") > 0) & (F.col("p") >= threshold)).select("peak_id", "compound_id").join(judged, ["peak_id"])
+    hits = chosen.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("compound_id") == F.col("true_compound")).alias("tp")).first()
+    known = judged.where("true_compound IS NOT NULL").count()
+    precision, recall = (hits["tp"] / n if n else 0.0 for n in (hits["n"], known))
+    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+    return {"entropy": totals["entropy"], "expected_fp": totals["expected_fp"], "precision": precision, "recall": recall, "f1": f1}
+
+
+@query(
+    "L4_round_metrics",
+    with_views(
+        f""", n AS (SELECT count(*) FILTER (WHERE intensity > 1e6) AS seed, least({L4_BATCH}, count(*) FILTER (WHERE intensity <= 1e6)) AS more FROM peaks)
+        SELECT CAST(1 AS INTEGER) AS round, 'before' AS stage, seed AS n_labelled, true AS converged, 0e0 AS gradient, 0e0 AS metrics_gap, 0e0 AS prior_gap FROM n
+        UNION ALL SELECT 1, 'after', seed + more, true, 0e0, 0e0, 0e0 FROM n""",
+        "peaks",
+    ),
+)
+def _(spark, sf):
+    """A labelling round on fitted weights: the labels of a batch move the priors and the weights are
+    fitted again from the last ones. Reported are the gradient at either optimum, the distance of the
+    round's metrics from their definitions and that of the prior's counts from the labels given."""
     truth = _peaks(spark, sf).select("peak_id", "true_compound")
-    after = A.probabilities(_prior_slots(spark, sf), {"mass_err_ppm": -0.02, "rt_z": -0.3}, 2.0, -1.0)
-    return rounded(L.round_metrics(_probs(spark, sf), after, truth, 1, 0.6), 4)
+    slots = _slots(spark, sf)
+    slots = stored(C.standardise(slots, C.feature_scaler(slots.where("slot > 0 AND NOT is_decoy"))))
+    answers = stored(_answers(slots))
+    seed = answers.join(_peaks(spark, sf).where("intensity > 1e6").select("peak_id"), ["peak_id"], "left_semi")
+    prior, null = PR.batch_update(_labelled(spark, sf))
+    first = L.fit_round(slots, stored(seed.select("peak_id", "label")), prior, null, C.FEATURES)
+    batch = stored(L.next_batch(first.probs, first.labels, L4_BATCH, "hybrid", 0.6).select("peak_id"))
+    given = stored(answers.join(batch, ["peak_id"], "left_semi"))
+    second = L.labelling_round(slots, first, given, C.FEATURES)
+    metrics = {r["stage"]: r for r in L.round_metrics(first.probs, second.probs, truth, 1, 0.6, labelled=second.labels).collect()}
+    mass = lambda s: s.prior.agg(F.sum(F.col("alpha") + F.col("beta") - 2.0)).first()[0] or 0.0
+    chosen = given.where("compound_id IS NOT NULL")
+    others = slots.where("slot > 0").join(chosen.select("peak_id", F.col("compound_id").alias("own")), ["peak_id"]).where("compound_id <> own").count()
+    moved = mass(second) - mass(first) - chosen.count() - PR.NEGATIVE_WEIGHT * others
+    rows = []
+    for stage, state, prior_gap in (("before", first, 0.0), ("after", second, abs(moved))):
+        plain = _plain_metrics(state.probs, truth, second.labels, 0.6)
+        gap = max(abs(metrics[stage][k] - v) / max(1.0, abs(v)) for k, v in plain.items())
+        rows.append((1, stage, state.labels.count(), bool(state.fit["converged"]), _largest_gradient(state), round(gap, 6) + 0.0, round(prior_gap, 6) + 0.0))
+    return spark.createDataFrame(rows, "round int, stage string, n_labelled bigint, converged boolean, gradient double, metrics_gap double, prior_gap double")
 
 
 # -- embeddings and clusters -----------------------------------------------------------------------
@@ -336,20 +405,15 @@ def _pooled(spark, sf):
 _pool: dict = {}
 
 
-@query(
-    "M10_partial_pooling",
-    with_views(" SELECT species, comp_id, count(*) AS n, true AS converged, 0e0 AS residual FROM obs WHERE fold = 'train' GROUP BY 1, 2", "obs"),
-)
-def _(spark, sf):
-    """Largest gradient of each group's posterior, worked out from its rows: zero at the optimum."""
-    coef, state = _pooled(spark, sf)
+def _pool_residual(rows, coef, state):
+    """(species, comp_id, n, converged, residual): largest gradient of each group's posterior per row,
+    worked out from its rows; zero at the optimum."""
     x = [F.col(f) - F.lit(c) for f, c in zip(state.features, state.center)]
     at = lambda i: F.get("beta_hat", F.lit(i))
     error = F.col("rt") - at(0)
     for i, v in enumerate(x):
         error = error - at(i + 1) * v
-    rows = _fold(spark, sf, "train").join(coef.select("species", "comp_id", "beta_hat"), ["species", "comp_id"])
-    sums = rows.groupBy("species", "comp_id").agg(
+    sums = rows.join(coef.select("species", "comp_id", "beta_hat"), ["species", "comp_id"]).groupBy("species", "comp_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(error).alias("g0"), *[F.sum(error * v).alias(f"g{i + 1}") for i, v in enumerate(x)], F.any_value("beta_hat").alias("beta_hat")
     )
     sums = sums.join(state.species.select("species", "mu", "slopes"), ["species"]).join(state.compounds.select("comp_id", "alpha"), ["comp_id"])
@@ -359,6 +423,14 @@ def _(spark, sf):
     return sums.select("species", "comp_id", "n", F.lit(state.converged).alias("converged"), F.round(F.greatest(*gradients) / F.col("n"), 5).alias("residual"))
 
 
+@query(
+    "M10_partial_pooling",
+    with_views(" SELECT species, comp_id, count(*) AS n, true AS converged, 0e0 AS residual FROM obs WHERE fold = 'train' GROUP BY 1, 2", "obs"),
+)
+def _(spark, sf):
+    return _pool_residual(_fold(spark, sf, "train"), *_pooled(spark, sf))
+
+
 FACADE = FIT.format(keys="species, comp_id") + """, te AS (SELECT * FROM obs WHERE fold = 'test'),
   sc AS (SELECT te.species, b + w*IS1 - rt AS err FROM te JOIN m ON te.species = m.species AND te.comp_id = m.comp_id)"""
 
@@ -367,23 +439,45 @@ FACADE = FIT.format(keys="species, comp_id") + """, te AS (SELECT * FROM obs WHE
     "M11_model_facade",
     with_views(
         FACADE + """ SELECT k.mode, (SELECT count(*) FROM te) AS n_test, count(*) AS n_used, CASE WHEN k.mode <> 'partial_pool' THEN round(sqrt(avg(err*err)), 5) END AS rmse,
-        CASE WHEN k.mode <> 'partial_pool' THEN round(avg(abs(err)), 5) END AS mae FROM sc, (VALUES ('group_ridge'), ('shared_noise_ridge'), ('partial_pool')) k(mode) GROUP BY 1""",
+        CASE WHEN k.mode <> 'partial_pool' THEN round(avg(abs(err)), 5) END AS mae, CASE WHEN k.mode = 'partial_pool' THEN 0e0 END AS residual FROM sc, (VALUES ('group_ridge'), ('shared_noise_ridge'), ('partial_pool')) k(mode) GROUP BY 1""",
         "obs",
     ),
 )
 def _(spark, sf):
-    """All modes of the entry point on the same rows. The pooled model has no closed form; its fit is
-    checked by M10, here only that it scores the same rows."""
+    """All modes of the entry point on the same rows. The pooled model has no closed form: instead of its
+    errors the largest gradient of its posterior is reported, worked out from the rows again."""
     rows, test = _fold(spark, sf, "train"), _fold(spark, sf, "test")
     out = []
     for mode in ("group_ridge", "shared_noise_ridge", "partial_pool"):
         coef, settings = R.fit(rows, ["IS1"], mode, group="species", penalty=1e-3)
         center = settings.center if mode == "partial_pool" else settings["center"]
         m = M.overall(SC.score(test, coef, ["IS1"], "species", center=center))
-        out.append(m.withColumn("mode", F.lit(mode)))
+        residual = F.lit(None).cast("double")
+        if mode == "partial_pool":
+            residual = F.lit(_pool_residual(rows, coef, settings).agg(F.max("residual")).first()[0])
+        out.append(m.withColumns({"mode": F.lit(mode), "residual": residual}))
     both = out[0].unionByName(out[1]).unionByName(out[2])
     closed = F.col("mode") != "partial_pool"
-    return rounded(both.select("mode", "n_test", "n_used", F.when(closed, F.col("rmse")).alias("rmse"), F.when(closed, F.col("mae")).alias("mae")), 5)
+    return rounded(both.select("mode", "n_test", "n_used", F.when(closed, F.col("rmse")).alias("rmse"), F.when(closed, F.col("mae")).alias("mae"), "residual"), 5)
+
+
+def _backoff_gap(rows, state, keys):
+    """Rows scored from hierarchy effects alone, by ``keys``: how many, and how far the scores are from
+    the effects written out per group, joined from the fitted tables without the scorer."""
+    rows = rows.withColumns({f: F.col(f) - F.lit(c) for f, c in zip(state.features, state.center)})
+    species, compounds, t0 = state.backoff()
+    pred = SC.score_backoff(rows, species, compounds, state.features, t0, clusters=state.cluster_effects())
+    groups = rows.select("species", "species_cluster", "comp_id").distinct()
+    own = state.species.select("species", F.col("mu").alias("m1"), F.col("slopes").alias("w1"))
+    shared = state.species.groupBy("species_cluster").agg(F.avg("mu").alias("m2"), *[F.avg(F.get("slopes", F.lit(i))).alias(f"v{i}") for i in range(len(state.features))])
+    plain = groups.join(own, ["species"], "left").join(shared, ["species_cluster"], "left").join(state.compounds.select("comp_id", "alpha"), ["comp_id"], "left")
+    level = F.lit(t0) + F.coalesce("m1", "m2", F.lit(0.0)) + F.coalesce("alpha", F.lit(0.0))
+    slopes = [F.coalesce(F.get("w1", F.lit(i)), F.col(f"v{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(len(state.features))]
+    both = pred.join(plain.select("species", "comp_id", level.alias("level0"), *slopes), ["species", "comp_id"])
+    want = F.col("level0")
+    for i, f in enumerate(state.features):
+        want = want + F.col(f"w{i}") * F.col(f)
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("pred_mean") - want)), 8).alias("gap"))
 
 
 @query(
@@ -391,20 +485,30 @@ def _(spark, sf):
     with_views(" SELECT species, count(*) AS n, 0e0 AS gap FROM obs WHERE fold = 'test' GROUP BY 1", "obs"),
 )
 def _(spark, sf):
-    """Test rows scored from hierarchy effects alone, as if their groups were unseen, against the sum
-    of the effects written out."""
-    _, state = _pooled(spark, sf)
-    rows = _fold(spark, sf, "test").withColumns({f: F.col(f) - F.lit(c) for f, c in zip(state.features, state.center)})
-    pred = SC.score_backoff(rows, *state.backoff()[:2], state.features, state.t0)
-    mu = {r["species"]: (r["mu"], r["slopes"]) for r in state.species.collect()}
-    alpha = {r["comp_id"]: r["alpha"] for r in state.compounds.collect()}
-    level = F.create_map(*[F.lit(v) for k, (m, _) in mu.items() for v in (k, m)])
-    effect = F.create_map(*[F.lit(v) for k, a in alpha.items() for v in (k, a)])
-    plain = F.lit(state.t0) + F.coalesce(level[F.col("species")], F.lit(0.0)) + F.coalesce(effect[F.col("comp_id")], F.lit(0.0))
-    for i, f in enumerate(state.features):
-        slope = F.create_map(*[F.lit(v) for k, (_, s) in mu.items() for v in (k, s[i])])
-        plain = plain + F.coalesce(slope[F.col("species")], F.lit(0.0)) * F.col(f)
-    return pred.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("pred_mean") - plain)), 8).alias("gap"))
+    """Test rows scored from hierarchy effects alone, as if their groups were unseen."""
+    return _backoff_gap(_fold(spark, sf, "test"), _pooled(spark, sf)[1], ["species"])
+
+
+def _backoff(mode):
+    """Rows of held-out groups scored from a model that never saw them; ``effect_of`` says whose effect
+    stood in for the species."""
+
+    def run(spark, sf):
+        train, held = P.unseen_group_split(view(spark, sf, "obs"), mode)
+        _, state = PO.train_partial_pool(train, FEATURES)
+        return _backoff_gap(held, state, ["species", "effect_of"]).withColumn("converged", F.lit(state.converged))
+
+    return run
+
+
+def _backoff_sql(mode):
+    level = {"species": "cluster", "pair": "species"}[mode]
+    return f"""SELECT species, '{level}' AS effect_of, CAST(sum(n_rows) AS BIGINT) AS n, true AS converged, 0e0 AS gap
+      FROM ({_unseen_sql(mode)}) q WHERE part = 'held' GROUP BY 1"""
+
+
+query("M14_backoff_unseen_species", _backoff_sql("species"))(_backoff("species"))
+query("M14_backoff_unseen_pairs", _backoff_sql("pair"))(_backoff("pair"))
 
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "sampleset_id"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from peakloom.catalog.aggregates import BIN_SQL, RATIOS
 from peakloom.catalog.inputs import kept, table, view, with_views
 from peakloom.catalog.preparation import fraction_sql
-from peakloom.catalog.registry import query, rounded
+from peakloom.catalog.registry import ORACLES, query, rounded
 from peakloom.catalog.storage import BUNDLE_SQL, _bundle, _stored
 from peakloom.functions import values as V
 from peakloom.operators import metrics as M
@@ -470,19 +470,36 @@ def _(spark, sf):
     return rounded(model.select("species", "comp_id", "n", first("beta_hat").alias("b"), "supercat_id", F.lit(features).alias("features")))
 
 
+def _metrics(spark, sf):
+    """(folder of the written metrics, the three tables that were written)."""
+    scored, coef = _scored(spark, sf)
+    tables = M.overall(scored), M.by_group(scored, "species"), M.by_support(scored, coef, "species")
+    return _stored(spark, sf, "metrics", lambda path: sinks.write_metrics(path, *tables)), tables
+
+
+def _ddl(df):
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
 @query(
     "K5_metrics_sink",
     with_views(SCORE + f" SELECT species, comp_id, n_obs_train, count(*) AS n_obs_test, {RATIOS} FROM flagged GROUP BY 1, 2, 3", "obs"),
 )
 def _(spark, sf):
-    def write(path):
-        scored, coef = _scored(spark, sf)
-        sinks.write_metrics(path, M.overall(scored), M.by_group(scored, "species"), M.by_support(scored, coef, "species"))
+    path, (_, by_group, _) = _metrics(spark, sf)
+    return rounded(scans.scan_csv(spark, f"{path}/by_group", _ddl(by_group)))
 
-    path = _stored(spark, sf, "metrics", write)
-    schema = ("species BIGINT, comp_id BIGINT, n_obs_train BIGINT, rmse DOUBLE, mae DOUBLE, coverage_95 DOUBLE, "
-              "pred_std_mean DOUBLE, interval_width_mean DOUBLE, n_obs_test BIGINT")
-    return rounded(scans.scan_csv(spark, f"{path}/by_group", schema))
+
+@query("K5_metrics_sink_overall", ORACLES["M12_evaluation_overall"])
+def _(spark, sf):
+    path, (overall, _, _) = _metrics(spark, sf)
+    return rounded(spark.read.schema(overall.schema).json(f"{path}/overall"))
+
+
+@query("K5_metrics_sink_by_support", ORACLES["M12_evaluation_by_support"])
+def _(spark, sf):
+    path, (_, _, by_support) = _metrics(spark, sf)
+    return rounded(scans.scan_csv(spark, f"{path}/by_support", _ddl(by_support)).drop("bin_idx"))
 
 
 @query(

@@ -149,14 +149,16 @@ def mean_probabilities(samples: DataFrame, max_samples: int | None = None) -> Da
 
 
 def fit_weights(
-    slots: DataFrame, features: Sequence[str], iterations: int = 200, tolerance: float = 1e-6
+    slots: DataFrame, features: Sequence[str], iterations: int = 200, tolerance: float = 1e-6,
+    start: Mapping[str, object] | None = None,
 ) -> dict[str, object]:
     """Maximum a posteriori weights of the conditional logit, with N(0, 1) priors.
 
     ``slots`` needs log_pi, label and the features; only peaks with ``label >= 0`` contribute.
     Each Newton step is one pass: every task reduces its peaks to a gradient and a Hessian, and
     only those small matrices are added up. Runs until the step is below ``tolerance``; ``converged``
-    is false when ``iterations`` steps were not enough. ``objective`` belongs to the returned weights.
+    is false when ``iterations`` steps were not enough. ``objective`` belongs to the returned weights;
+    ``start`` takes weights returned before, from which the steps go on; ``iterations`` counts them.
     """
     names = ["theta_null", "theta0", *features]
     d = len(names)
@@ -166,9 +168,11 @@ def fit_weights(
         .select("peak_id", "slot", "label", "log_pi", *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features])
         .repartition("peak_id").sortWithinPartitions("peak_id", "slot")
     )
-    w, converged = np.zeros(d), False
+    w, converged, steps = np.zeros(d), False, 0
+    if start is not None:
+        w = np.array([start["theta_null"], start["theta0"], *[start["theta"][f] for f in features]], dtype=float)
     total = _newton_sums(used, features, w)
-    for _ in range(iterations):
+    for steps in range(1, iterations + 1):
         grad = total[1 : 1 + d] - w
         hess = total[1 + d :].reshape(d, d) + np.eye(d)
         step = np.linalg.solve(hess, grad)
@@ -180,7 +184,7 @@ def fit_weights(
     discard(used)
     return {
         "theta_null": float(w[0]), "theta0": float(w[1]), "theta": {f: float(v) for f, v in zip(features, w[2:], strict=True)},
-        "objective": total[0] - 0.5 * float(w @ w), "converged": converged,
+        "objective": total[0] - 0.5 * float(w @ w), "converged": converged, "iterations": steps,
     }
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.values import entropy_term
+from peakloom.operators import presence as PR
 from peakloom.plans.durable import discard, stored
+from peakloom.plans.joins import lookup_join
 
 ACQUISITIONS = ("fp", "entropy", "lc", "margin", "mi", "hybrid")
 
@@ -157,13 +160,69 @@ def threshold_sweep(
     )
 
 
-def round_metrics(before: DataFrame, after: DataFrame, truth: DataFrame, round_no: int, threshold: float = 0.75) -> DataFrame:
-    """Uncertainty and accuracy before and after a labelling round, one row per stage."""
+def round_metrics(
+    before: DataFrame, after: DataFrame, truth: DataFrame, round_no: int, threshold: float = 0.75, labelled: DataFrame | None = None
+) -> DataFrame:
+    """Uncertainty and accuracy before and after a labelling round, one row per stage. Peaks in
+    ``labelled`` count for the uncertainty, but not for the accuracy of either stage."""
     from peakloom.operators.assignment import evaluate
 
     rows = []
     for stage, probs in (("before", before), ("after", after)):
         left = uncertainty_totals(probs, threshold).withColumn("_k", F.lit(1))
-        right = evaluate(probs, truth, threshold=threshold).select("precision", "recall", "f1", "ece", F.lit(1).alias("_k"))
+        right = evaluate(probs, truth, threshold=threshold, labelled=labelled).select("precision", "recall", "f1", "ece", F.lit(1).alias("_k"))
         rows.append(left.join(right, ["_k"]).drop("_k").select(F.lit(round_no).alias("round"), F.lit(stage).alias("stage"), "*"))
     return rows[0].unionByName(rows[1])
+
+
+# -- labelling rounds ------------------------------------------------------------------------------
+
+
+@dataclass
+class RoundState:
+    """What a labelling round starts from and leaves behind.
+
+    ``prior`` holds (species, compound_id, alpha, beta), ``null`` the one row of the null class,
+    ``labels`` (peak_id, label) of all peaks labelled so far, ``train`` the slots the weights were
+    fitted on, ``fit`` these weights and ``probs`` the slots with their probabilities.
+    """
+
+    prior: DataFrame
+    null: DataFrame
+    labels: DataFrame
+    train: DataFrame
+    fit: Mapping[str, object]
+    probs: DataFrame
+
+
+def fit_round(
+    slots: DataFrame, labels: DataFrame, prior: DataFrame, null: DataFrame, features: Sequence[str], last: Mapping[str, object] | None = None
+) -> RoundState:
+    """Fit the assignment weights on the labelled peaks, from the ``last`` weights if there are any.
+
+    ``slots`` holds peak_id, slot, species, compound_id, is_decoy and the scaled features; a label is
+    the slot of the compound, 0 for none of them. Decoys take no part in the fit, but get a probability.
+    """
+    from peakloom.operators import assignment as A
+
+    scored = A.with_log_prior(slots.drop("label", "log_pi"), prior, PR.log_null(null))
+    known = lookup_join(scored, labels.select("peak_id", "label"), ["peak_id"], "inner")
+    train = stored(known.where("slot = 0 OR NOT is_decoy").withColumns({f: F.coalesce(f, F.lit(0.0)) for f in features}))
+    fit = A.fit_weights(train, features, start=last)
+    filled = scored.withColumns({f: F.coalesce(f, F.lit(0.0)) for f in features})
+    return RoundState(prior, null, labels, train, fit, stored(A.probabilities(filled, fit["theta"], fit["theta0"], fit["theta_null"])))
+
+
+def labelling_round(slots: DataFrame, state: RoundState, answers: DataFrame, features: Sequence[str], smoothing: float = 1.0) -> RoundState:
+    """One round: new ``answers`` (peak_id, species, label, compound_id) move the priors, join the labels
+    and the weights are fitted again from where they were.
+
+    A chosen compound gains in the prior of its species, the peak's other candidates are lightly
+    rejected, an answer without a compound counts for the null class. A peak that had a label keeps it.
+    """
+    fresh = stored(answers.join(state.labels.select("peak_id"), ["peak_id"], "left_anti").dropDuplicates(["peak_id"]))
+    events = stored(PR.label_events(fresh, slots.where("slot > 0").select("peak_id", "compound_id")))
+    prior = stored(PR.apply_events(state.prior, events, smoothing))
+    null = stored(PR.apply_null_events(state.null, events))
+    labels = stored(state.labels.select("peak_id", "label").unionByName(fresh.select("peak_id", "label")))
+    return fit_round(slots, labels, prior, null, features, state.fit)

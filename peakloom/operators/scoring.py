@@ -160,17 +160,24 @@ def score_bundle(
 
 
 def score_backoff(
-    rows: DataFrame, species: DataFrame, compounds: DataFrame, features: Sequence[str], t0: float
+    rows: DataFrame, species: DataFrame, compounds: DataFrame, features: Sequence[str], t0: float, clusters: DataFrame | None = None
 ) -> DataFrame:
     """Mean for unseen groups: hierarchy effects in place of group coefficients.
 
     ``species`` holds (species, mu, slopes); ``compounds`` holds (comp_id, alpha, alpha_prior):
-    alpha is null for compounds that were not trained, whose prior mean stands in. Unknown species
-    or compounds contribute zero.
+    alpha is null for compounds that were not trained, whose prior mean stands in. A species that was
+    not trained takes the effect of its cluster from ``clusters`` (species_cluster, mu, slopes);
+    what is unknown there as well contributes zero. ``effect_of`` names the level that was used.
     """
-    joined = lookup_join(rows, species.select("species", "mu", "slopes"), ["species"], "left")
-    joined = lookup_join(joined, compounds.select("comp_id", "alpha", "alpha_prior"), ["comp_id"], "left")
-    mean = F.lit(float(t0)) + F.coalesce("mu", F.lit(0.0)) + F.coalesce("alpha", "alpha_prior", F.lit(0.0))
+    joined = lookup_join(rows, species.select("species", F.struct("mu", "slopes").alias("_s")), ["species"], "left")
+    none = F.lit(None).cast(joined.schema["_s"].dataType)
+    if clusters is None:
+        joined = joined.withColumn("_q", none)
+    else:
+        joined = lookup_join(joined, clusters.select("species_cluster", F.struct("mu", "slopes").alias("_q")), ["species_cluster"], "left")
+    joined = lookup_join(joined, compounds.select("comp_id", "alpha", "alpha_prior"), ["comp_id"], "left").withColumn("_e", F.coalesce("_s", "_q"))
+    mean = F.lit(float(t0)) + F.coalesce("_e.mu", F.lit(0.0)) + F.coalesce("alpha", "alpha_prior", F.lit(0.0))
     for i, f in enumerate(features):
-        mean = mean + F.coalesce(F.get("slopes", F.lit(i)), F.lit(0.0)) * feature_value(f, rows.columns)
-    return joined.withColumn("pred_mean", mean).drop("mu", "slopes", "alpha", "alpha_prior")
+        mean = mean + F.coalesce(F.get("_e.slopes", F.lit(i)), F.lit(0.0)) * feature_value(f, rows.columns)
+    level = F.when(F.col("_s").isNotNull(), "species").when(F.col("_q").isNotNull(), "cluster").otherwise("none")
+    return joined.withColumns({"pred_mean": mean, "effect_of": level}).drop("_s", "_q", "_e", "alpha", "alpha_prior")

@@ -87,6 +87,34 @@ def test_the_closest_ion_is_kept_in_huge_windows(spark):
     assert [(r["compound_id"], r["ion"]) for r in got] == [(7, "M+H"), (7, "M+13C")]
 
 
+def test_one_join_on_mass_and_time_equals_two_steps(spark):
+    rng = np.random.default_rng(5)
+    masses = [100.0 + 0.004 * i for i in range(30)] + [118.0338, 121.98, 56.01]
+    lib = spark.createDataFrame([(i, float(m), False) for i, m in enumerate(masses)], "compound_id long, mass double, is_decoy boolean")
+    pred = spark.createDataFrame(
+        [(s, i, float(rng.uniform(0, 3)), float(rng.choice([0.0, 0.1, 0.9]))) for s in (0, 1) for i in range(len(masses)) if (s + i) % 7], "species long, compound_id long, rt_mean double, rt_std double"
+    )
+    peaks = spark.createDataFrame(
+        [(i, int(i % 3), float(rng.choice(masses) + rng.choice([0.0, 1.00335, 21.9819, -18.0106]) + rng.normal(0, 1e-3)), float(rng.uniform(-0.2, 3.2)), 1.0) for i in range(600)],
+        "peak_id long, species long, mass double, rt double, intensity double",
+    )
+    for ppm, k, floor in ((10.0, 1.5, 0.05), (500.0, 4.0, 0.2)):
+        columns = ["peak_id", "species", "mass", "rt", "intensity", "compound_id", "ion", "theoretical", "rt_mean", "rt_std", "rt_z"]
+        two = C.rt_matches(C.mass_matches(peaks, lib, ppm), pred, k, floor).select(*columns)
+        for width in (0.05, 0.5, 10.0):
+            one = C.window_matches(peaks, lib, pred, ppm, k, floor, rt_bin=width).select(*columns)
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+        assert two.count() > 20
+
+
+def test_training_rows_leave_decoys_out(spark, small):
+    peaks, lib, pred = small
+    cand = C.generate(peaks, lib, pred, X.context_features(peaks), 150.0, 10.0)
+    rows = C.training_rows(cand)
+    assert len(C.FEATURES) == 16 and rows.columns == ["peak_id", "species", "compound_id", *C.FEATURES]
+    assert rows.count() == cand.where("compound_id <> 3").count() < cand.count()
+
+
 def test_probabilities_do_not_depend_on_candidate_order(spark, small):
     peaks, lib, pred = small
     relabel = lib.withColumn("compound_id", 5 - F.col("compound_id"))
@@ -214,6 +242,40 @@ def test_fitted_weights_maximise_the_posterior(spark):
     assert all(objective(w + d) < best for d in 0.05 * np.vstack([np.eye(4), -np.eye(4)]))
 
 
+def test_labelling_round_moves_priors_and_weights(spark):
+    rng = np.random.default_rng(9)
+    rows, truth = [], {}
+    for p in range(120):
+        x = rng.normal(size=3)
+        y = int(np.argmax([0.3, *(1.5 * x + rng.gumbel(size=3) * 0.5)]))
+        truth[p] = y
+        rows.append((p, 0, 0, None, None, None))
+        rows += [(p, i + 1, 0, 10 + (p + i) % 5, False, float(a)) for i, a in enumerate(x)]
+    slots = spark.createDataFrame(rows, "peak_id long, slot int, species long, compound_id long, is_decoy boolean, x double")
+    answer = lambda ps: spark.createDataFrame([(p, 0, truth[p], 10 + (p + truth[p] - 1) % 5 if truth[p] else None) for p in ps], "peak_id long, species long, label int, compound_id long")
+    known = answer(range(30))
+    prior, null = PR.batch_update(known)
+    first = L.fit_round(slots, known.select("peak_id", "label"), prior, null, ["x"])
+    batch = answer([25, 40, 41, 42, 43, 44])  # one of them has a label already
+    second = L.labelling_round(slots, first, batch, ["x"])
+    assert {r["peak_id"] for r in second.labels.collect()} == {*range(30), 40, 41, 42, 43, 44}
+    fresh = [40, 41, 42, 43, 44]
+    chosen = [p for p in fresh if truth[p]]
+    total = lambda s: tuple(s.prior.agg(F.sum(F.col("alpha") - 1), F.sum(F.col("beta") - 1)).first())
+    (a0, b0), (a1, b1) = total(first), total(second)
+    assert a1 - a0 == len(chosen) and b1 - b0 == pytest.approx(0.25 * 2 * len(chosen))
+    n0, n1 = first.null.first(), second.null.first()
+    assert n1["alpha_null"] - n0["alpha_null"] == len(fresh) - len(chosen) and n1["beta_null"] - n0["beta_null"] == len(chosen)
+    # the same optimum from the last weights and from nothing, in no more steps
+    cold = A.fit_weights(second.train, ["x"])
+    assert second.fit["converged"] and second.fit["theta"]["x"] == pytest.approx(cold["theta"]["x"], abs=1e-5)
+    assert second.fit["iterations"] <= cold["iterations"] and second.fit["theta"] != first.fit["theta"]
+    assert second.probs.groupBy("peak_id").agg(F.sum("p").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+    # an answer that repeats what is known changes nothing
+    again = L.labelling_round(slots, second, batch, ["x"])
+    assert total(again) == total(second) and again.fit["theta"]["x"] == pytest.approx(second.fit["theta"]["x"], abs=1e-6)
+
+
 def test_complexity(spark):
     peaks = spark.createDataFrame([(0, 100.0, 5.0), (1, 200.0, 5.0), (2, 300.0, 5.0)], "peak_id long, mass double, rt double")
     lib = spark.createDataFrame([(0, 100.004, 5.1, 0.1), (1, 99.995, 5.0, 0.1), (2, 100.02, 5.0, 0.1), (3, 200.0, 5.3, 0.1)],

@@ -229,6 +229,16 @@ def test_partial_pooling_beats_separate_fits_on_sparse_groups(spark):
     back = SC.score_backoff(far, *state.backoff()[:2], state.features, state.t0)
     rmse = back.select(F.sqrt(F.avg((F.col("pred_mean") - F.col("rt")) ** 2))).first()[0]
     assert rmse < 0.2
+    # a species that was never seen takes its cluster's effect, an unknown cluster nothing
+    strange = far.where("species IN (0, 1)").withColumn("species_cluster", F.when(F.col("species") == 1, 99).otherwise(F.col("species_cluster"))).withColumn("species", F.col("species") + 1000)
+    back = SC.score_backoff(strange, *state.backoff()[:2], state.features, state.t0, clusters=state.cluster_effects())
+    effects = {r["species_cluster"]: r for r in state.cluster_effects().collect()}
+    alpha = {r["comp_id"]: r["alpha"] for r in state.compounds.collect()}
+    for r in back.collect():
+        assert r["effect_of"] == ("cluster" if r["species"] == 1000 else "none")
+        e = effects.get(r["species_cluster"])
+        want = state.t0 + alpha[r["comp_id"]] + (e["mu"] + e["slopes"][0] * r["IS1"] + e["slopes"][1] * r["RS1"] if e else 0.0)
+        assert r["pred_mean"] == pytest.approx(want)
     df.unpersist(), held.unpersist()
 
 
