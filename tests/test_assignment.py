@@ -317,3 +317,25 @@ def test_coherence_mixture_separates_two_populations(spark):
     assert means[1]["mu1"] == pytest.approx(3, abs=0.15) and means[1]["mu0"] == pytest.approx(-2, abs=0.4)
     kept = U.drop_incoherent(mix.select("sample_set_id", "compound_id"), mix)
     assert kept.count() == mix.where("NOT rejected").count()
+
+
+def test_label_runs_are_merged_and_replays_count_once(spark, tmp_path):
+    from peakloom.streaming import monitor as W
+
+    cand = spark.createDataFrame([(p, 10 + (p + i) % 4) for p in range(40) for i in range(3)], "peak_id long, compound_id long")
+    batches = [[(p, p % 2, None if p % 5 == 0 else 10 + p % 4) for p in range(4 * b, 4 * b + 4)] for b in range(10)]
+    frame = lambda rows: spark.createDataFrame(rows, "peak_id long, species long, compound_id long")
+    path = str(tmp_path / "runs")
+    key = lambda df: sorted(map(tuple, df.select("species", "compound_id", "d_alpha", "d_beta").collect()), key=repr)
+    for b, rows in enumerate(batches):
+        W.fold_labels(frame(rows), b, cand, path, merge_every=3)
+        so_far = [r for done in batches[: b + 1] for r in done]
+        assert key(W.prior_increments(spark, path)) == key(PR.label_events(frame(so_far), cand))
+    runs = W._runs(spark, path)
+    assert runs == [(0, 8), (9, 9)] and len(list((tmp_path / "runs").iterdir())) == 2
+    # batches that come again, one inside a merged run, and a run left behind by a failure
+    want = key(W.prior_increments(spark, path))
+    W.fold_labels(frame(batches[9]), 9, cand, path, merge_every=3)
+    W.fold_labels(frame(batches[8]), 8, cand, path, merge_every=3)
+    PR.label_events(frame(batches[7]), cand).write.parquet(W._run_path(path, 7, 7))
+    assert key(W.prior_increments(spark, path)) == want
