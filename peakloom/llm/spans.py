@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import join_on_key, row_key, table
 from peakloom.plans.durable import stored
 
-SPAN = 2
+#: Sentences in a run. Two would also match common short ones: see the README for figures.
+SPAN = 3
 #: Every run with a word counts.
 LEAST_WORDS = 1
 #: A sentence with the marks or line ends behind it; the pieces tile the text.

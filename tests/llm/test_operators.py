@@ -253,7 +253,7 @@ def test_token_count_edges(spark, none, clashing):
 def test_sentence_spans(spark):
     a, b, c, d = ("Alpha beta gamma delta one.", " Second line has words too!", "\nThird sentence follows the others?", " Fourth one closes it.")
     rows = [(3, "Start here now." + " " + a + b + c + d), (1, a + b + c), (2, "Own words. " + a + b), (4, None), (5, ""), (6, "Tiny. Tiny. Tiny. Tiny. Tiny."), (7, a + b + c + a + b + c), (None, a + b + c)]
-    out = {r["doc_id"]: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    out = {r["doc_id"]: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), span=2).collect()}
     assert out[3]["kept"] == "Start here now." + d and out[3]["n_removed"] == 3
     assert out[2]["kept"] == "Own words."
     assert out[1]["kept"] == "" and out[None]["kept"] == a + b + c  # a null id comes first
@@ -265,7 +265,7 @@ def test_sentence_spans(spark):
 def test_short_sentences_count(spark):
     lines = "".join(f"Line {i}.\n" for i in range(40))
     rows = [(1, lines), (2, lines), (None, PROSE * 2 + "One end."), (None, PROSE * 2 + "Other end.")]
-    out = spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    out = spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), span=2).collect()
     got = {(r["doc_id"], r["text"]): r["n_removed"] for r in out}
     assert got[1, lines] == 0 and got[2, lines] == 40
     # texts without an id are documents of their own
