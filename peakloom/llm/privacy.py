@@ -36,20 +36,65 @@ ALPHA = 0.9
 SUPPORT = 2
 
 
+#: Items that one step of a running total goes through; totals of these blocks are added up first.
+BLOCK = 256
+#: Code points of the chunks that a text is cut into, and of the larger ones that hold those.
+CHUNK, WIDE = 1024, 65_536
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(values: Column, start: Column, add) -> Column:
+    step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
+def running(values: Column, add) -> Column:
+    """array<int>: for every item of array<int> what the associative ``add`` makes of 0 and the items
+    before it. Each step copies what it has, so items go in blocks, and the totals of these first."""
+
+    def whole(v):
+        firsts = F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda i: F.slice(v, i, BLOCK))
+
+        def joined(b):
+            totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), add))
+            return F.flatten(F.zip_with(b, _scan(totals, F.lit(0), add), lambda x, at: _scan(x, at, add)))
+
+        return F.when(F.size(v) > 0, _once(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+    return _once(values, whole)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches in order, in code points, end exclusive."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
+    gap = lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value"))
+    steps = _once(values, lambda v: F.zip_with(F.slice(gaps, 1, F.size(v)), v, gap))
+
+    def placed(steps):
+        before = running(F.transform(steps, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        place = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value"))
+        return F.zip_with(steps, before, place)
+
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, _once(steps, placed)).otherwise(none)
+
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+def chunks(text: Column, size: int) -> Column:
+    """The text in pieces of ``size`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}+"), F.lit(0))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, found).otherwise(none)
+
+def _part(cut: Column, start: Column, size: Column) -> Column:
+    """``size`` code points, CHUNK at most, of a text in chunks."""
+    at = F.floor(start / CHUNK).cast("int")
+    near = F.concat(F.coalesce(F.get(cut, at), F.lit("")), F.coalesce(F.get(cut, at + 1), F.lit("")))
+    return F.substring(near, start - at * CHUNK + 1, size)
 
 
 def _luhn(digits: Column) -> Column:
@@ -108,18 +153,22 @@ def listed(spans: Column) -> Column:
 def disclosing_terms(docs: DataFrame, reach: int = REACH, alpha: float = ALPHA, support: int = SUPPORT, term: str = TERM) -> DataFrame:
     """(doc_id, __h, added): the spans of disclosing terms in each document that has some."""
     source = docs.select(*row_key(), "text")
-    found = source.withColumn("s", F.explode(base_spans(F.col("text"))))
-    length = F.length("text")
-    low = F.greatest(F.col("s.start") - reach, F.lit(0))
-    high = F.least(F.col("s.end") + reach, length)
-    # the entity itself is blanked, and words cut by the edge of the surroundings are left out
-    around = F.concat(F.substring("text", low + 1, F.col("s.start") - low), F.repeat(F.lit(" "), F.col("s.end") - F.col("s.start")), F.substring("text", F.col("s.end") + 1, high - F.col("s.end")))
+    # the entity itself is blanked, and words cut by the edge of the surroundings are left out; of the
+    # text only these few characters go on
+    def placed(t):
+        def one(s):
+            low, high = F.greatest(s["start"] - reach, F.lit(0)), F.least(s["end"] + reach, t["size"])
+            parts = F.concat(_part(t["cut"], low, s["start"] - low), F.repeat(F.lit(" "), s["end"] - s["start"]), _part(t["cut"], s["end"], high - s["end"]))
+            return F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), low.alias("low"), (high == t["size"]).alias("whole"), parts.alias("around"))
+
+        return F.transform(t["spans"], one)
+
+    prepared = F.struct(base_spans(F.col("text")).alias("spans"), chunks(F.col("text"), CHUNK).alias("cut"), F.length("text").alias("size"))
+    seen = source.select("doc_id", "__h", F.explode(_once(prepared, placed)).alias("s")).select("doc_id", "__h", "s.*")
     words = F.filter(
         matches(F.col("around"), term),
         lambda m: ((m["start"] > 0) | (F.col("low") == 0)) & ((m["end"] < F.length("around")) | F.col("whole")),
     )
-    entity = F.xxhash64("s.kind", F.lower("s.value"))
-    seen = found.select("doc_id", "__h", entity.alias("entity"), low.alias("low"), (high == length).alias("whole"), around.alias("around"))
     seen = stored(seen.select("doc_id", "__h", "entity", "low", F.xxhash64("around").alias("place"), F.transform(words, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end"))).alias("words")))
     places = seen.groupBy("entity", "place").agg(F.first("words").alias("words"))
     judged_entities = places.groupBy("entity").agg(F.count(F.lit(1)).alias("n_places")).where(F.col("n_places") >= support).select("entity")
@@ -169,16 +218,39 @@ def replacement(kind: Column) -> Column:
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with every span replaced; of spans that overlap the first one names the whole."""
+    """The text with every span replaced; of spans that overlap the first one names the whole.
+
+    Each span cuts what no earlier one has cut. Cuts are dealt to chunks of the text, so that no
+    step goes through more than a chunk.
+    """
+
+    def cuts(s):
+        reached = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        word = lambda x, at: F.when(x["start"] >= at, replacement(x["kind"])).otherwise(F.lit(""))
+        cut = lambda x, at: F.struct(at.alias("before"), F.greatest(x["start"], at).alias("start"), x["end"].alias("end"), word(x, at).alias("word"))
+        return F.filter(F.zip_with(s, reached, cut), lambda x: x["end"] > x["before"])
+
+    def within(cuts, low, size):
+        return F.filter(cuts, lambda x: (x["start"] < low + size) & (x["end"] > low))
+
+    def rest(chunk, low, cuts):
+        """A chunk that starts at ``low`` without the cuts that touch it."""
+
+        def piece(x):
+            at = F.greatest(x["before"], low)
+            return F.concat(F.substring(chunk, at - low + 1, F.greatest(x["start"] - at, F.lit(0))), F.when(x["start"] >= low, x["word"]).otherwise(F.lit("")))
+
+        last = F.greatest(F.element_at(cuts, -1)["end"] - low, F.lit(0))
+        return F.when(F.size(cuts) > 0, F.concat(F.array_join(F.transform(cuts, piece), ""), F.substring(chunk, last + 1, F.lit(CHUNK)))).otherwise(chunk)
+
+    def wide(cuts):
+        def small(part, low):
+            inner = lambda own: F.array_join(F.transform(chunks(part, CHUNK), lambda c, j: _once(within(own, low + j * CHUNK, CHUNK), lambda near: rest(c, low + j * CHUNK, near))), "")
+            return _once(within(cuts, low, WIDE), inner)
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), replacement(s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+        return F.array_join(F.transform(chunks(text, WIDE), lambda part, i: small(part, i * WIDE)), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, _once(_once(F.array_sort(spans), cuts), wide)).otherwise(text)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -367,8 +367,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     copied = mixed.join(different.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("doc_id", "__h", "start", "end")
     many = stored(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowded).select("anchor"))
     wanted = different.groupBy("doc_id", "__h").agg(F.collect_list(F.struct("anchor", "n", "start", "end", "middle")).alias("__w"))
-    text = join_on_key(docs.withColumn("__k", row_key()[1]).withColumnRenamed("__k", "__h"), wanted, "inner")
-    cut = stored(_cut_out(text, kind))
+    keyed = docs.withColumn("__k", row_key()[1]).withColumnRenamed("__k", "__h")
+    # a row that is there several times is cut once
+    often = mixed.groupBy("doc_id", "__h", "start").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = stored(often.select("doc_id", "__h").distinct())
+    if not often.isEmpty():
+        merged = join_on_key(keyed, often, "left_semi").dropDuplicates(["doc_id", "__h"])
+        keyed = join_on_key(keyed, often, "left_anti").unionAll(merged)
+    cut = stored(_cut_out(join_on_key(keyed, wanted, "inner"), kind))
     calm = cut.join(many, "anchor", "left_anti").repartition("anchor").select("doc_id", "__h", "start", "offset", "n", "data")
     spans = f"doc_id {kind}, __h bigint, start bigint, end bigint"
     sorted_ = calm.mapInArrow(_sort_shard(length, gram, queue_tuples, column_bytes), spans)
@@ -471,8 +477,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep=None, **settings)
     """
     docs = docs.drop("n_bytes", "spans", "kept", "__h", "__spans")
     carried = list(docs.columns if keep is None else keep)
-    # at most one range for each anchor of one document
-    found = repeated_spans(docs, length, **settings).groupBy("doc_id", "__h").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    # at most one range for each anchor of one document, however often the row is there
+    found = repeated_spans(docs, length, **settings).groupBy("doc_id", "__h").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
     joined = join_on_key(docs.withColumn("__h", row_key()[1]), stored(found), "left").drop("__h")
 
     def cut(batch):

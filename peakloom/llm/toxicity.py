@@ -7,6 +7,8 @@ did not see the row (out-of-fold predictions), so later models learn how far the
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,9 @@ SAMPLE = 12_000
 DIMENSIONS = 1 << 17
 FOLDS = 3
 RIDGE = 1e-5
-ROUNDS = 60
+#: Steps of a fit at most, and the largest slope of its penalised loss that counts as none.
+ROUNDS = 500
+SETTLED = 1e-4
 
 
 def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +83,7 @@ def telling(rows: Rows, y: np.ndarray, prior: float = 10.0) -> np.ndarray:
 def fit(rows: Rows, y: np.ndarray) -> np.ndarray:
     """Ridge-penalised logistic regression by L-BFGS; the last weight is the intercept. Words are
     scaled by what they tell, and both classes weigh the same. Without two classes only the
-    intercept is set."""
+    intercept is set. A fit that has not settled after ROUNDS steps says so in a warning."""
     w = np.zeros(DIMENSIONS + rows.extra.shape[1])
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1.0)
@@ -98,6 +102,8 @@ def fit(rows: Rows, y: np.ndarray) -> np.ndarray:
     now, grad = value(w)
     steps: list = []
     for _ in range(ROUNDS):
+        if np.abs(grad).max() <= SETTLED:
+            break
         d = -grad
         used = []
         for s, t, rho in reversed(steps):
@@ -110,8 +116,6 @@ def fit(rows: Rows, y: np.ndarray) -> np.ndarray:
         for (s, t, rho), a in zip(steps, reversed(used)):
             d = d + (a - rho * (t @ d)) * s
         slope, size = grad @ d, 1.0
-        if slope > -1e-9:
-            break
         while True:
             new, new_grad = value(w + size * d)
             if new <= now + 1e-4 * size * slope or size < 1e-8:
@@ -121,22 +125,27 @@ def fit(rows: Rows, y: np.ndarray) -> np.ndarray:
         if s @ t > 1e-12:
             steps = [*steps[-7:], (s, t, 1.0 / (s @ t))]
         w, now, grad = w + s, new, new_grad
+    else:
+        warnings.warn(f"fit stopped after {ROUNDS} steps at a slope of {np.abs(grad).max():.1e}", stacklevel=2)
     return scale * w
 
 
 def fit_chain(bounds, index, value, labels: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
-    """One weight vector per category, in order; ``labels`` [row, category]."""
+    """One weight vector per category, in order; ``labels`` [row, category], not a number where
+    unknown. Each category learns from the rows that have its label."""
     n = len(bounds) - 1
     extra = np.ones((n, 1))
     chain = []
     for j in range(labels.shape[1]):
         rows, y = Rows(bounds, index, value, extra), labels[:, j].astype(float)
-        chain.append(fit(rows, y))
+        known = ~np.isnan(y)
+        chain.append(fit(rows.take(known), y[known]))
         if j + 1 < labels.shape[1]:
             apart = np.zeros(n)
             for f in range(FOLDS):
                 test = fold == f
-                apart[test] = sigmoid(rows.take(test).dot(fit(rows.take(~test), y[~test])))
+                learned = known & ~test
+                apart[test] = sigmoid(rows.take(test).dot(fit(rows.take(learned), y[learned])))
             extra = np.column_stack([extra[:, :-1], apart, np.ones(n)])
     return chain
 
@@ -155,17 +164,20 @@ def predict_chain(texts, chain: list[np.ndarray]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> list[np.ndarray]:
     """Fit the chain on at most ``sample`` labelled documents, chosen by a hash of the id.
 
-    Labels that are null in a category are left out, of repeated ids the largest labels count, and
-    documents without text are not learned from. Without labels every probability is near 0.
+    A row counts for the categories in which it has a label. Of repeated ids the largest labels and
+    the text with the least hash count, and documents without text are not learned from. Without
+    labels every probability is near 0.
     """
-    known = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in ("doc_id", *categories)))
+    some = " OR ".join(f"`{c}` IS NOT NULL" for c in categories)
+    known = labels.where(f"doc_id IS NOT NULL AND ({some})")
     known = known.groupBy("doc_id").agg(*[F.max(c).cast("int").alias(f"y{j}") for j, c in enumerate(categories)])
     total = known.count()
     ticket = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30))
     share = min(1.0, 0.95 * sample / max(total, 1))
     picked = known.where(ticket < F.lit(int(share * (1 << 30)))).limit(sample)  # at most ``sample`` narrow rows
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     names = [f"y{j}" for j in range(len(categories))]
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", *names).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(texts):
         bounds, index, value = features(texts)
