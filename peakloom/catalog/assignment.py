@@ -49,6 +49,20 @@ def _(spark, sf):
     return X.partner_features(_peaks(spark, sf), cell_points=0)
 
 
+@query(
+    "J13_partner_pairs",
+    with_views(
+        f""" SELECT a.species, ion, direction, count(*) AS n_pairs, count(DISTINCT a.peak_id) AS n_peaks
+        FROM peaks a, (VALUES ('M+13C', 1.00335e0), ('M+Na', 21.9819e0), ('M+K', 37.9559e0), ('M+NH4', 18.0338e0), ('M-H2O+H', -18.0106e0), ('M-CO2+H', -43.9898e0)) d(ion, shift),
+          (VALUES (1), (-1)) s(direction)
+        JOIN peaks b ON a.species = b.species AND abs(b.mass - (a.mass + direction*shift)) < 1e-2 AND abs(b.rt - a.rt) < 1e-1 GROUP BY 1, 2, 3""",
+        "peaks",
+    ),
+)
+def _(spark, sf):
+    return X.pair_counts(_peaks(spark, sf))
+
+
 @query("F23_coelution_counts", with_views(f", {CO_SQL} SELECT co.peak_id, rt_cluster_size, n_correlated FROM co JOIN cr ON co.peak_id = cr.peak_id", "peaks"))
 def _(spark, sf):
     p = _peaks(spark, sf)

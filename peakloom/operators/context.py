@@ -11,6 +11,7 @@ from peakloom.plans.joins import lookup_join
 from peakloom.plans.ordered import (
     counts_within,
     counts_within_box,
+    counts_of_probes,
     exact_percentiles,
     nearest_within_box,
 )
@@ -40,18 +41,16 @@ ISOTOPE_PROBE = next(i for i, s in _probe_shifts() if s == ION_SHIFTS["M+13C"])
 def _distinct_points(peaks: DataFrame) -> DataFrame:
     """One row per (species, mass, rt): the peak with the smallest id stands for its copies."""
     return peaks.groupBy("species", "mass", "rt").agg(
-        F.min(F.struct("peak_id", "intensity")).alias("_first")
-    ).select("species", "mass", "rt", F.col("_first.peak_id").alias("point"), F.col("_first.intensity").alias("partner_intensity"))
+        F.min(F.struct("peak_id", "intensity")).alias("_first"), F.count(F.lit(1)).alias("copies")
+    ).select("species", "mass", "rt", F.col("_first.peak_id").alias("point"), F.col("_first.intensity").alias("partner_intensity"), "copies")
 
 
-def partners(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
-    """(species, mass, rt, probe, partner_intensity): nearest peak at each ion shift, if any.
+def _cells(points: DataFrame, cell_points: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points in cells, probes in cells, cells with over ``cell_points`` points).
 
     A grid cell is as wide as the search window. Probes are looked up in their own cell, points
-    are entered into every cell a matching probe may fall in. Cells with few distinct points are
-    joined directly; crowded ones are searched in mass order, so no cell produces all its pairs.
+    are entered into every cell a matching probe may fall in.
     """
-    points = stored(_distinct_points(peaks))
     wm, wr, slack = 2 * MASS_WINDOW, 2 * RT_WINDOW, 1e-9
     span = lambda c, half, w: F.sequence(
         F.floor((F.col(c) - half - slack) / w), F.floor((F.col(c) + half + slack) / w)
@@ -68,8 +67,23 @@ def partners(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
         F.concat_ws("_", F.col("origin").cast("string"), F.col("_p.probe").cast("string")).alias("probe_id"),
     ).withColumns({"_cm": F.floor(F.col("mass") / wm), "_cr": F.floor(F.col("rt") / wr)})
     sizes = stored(entered.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_size")))
-    crowded = sizes.where(F.col("_size") > cell_points).select(*_CELL)
+    return entered, probes, sizes.where(F.col("_size") > cell_points).select(*_CELL)
+
+
+def _origin(found: DataFrame, *values: str) -> DataFrame:
+    """(point, probe, values) from the probe's id."""
+    part = lambda i: F.split("probe_id", "_")[i]
+    return found.select(part(0).cast("long").alias("point"), part(1).cast("int").alias("probe"), *values)
+
 
+def partners(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(species, mass, rt, probe, partner_intensity): nearest peak at each ion shift, if any.
+
+    Cells with few distinct points are joined directly; crowded ones are searched in mass order, so
+    no cell produces all its pairs.
+    """
+    points = stored(_distinct_points(peaks))
+    entered, probes, crowded = _cells(points, cell_points)
     sparse_points = lookup_join(entered, crowded, _CELL, "left_anti", hot=crowded)
     found = _pairwise(probes, sparse_points)
     if not crowded.isEmpty():
@@ -80,20 +94,47 @@ def partners(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
             dense_points, dense_probes, _CELL, "rt", RT_WINDOW, "mass", MASS_WINDOW, "point", "probe_id", ["partner_intensity"]
         ).select("probe_id", "partner_intensity")
         found = found.unionByName(near)
-    keyed = found.select(
-        F.split("probe_id", "_")[0].cast("long").alias("point"), F.split("probe_id", "_")[1].cast("int").alias("probe"), "partner_intensity"
-    )
-    return keyed.join(points.select("point", "species", "mass", "rt"), ["point"])
+    return _origin(found, "partner_intensity").join(points.select("point", "species", "mass", "rt"), ["point"])
 
 
-def _pairwise(probes: DataFrame, points: DataFrame) -> DataFrame:
-    """Direct comparison inside cells of bounded size."""
+def pair_counts(peaks: DataFrame, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(species, ion, direction, n_pairs, n_peaks): pairs of peaks of a species that are one ion shift
+    apart in mass and close in time, and the peaks that have such a partner above (direction 1) or
+    below (-1). Combinations without a pair are absent; peaks without mass or time have no partners.
+
+    Pairs are formed in cells of few points only; in crowded ones they are differences of running
+    counts. Equal points count as often as they occur, on either side.
+    """
+    points = stored(_distinct_points(peaks.where("mass IS NOT NULL AND rt IS NOT NULL")))
+    entered, probes, crowded = _cells(points, cell_points)
+    sparse = _near_pairs(probes, lookup_join(entered, crowded, _CELL, "left_anti", hot=crowded))
+    found = sparse.groupBy("probe_id").agg(F.sum("copies").alias("n"))
+    if not crowded.isEmpty():
+        dense_points = lookup_join(entered, crowded, _CELL, "left_semi", hot=crowded)
+        dense_probes = lookup_join(probes, crowded, _CELL, "left_semi", hot=crowded)
+        dense = counts_of_probes(dense_points, dense_probes, _CELL, "rt", RT_WINDOW, "mass", MASS_WINDOW, "point", "probe_id", "copies", "n")
+        # a probe has one cell; those without a partner have a difference of zero
+        found = found.unionByName(dense.where("n > 0").select("probe_id", "n"))
+    ions = [n for n, s in ION_SHIFTS.items() if s != 0.0]
+    joined = _origin(found, "n").join(points.select("point", "species", "copies"), ["point"])
+    return joined.groupBy(
+        "species", F.get(F.array(*[F.lit(n) for n in ions]), F.col("probe") % len(ions)).alias("ion"),
+        F.when(F.col("probe") < len(ions), 1).otherwise(-1).alias("direction"),
+    ).agg(F.sum(F.col("n") * F.col("copies")).alias("n_pairs"), F.sum("copies").alias("n_peaks"))
+
+
+def _near_pairs(probes: DataFrame, points: DataFrame) -> DataFrame:
+    """Probes with the points in their window, compared directly inside cells of bounded size."""
     right = points.select(
-        *_CELL, F.col("mass").alias("_pm"), F.col("rt").alias("_pr"), "point", "partner_intensity"
+        *_CELL, F.col("mass").alias("_pm"), F.col("rt").alias("_pr"), "point", "partner_intensity", "copies"
     )
-    pairs = lookup_join(probes, right, _CELL, "inner").where(
+    return lookup_join(probes, right, _CELL, "inner").where(
         (F.abs(F.col("_pm") - F.col("mass")) < MASS_WINDOW) & (F.abs(F.col("_pr") - F.col("rt")) < RT_WINDOW)
     )
+
+
+def _pairwise(probes: DataFrame, points: DataFrame) -> DataFrame:
+    pairs = _near_pairs(probes, points)
     near = F.min(F.struct(F.abs(F.col("_pm") - F.col("mass")).alias("d"), "point", "partner_intensity"))
     return pairs.groupBy("probe_id").agg(near.alias("_n")).select("probe_id", F.col("_n.partner_intensity").alias("partner_intensity"))
 

@@ -306,6 +306,20 @@ def counts_within_box(
     return _signed_counts(ranged, marks, block, second, float(second_width), [first, second], out)
 
 
+def counts_of_probes(
+    points: DataFrame, probes: DataFrame, keys: Sequence[str], window_axis: str, window_width: float,
+    axis: str, axis_width: float, point_id: str, probe_id: str, weight: str, out: str,
+) -> DataFrame:
+    """(keys, probe id, out): sum of the integer ``weight`` of the points inside both strict windows
+    around every probe. Probes with no point in the first window are absent."""
+    keys = list(keys)
+    placed, ranged = range_blocks(*window_ranges(points, probes, keys, window_axis, window_width, [point_id], [probe_id]))
+    block = [*keys, "_level", "_block"]
+    none = F.lit(None).cast(probes.schema[probe_id].dataType)
+    marks = placed.select(*block, F.col(axis).alias("_at"), none.alias("_i0"), F.col(weight).alias("_n"))
+    return _signed_counts(ranged, marks, block, axis, float(axis_width), [probe_id], out)
+
+
 def nearest_within_box(
     points: DataFrame, probes: DataFrame, keys: Sequence[str], window_axis: str, window_width: float,
     axis: str, axis_width: float, point_id: str, probe_id: str, payload: Sequence[str],

@@ -137,6 +137,23 @@ def test_partner_features_against_brute_force(crowded_peaks, monkeypatch, cell_p
             assert got.loc[r.peak_id, "isotope_score"] == want
 
 
+@pytest.mark.parametrize("cell_points,task_bytes", [(64, 1 << 40), (5, 1 << 40), (0, -1)])
+def test_pair_counts_against_brute_force(crowded_peaks, monkeypatch, cell_points, task_bytes):
+    monkeypatch.setattr(O, "TASK_BYTES", task_bytes)
+    df, pdf = crowded_peaks
+    got = {(r["species"], r["ion"], r["direction"]): (r["n_pairs"], r["n_peaks"]) for r in X.pair_counts(df, cell_points).collect()}
+    want = {}
+    for r in pdf.itertuples():
+        part = pdf[(pdf["species"] == r.species) & ((pdf["rt"] - r.rt).abs() < 0.1)]
+        for ion, shift in X.ION_SHIFTS.items():
+            for direction in (1, -1):
+                n = ((part["mass"] - (r.mass + direction * shift)).abs() < 0.01).sum() if shift else 0
+                if n:
+                    pairs, peaks = want.get((r.species, ion, direction), (0, 0))
+                    want[r.species, ion, direction] = (pairs + n, peaks + 1)
+    assert got == want and len(want) > 8
+
+
 def test_top_k_is_exact_under_skew(skewed):
     facts, pdf = skewed
     got = top_k_per_group(facts, ["k"], [F.desc("v"), F.col("id")], 3, ["id"], salts=4, rank="r")
