@@ -3,7 +3,11 @@
 import random
 import re
 
-from peakloom.llm import simhash
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from peakloom.llm import minhash, simhash
 
 
 def shingles(text):
@@ -43,3 +47,36 @@ def test_near_copies_of_five_words(spark):
     got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     want = kept_of(rows)
     assert sorted(r["doc_id"] for r in got.collect()) == want and 60 < len(want) < 110
+
+
+@pytest.mark.parametrize("bucket", [0, 64])
+def test_template_with_close_pairs(spark, monkeypatch, bucket):
+    """150 texts of one template, about 0.7 alike, and 20 edited copies among them."""
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
+    rng = random.Random(5)
+    frame = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [edited(rng, frame, 5) for _ in range(150)]
+    texts += [edited(rng, t, 2) for t in texts[:20]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    want = kept_of(rows)
+    assert sorted(r["doc_id"] for r in got.collect()) == want and 100 < len(want) <= 150
+
+
+def test_rare_shingles_miss_no_pair(spark):
+    rng = random.Random(9)
+    frame = [f"w{rng.randrange(900)}" for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        words = edited(rng, frame, rng.randrange(6))[: rng.randrange(60, 121)]
+        texts += [" ".join(words), " ".join(edited(rng, words, rng.randrange(3))), " ".join(words[: rng.randrange(len(words))])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "one", "two", "", None])], "doc_id bigint, text string")
+    sets = minhash.described(docs).dropDuplicates(["sh"]).cache()
+    crowd = sets.select("sh", F.col("sh").alias("comp"))
+    got = {(r["a"], r["b"]) for r in minhash._sharing(minhash._rare_first(crowd, sets, docs)).collect()}
+    own = {r["sh"]: minhash.shingles(r["text"]) for r in sets.join(docs, "doc_id").select("sh", "text").collect()}
+    ids = sorted(own)
+    every = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    near = {(a, b) for a, b in every if minhash.jaccard(own[a], own[b]) >= minhash.SIMILARITY}
+    assert near <= got and 50 < len(near) and len(got) < len(every) / 2
+    assert all(np.isin(own[a], own[b]).any() for a, b in got)
