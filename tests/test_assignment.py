@@ -107,6 +107,29 @@ def test_one_join_on_mass_and_time_equals_two_steps(spark):
         assert two.count() > 20
 
 
+def test_ions_and_predictions_of_a_large_library_are_not_broadcast(spark):
+    n = 60_000  # some 600,000 rows of ions and bins
+    lib = spark.range(n).selectExpr("id AS compound_id", "100 + 0.03 * id AS mass", "id % 4 = 3 AS is_decoy")
+    pred = spark.range(n).selectExpr("0L AS species", "id AS compound_id", "id % 9 * 1D AS rt_mean", "0.1D AS rt_std")
+    peaks = spark.range(n).selectExpr("id AS peak_id", "0L AS species", "100 + 0.03 * id AS mass", "id % 9 * 1D AS rt", "1D AS intensity", "id AS true_compound")
+    context = peaks.select("peak_id", *[F.lit(0.0).alias(c) for c in C.CONTEXT])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(C.mass_matches(peaks, lib)) + plan(C.window_matches(peaks, lib, pred))
+    assert "BroadcastHashJoin [compound_id" not in plan(C.generate(peaks, lib, pred, context))
+
+
+def test_repeated_ids_have_one_row_per_compound(spark):
+    peaks = spark.createDataFrame([(i, 0, m, 1.0, 1.0) for i, m in ((0, 100.4), (1, 100.6), (2, 119.0))], "peak_id long, species long, mass double, rt double, intensity double")
+    lib = spark.createDataFrame([(7, 100.0, False), (8, 101.0, True)], "compound_id long, mass double, is_decoy boolean")
+    pred = spark.createDataFrame([(0, 7, 1.0, 0.5), (0, 8, 1.0, 0.5)], "species long, compound_id long, rt_mean double, rt_std double")
+    twice = lambda df: df.unionByName(df)
+    for find in (lambda p, c: C.mass_matches(p, c, 10000.0), lambda p, c: C.window_matches(p, c, pred, 10000.0)):
+        once = sorted(map(tuple, find(peaks, lib).collect()))
+        assert len(once) == len({(r[0], r[5]) for r in once}) > 4
+        assert sorted(map(tuple, find(twice(peaks), lib).collect())) == once
+        assert sorted(map(tuple, find(peaks, twice(lib)).collect())) == once
+
+
 def test_training_rows_leave_decoys_out(spark, small):
     peaks, lib, pred = small
     cand = C.generate(peaks, lib, pred, X.context_features(peaks), 150.0, 10.0)
