@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.values import normal_quantile
@@ -28,15 +28,41 @@ def select_peaks(peaks: DataFrame, buffer: float = 0.02) -> DataFrame:
     inside = peaks.where(F.abs(F.col("rt") - F.col("rt_mean")) <= F.col("half_width")).withColumn(
         "delta", F.col("rt_mean") - F.col("rt")
     )
-    inside = stored(inside)
-    factors = exact_percentiles(inside, SET_KEYS, "delta", {"correction": 0.5})
-    moved = lookup_join(inside, factors, SET_KEYS, "inner").withColumn("offset", F.abs(F.col("delta") - F.col("correction")))
+    if _large_group(inside):
+        inside = stored(inside)
+        factors = exact_percentiles(inside, SET_KEYS, "delta", {"correction": 0.5})
+        moved = lookup_join(inside, factors, SET_KEYS, "inner")
+    else:
+        # dealt once by sample set and compound; the median and the best peak of a task need no other shuffle
+        moved = _with_median(inside.where(" AND ".join(f"{k} IS NOT NULL" for k in SET_KEYS)).repartition(*SET_KEYS))
+    moved = moved.withColumn("offset", F.abs(F.col("delta") - F.col("correction")))
     rest = [c for c in moved.columns if c not in ("sample_set_id", "task_id", "compound_id", "offset", "peak_id")]
     best = moved.groupBy("sample_set_id", "task_id", "compound_id").agg(F.min(F.struct("offset", "peak_id", *rest)).alias("_b"))
     kept = best.select("sample_set_id", "task_id", "compound_id", "_b.*")
     return kept.where(F.col("offset") <= buffer)
 
 
+# Peaks of a sample set and compound that one task orders on its own.
+GROUP_ROWS = 200_000
+
+
+def _large_group(inside: DataFrame) -> bool:
+    """Whether a (sample set, compound) has more than GROUP_ROWS peaks."""
+    sizes = inside.groupBy(*SET_KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.where(F.col("_n") > GROUP_ROWS).isEmpty()
+
+
+def _with_median(inside: DataFrame) -> DataFrame:
+    """Rows with ``correction``, the median of ``delta`` of their group as exact_percentiles works it out."""
+    group = Window.partitionBy(*SET_KEYS)
+    last = F.count("delta").over(group) - 1
+    numbered = inside.withColumns({"_at": F.row_number().over(group.orderBy("delta")) - 1, "_pos": F.lit(0.5) * last})
+    low, high = (F.max(F.when(F.col("_at") == at, F.col("delta"))).over(group) for at in (F.floor("_pos"), F.ceil("_pos")))
+    found = numbered.withColumns({"_low": low, "_high": high})
+    median = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos"))
+    return found.withColumn("correction", median).drop("_at", "_pos", "_low", "_high")
+
+
 def coherence_scores(selected: DataFrame, level: float = 0.95) -> DataFrame:
     """(sample_set_id, compound_id, x, n_tasks): mean retention log-likelihood over tasks."""
     sigma = F.col("half_width") / F.lit(normal_quantile(level))
