@@ -57,9 +57,9 @@ def _(spark, sf):
     """The tree holds a file that is no Parquet."""
 
     def write(path):
-        rows = spark.read.parquet(_peak_shards(spark, sf))
-        rows.write.partitionBy("lib_id", "species_matrix_type").parquet(path)
-        one = rows.select("lib_id", "species_matrix_type").first()
+        # one write of the tree; a copy of the shards would be written and read a second time
+        sinks.write_sharded(view(spark, sf, "raw_peaks"), path, ["lib_id", "species_matrix_type"])
+        one = spark.read.parquet(path).select("lib_id", "species_matrix_type").first()
         broken = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lib_id={one[0]}/species_matrix_type={one[1]}/zz-broken.parquet")
         out = broken.getFileSystem(spark._jsc.hadoopConfiguration()).create(broken)
         out.write(bytearray(b"this is no parquet file"))

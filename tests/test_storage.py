@@ -207,3 +207,17 @@ def test_bundle_scan_takes_as_many_jobs_for_many_files(spark, tmp_path):
         return found
 
     assert jobs(2) == jobs(20) > 0
+
+
+def test_the_broken_tree_is_written_once(spark, tmp_path, monkeypatch):
+    from peakloom.catalog import load, storage
+
+    spark.range(200).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "id % 50 AS l_partkey", "1D AS l_extendedprice", "id % 4 AS l_suppkey", "timestamp'2024-01-02' AS l_shipdate",
+        "'A' AS l_returnflag", "0.01D AS l_tax", "id % 9 * 1D AS l_quantity", "0.02D AS l_discount",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(4).selectExpr("id AS s_suppkey", "cast(id % 2 AS int) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(2).selectExpr("cast(id AS int) AS n_nationkey", "cast(id AS int) AS n_regionkey", "'x' AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    monkeypatch.setattr(storage, "_peak_shards", lambda *a: pytest.fail("a second copy of the rows"))
+    got = {r["correct"]: r["n_rows"] for r in load()[0]["S2_scan_skipping_corrupt"](spark, str(tmp_path)).collect()}
+    assert sum(got.values()) == 200 and got[0] == 8
