@@ -362,3 +362,37 @@ def test_label_runs_are_merged_and_replays_count_once(spark, tmp_path):
     W.fold_labels(frame(batches[8]), 8, cand, path, merge_every=3)
     PR.label_events(frame(batches[7]), cand).write.parquet(W._run_path(path, 7, 7))
     assert key(W.prior_increments(spark, path)) == want
+
+
+def test_median_shift_needs_no_table_and_equals_the_ordered_scan(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(s), int(t), int(c), i, float(np.round(5 + rng.normal(0, 0.02), 3)), 5.0, 0.15) for i, (s, t, c) in enumerate(rng.integers(0, 4, (600, 3)))]
+    rows += [(None, 0, 0, 900, 5.0, 5.0, 0.15), (0, 0, None, 901, 5.0, 5.0, 0.15), (9, 0, 0, 902, None, 5.0, 0.15)]
+    peaks = spark.createDataFrame(rows, "sample_set_id long, task_id long, compound_id long, peak_id long, rt double, rt_mean double, half_width double")
+    monkeypatch.setattr(U, "GROUP_ROWS", 0)
+    scanned = U.select_peaks(peaks)
+    want = sorted(map(tuple, scanned.collect()))
+    monkeypatch.setattr(U, "GROUP_ROWS", 200_000)
+    monkeypatch.setattr(U, "stored", lambda df: pytest.fail("groups of a few rows are dealt once"))
+    got = U.select_peaks(peaks)
+    assert got.columns == scanned.columns and sorted(map(tuple, got.collect())) == want and len(want) > 30
+
+
+def test_only_cells_with_a_large_share_are_salted(spark, monkeypatch):
+    joined, seen = X.lookup_join, []
+
+    def watch(facts, dim, on, how="left", hot=None, **rest):
+        if hot is not None:
+            seen.append(hot.count())
+        return joined(facts, dim, on, how, hot, **rest)
+
+    # 300 pairs at the sodium shift, each in cells of its own
+    points = [(2 * i + j, 0, 200.0 + i + j * 21.9819, 5.0 + (i % 7), 10.0 + i + j) for i in range(300) for j in (0, 1)]
+    peaks = spark.createDataFrame(points, "peak_id long, species long, mass double, rt double, intensity double")
+    want = sorted(map(tuple, X.partner_features(peaks).collect()))
+    counts = sorted(map(tuple, X.pair_counts(peaks).collect()))
+    monkeypatch.setattr(X, "lookup_join", watch)
+    monkeypatch.setattr(X, "CROWDED_BYTES", -1, raising=False)
+    assert sorted(map(tuple, X.partner_features(peaks, cell_points=0).collect())) == want
+    assert sorted(map(tuple, X.pair_counts(peaks, cell_points=0).collect())) == counts
+    assert seen and max(seen) <= 256
