@@ -118,6 +118,18 @@ def test_ions_and_predictions_of_a_large_library_are_not_broadcast(spark):
     assert "BroadcastHashJoin [compound_id" not in plan(C.generate(peaks, lib, pred, context))
 
 
+def test_tables_that_grow_with_the_peaks_are_not_broadcast(spark):
+    n = 60_000  # a few bytes a row as Parquet
+    peaks = spark.range(n).selectExpr("id AS peak_id", "0L AS species", "100 + 0.05 * id AS mass", "0.1 * id AS rt", "1D + id % 7 AS intensity", "id AS true_compound")
+    probs = peaks.selectExpr("peak_id", "1 AS slot", "true_compound AS compound_id", "0.9D AS p")
+    truth = peaks.select("peak_id", "true_compound")
+    pairs = A.evaluation_pairs(probs, A.assign(probs, 0.3), truth)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (X.coelution_counts(peaks), X.correlated_counts(peaks), pairs, A.peak_metrics(pairs, truth)):
+        assert "BroadcastHashJoin" not in plan(df)
+    assert X.correlated_counts(peaks).agg(F.count("*"), F.sum("n_correlated")).first()[0] == n
+
+
 def test_repeated_ids_have_one_row_per_compound(spark):
     peaks = spark.createDataFrame([(i, 0, m, 1.0, 1.0) for i, m in ((0, 100.4), (1, 100.6), (2, 119.0))], "peak_id long, species long, mass double, rt double, intensity double")
     lib = spark.createDataFrame([(7, 100.0, False), (8, 101.0, True)], "compound_id long, mass double, is_decoy boolean")
