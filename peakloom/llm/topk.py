@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.common import table
 from peakloom.plans.durable import discard, stored
+from peakloom.plans.joins import grown_join
 
 TOP = 20
 EVERY = 20
@@ -27,7 +28,9 @@ QUERY_BLOCK, ROW_BLOCK = 4_096, 2_048
 SLACK = 4
 _TILE = 512
 _LEAST = np.iinfo(np.int64).min
-BLOCK = "block bigint, n bigint, norm double, ids binary, vectors binary"
+BLOCK = "block bigint, n bigint, norm double, kind string, ids binary, vectors binary"
+#: Whole numbers travel in the narrowest of these types that holds them.
+_KINDS = ("<i1", "<i2", "<i4")
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -51,8 +54,10 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
                 m[i, : len(v)] = v  # a shorter vector counts as ending in zeros
             m = np.floor(64.0 * m)
             count += 1
-            row = {"block": [(part << 32) + count], "n": [len(ids)], "norm": [float(np.sqrt((m**2).sum(axis=1)).max())], "ids": [np.array(ids, np.int64).tobytes()], "vectors": [m.tobytes()]}
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("norm", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+            most = np.abs(m).max(initial=0)
+            kind = next((k for k in _KINDS if most <= np.iinfo(k).max), "<f8")
+            row = {"block": [(part << 32) + count], "n": [len(ids)], "norm": [float(np.sqrt((m**2).sum(axis=1)).max())], "kind": [kind], "ids": [np.array(ids, np.int64).tobytes()], "vectors": [m.astype(kind).tobytes()]}
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("norm", pa.float64()), ("kind", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
         for batch in batches:
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
@@ -67,9 +72,9 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, BLOCK)
 
 
-def _unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(kind: str, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, dtype=np.int64)
-    return i, np.frombuffer(vectors, dtype=np.float64).reshape(len(i), -1)
+    return i, np.frombuffer(vectors, dtype=kind).astype(np.float64).reshape(len(i), -1)
 
 
 def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -87,8 +92,8 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _tiles(row: dict):
     """(positions of the queries, ids of candidates, scores) with each query's own row at the least value."""
-    qids, q = _unpack(row["q_ids"], row["q_vectors"])
-    cids, c = _unpack(row["ids"], row["vectors"])
+    qids, q = _unpack(row["q_kind"], row["q_ids"], row["q_vectors"])
+    cids, c = _unpack(row["kind"], row["ids"], row["vectors"])
     for at in range(0, len(qids), _TILE):
         s = scores(q[at : at + _TILE], c)
         mine = {}
@@ -102,13 +107,14 @@ def _tiles(row: dict):
 
 def _paired(candidates: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, at: list) -> DataFrame:
     """Every block of candidates with every block of queries. Both are dealt out by (query block,
-    salt), so neither side has to fit into a task or a broadcast."""
+    salt), so neither side has to fit into a task or a broadcast. Files of blocks are small for their
+    rows and say nothing of the salts, so the join is merged whatever their size."""
     spark = candidates.sparkSession
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     salts = max(1, min(n_rows, -(-wanted // max(1, n_queries))))
     left = candidates.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(n_queries))))
     right = queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, ["q", "salt"]).select("q", "q_ids", "q_vectors", *at, "ids", "vectors")
+    return left.join(right.hint("merge"), ["q", "salt"]).select("q", "q_kind", "q_ids", "q_vectors", *at, "kind", "ids", "vectors")
 
 
 def top_k(embeddings: DataFrame, is_query, k: int = TOP, bins: int = BINS, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
@@ -127,7 +133,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = TOP, bins: int = BINS, query
     if not n_queries:
         return embeddings.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     number = blocks.select("block").withColumn("q", F.row_number().over(Window.orderBy("block")))  # a row per block
-    queries = stored(blocks.join(number, "block").select("q", F.col("n").alias("q_n"), F.col("norm").alias("q_norm"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
+    queries = stored(blocks.join(number.hint("merge"), "block").select("q", F.col("n").alias("q_n"), F.col("norm").alias("q_norm"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
     # all scores lie within the product of the norms
     reach = F.least(F.ceil(F.col("q_norm") * F.lit(float(size["norm"])) + 1.0), F.lit((1 << 62) - 1)).cast("long")
     every = F.sequence(F.lit(0), (F.col("q_n") - 1).cast("int"))
@@ -141,7 +147,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = TOP, bins: int = BINS, query
     else:
         raise RuntimeError("the k-th score was not found")
     bounds = state.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("pos", "lo"))).alias("b")).select("q", F.transform("b", lambda x: x["lo"]).alias("lo"))
-    found = _paired(candidates, queries.join(bounds, "q"), size["blocks"], n_queries, ["lo"]).mapInArrow(_above(k), "q int, pos int, query_id bigint, vec_id bigint, score bigint")
+    found = _paired(candidates, queries.join(bounds.hint("merge"), "q"), size["blocks"], n_queries, ["lo"]).mapInArrow(_above(k), "q int, pos int, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("q", "pos").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -168,7 +174,7 @@ def _histogram(candidates, queries, state, n_rows, n_queries, bins):
                         names=["q", "pos", "bin", "n"],
                     )
 
-    paired = _paired(candidates, queries.join(packed, "q"), n_rows, n_queries, ["lo", "hi", "width", "done"])
+    paired = _paired(candidates, queries.join(packed.hint("merge"), "q"), n_rows, n_queries, ["lo", "hi", "width", "done"])
     return paired.mapInArrow(run, "q int, pos int, bin int, n bigint").groupBy("q", "pos", "bin").agg(F.sum("n").alias("n"))
 
 
@@ -179,13 +185,13 @@ def _field(name):
 def _narrow(state, counts, k, bins):
     """Shrink every open range to the bin that holds the k-th best score."""
     down = Window.partitionBy("q", "pos").orderBy(F.col("bin").desc())  # at most ``bins`` rows
-    cum = state.where(~F.col("done")).join(counts, ["q", "pos"]).withColumn("from_top", F.sum("n").over(down) + F.col("above"))
+    cum = grown_join(counts, state.where(~F.col("done")), ["q", "pos"]).withColumn("from_top", F.sum("n").over(down) + F.col("above"))
     hit = cum.where((F.col("from_top") >= k) & (F.col("from_top") - F.col("n") < k))
     moved = hit.select(
         "q", "pos", F.expr(f"lo + bin * ((hi - lo) div {bins} + 1)").alias("lo2"), F.expr(f"least(hi, lo + (bin + 1) * ((hi - lo) div {bins} + 1) - 1)").alias("hi2"),
         (F.col("from_top") - F.col("n")).alias("above2"), (F.col("from_top") <= SLACK * k).alias("few"),
     )
-    out = state.join(moved, ["q", "pos"], "left")
+    out = grown_join(state, moved, ["q", "pos"], "left")
     # a query without k scores in all keeps everything from its lower end on
     found = F.col("lo2").isNotNull()
     return out.select(

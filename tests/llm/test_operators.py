@@ -364,6 +364,17 @@ def test_top_k_edges(spark):
     assert [tuple(r) for r in topk.top_k(two, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 21, -64 * 128)]
 
 
+def test_blocks_are_narrow_and_never_broadcast(spark):
+    """Files of blocks are far smaller than their rows, which the salts repeat besides."""
+    df = spark.createDataFrame([(i, [float(i % 3), -1.5]) for i in range(40)] + [(99, [2.0**40, 1.0])], "vec_id bigint, embedding array<float>")
+    blocks = topk.pack(df.where("vec_id < 40").coalesce(1), 8)
+    assert {(r["kind"], len(r["vectors"])) for r in blocks.where("n = 8").collect()} == {("<i2", 8 * 2 * 2)}
+    assert [r["kind"] for r in topk.pack(df.where("vec_id = 99"), 8).collect()] == ["<f8"]
+    queries = blocks.select(F.lit(1).alias("q"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    plan = topk._paired(topk.stored(blocks), topk.stored(queries), 5, 1, [])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_scores_are_exact_beyond_doubles():
     a = np.array([[2.0**40, 1.0], [2.0**20, 3.0]])
     assert topk.scores(a, a).tolist() == [[np.iinfo(np.int64).max, 2**60 + 3], [2**60 + 3, 2**40 + 9]]
