@@ -142,6 +142,19 @@ def test_repeated_ids_have_one_row_per_compound(spark):
         assert sorted(map(tuple, find(peaks, twice(lib)).collect())) == once
 
 
+def test_decoy_flags_come_with_the_ions(spark, small):
+    """Candidates are not dealt by compound once more for a flag; repeated compounds still repeat."""
+    peaks, library, rt_pred = small
+    library = library.withColumn("is_decoy", F.col("compound_id") == 1)
+    context = X.context_features(peaks)
+    one = C.generate(peaks, library, rt_pred, context)
+    twice = C.generate(peaks, library.unionAll(library), rt_pred, context)
+    key = lambda df: sorted(map(tuple, df.select("peak_id", "compound_id", "ion", "is_decoy", F.round("rt_z", 9)).collect()))
+    assert key(twice) == sorted(key(one) * 2) and any(r[3] for r in key(one))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(one) == joins(twice) - 1
+
+
 def test_training_rows_leave_decoys_out(spark, small):
     peaks, lib, pred = small
     cand = C.generate(peaks, lib, pred, X.context_features(peaks), 150.0, 10.0)
@@ -216,6 +229,42 @@ def test_draws(spark, probs):
         A.draw_probabilities(slots, [])
 
 
+def test_draws_of_odd_rows(spark, monkeypatch):
+    """Nulls make a peak's probabilities null, repeated rows are added up, noise is that of the SQL hash;
+    a few logits at a time and a batch per row change nothing, and no row is made per slot and draw."""
+    from peakloom.functions.values import hash_fraction
+
+    rows = [(1, 0, None, None, -0.7), (1, 1, 10, 0.5, -0.2), (1, 1, 10, 0.5, -0.2), (2, 0, None, None, -0.7), (2, 1, 11, None, -0.2), (None, 0, None, None, -0.7), (None, 1, 12, 1.0, 0.1), (3, 0, None, None, 0.0)]
+    slots = spark.createDataFrame(rows, "peak_id long, slot int, compound_id long, x double, log_pi double").coalesce(1)
+    draws = [{"theta0": 0.1 * i, "theta_null": 0.2, "theta": {"x": 1.0 - i}, "sigma_logit": 0.5} for i in range(3)]
+    table = spark.createDataFrame([(i,) for i in range(3)], "draw int")
+    unit = slots.select("peak_id", "slot").distinct().crossJoin(table)
+    unit = unit.select("*", *[hash_fraction(["peak_id", "slot", "draw"], s).alias(f"u{s}") for s in (7, 8)])
+    noise = {(r["peak_id"], r["slot"], r["draw"]): 0.5 * math.sqrt(-2 * math.log(max(r["u7"], 1e-12))) * math.cos(2 * math.pi * r["u8"]) for r in unit.collect()}
+    want = {}
+    for peak in (1, 2, 3, None):
+        for d, w in enumerate(draws):
+            own = [r for r in rows if r[0] == peak]
+            e = [None if r[1] and r[3] is None else math.exp((w["theta0"] + w["theta"]["x"] * r[3] if r[1] else 0.2) + r[4] + noise[peak, r[1], d]) for r in own]
+            for r, v in zip(own, e):
+                want.setdefault((peak, r[1], r[2]), []).append(None if None in e else v / sum(e))
+    for logits in (1, 1_000_000):
+        monkeypatch.setattr(A, "_LOGITS", logits)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1" if logits == 1 else "10000")
+        try:
+            long, mean = (f(slots, draws, noise_seed=7) for f in (A.draw_probabilities, A.mean_draw_probabilities))
+            got = {}
+            for r in long.collect():
+                got.setdefault((r["peak_id"], r["slot"], r["compound_id"]), []).append(r["p"])
+            assert {k: sorted(map(str, (v and round(v, 9) for v in p))) for k, p in got.items()} == {k: sorted(map(str, (v and round(v, 9) for v in p))) for k, p in want.items()}
+            means = {(r["peak_id"], r["slot"], r["compound_id"]): r["p"] for r in mean.collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert means == {k: None if None in p else pytest.approx(sum(p) / len(p), abs=1e-12) for k, p in want.items()}
+        plan = long._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "lambda" not in plan
+
+
 def test_acquisition(probs):
     score = lambda name, **k: {r["peak_id"]: r["score"] for r in L.acquisition(probs, name, **k).collect()}
     assert score("fp", threshold=0.6)[1] == pytest.approx(0.3) and score("fp", threshold=0.6)[2] == 0
