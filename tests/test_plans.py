@@ -1,5 +1,7 @@
 """Plan shapes give the plain answer on skewed inputs, on every path."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from peakloom.operators import context as X
 from peakloom.operators import preparation as P
+from peakloom.plans import durable as D
 from peakloom.plans import joins as J
 from peakloom.plans import ordered as O
 from peakloom.plans.topk import top_k_per_group
@@ -186,3 +189,22 @@ def test_mass_join_has_no_product(spark):
     peaks = spark.range(200).selectExpr("id AS peak_id", "0L AS species", "100e0 + id * 0.013 AS mass", "1e0 AS rt", "1e0 AS intensity")
     plan = mass_matches(peaks, lib)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_stored_tables_leave_no_shuffle_files_and_settled_ones_no_steps(spark, tmp_path):
+    """What a written table was made from takes no disk any more."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    steps = []
+
+    def build():
+        steps.append(D.stored(spark.range(1000).repartition(4, "id")))
+        steps.append(D.settled(lambda: steps[0].groupBy(F.col("id") % 7).count(), keep=True))
+        return steps[0].groupBy((F.col("id") % 10).alias("k")).count()
+
+    before = spark.conf.get(setting, None)
+    shuffles = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    out = D.settled(build)
+    assert spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size() <= shuffles
+    assert rows(out, "k", "count") == [(k, 100) for k in range(10)] and spark.conf.get(setting, None) == before
+    assert [os.path.exists(df._stored_at.removeprefix("file:")) for df in (*steps, out)] == [False, True, True]
+    assert D._open.scopes == []
