@@ -208,3 +208,26 @@ def test_stored_tables_leave_no_shuffle_files_and_settled_ones_no_steps(spark, t
     assert rows(out, "k", "count") == [(k, 100) for k in range(10)] and spark.conf.get(setting, None) == before
     assert [os.path.exists(df._stored_at.removeprefix("file:")) for df in (*steps, out)] == [False, True, True]
     assert D._open.scopes == []
+
+
+@pytest.mark.parametrize("task_rows", [100, 1, 10_000])
+def test_large_tables_of_small_keys_are_dealt_by_key(spark, skewed, monkeypatch, task_rows):
+    """Only keys with many rows are cut into ranges; null is a key, and the result is the plain one."""
+    facts, _ = skewed
+    facts = facts.withColumn("k", F.when(F.col("k") != 3, F.col("k")))
+    scan = lambda size: O.ordered_scan(facts, ["k"], ["v", "id"], {"s": "id"}, {"m": "w"}, {"f": "w"}, totals=True, task_bytes=size)
+    cols = ["id", "k", "v", "s", "s_total", "m", "f"]
+    want = sorted(map(str, scan(1 << 40).select(cols).collect()))
+    cut, chunked = [], O._chunked_scan
+    monkeypatch.setattr(O, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(O, "_chunked_scan", lambda df, *rest: cut.append(df.select("k").distinct().count()) or chunked(df, *rest))
+    assert sorted(map(str, scan(1).select(cols).collect())) == want
+    assert cut == {100: [1], 1: [49], 10_000: []}[task_rows]
+
+
+def test_points_are_entered_at_the_levels_of_their_own_key(spark):
+    points = spark.createDataFrame([(k, float(i)) for k, n in ((1, 1), (2, 9)) for i in range(n)], "k int, x double")
+    placed, ranged = O.range_blocks(*O.window_ranges(points, points, ["k"], "x", 100.0, ["x"], ["x"]))
+    assert rows(placed.groupBy("k").agg(F.max("_level").alias("top")), "k", "top") == [(1, 0), (2, 3)]
+    met = ranged.join(placed.select("k", "_level", "_block", F.col("x").alias("y")), ["k", "_level", "_block"]).groupBy("k", "x").count()
+    assert rows(met, "k", "count") == [(1, 1)] + [(2, 9)] * 9
